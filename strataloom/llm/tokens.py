@@ -1,18 +1,22 @@
 """Token counts of a public byte-level BPE, one regex piece at a time.
 
 Byte-level BPE never merges across the pieces of its splitting pattern, so the tokens of a text are the sum over its
-pieces. Pieces repeat a lot; a cache of piece lengths makes counting a matter of one regex pass and lookups.
+pieces. Pieces repeat a lot; a cache of piece lengths makes counting a matter of one regex pass and lookups. The
+pattern needs Unicode classes; for ASCII texts an equal pattern of plain ranges runs on the faster engine.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from functools import lru_cache
 
-import numpy as np
-
 #: Entries after which the cache of piece lengths starts anew; a bound on memory that changes no result.
 CACHE = 400_000
+_SPACE = r" \t\n\x0b\x0c\r"
+_ASCII = re.compile(
+    rf"'(?:[stmd]|re|ve|ll)| ?[A-Za-z]+| ?[0-9]+| ?[^{_SPACE}A-Za-z0-9]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
+).findall
 
 
 def default_vocabulary() -> str:
@@ -22,6 +26,18 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+class _Lengths(dict):
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, piece: str) -> int:
+        if len(self) > CACHE:
+            self.clear()
+        n = self[piece] = len(self.encode(piece))
+        return n
+
+
 class Counter:
     """Counts tokens under the ranks file at ``path``."""
 
@@ -35,26 +51,19 @@ class Counter:
         self.encoding = tiktoken.Encoding(
             "ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
         )
-        self.split = regex.compile(public_tokenizers.PATTERN).findall
-        self.lengths: dict[str, int] = {}
-
-    def _length(self, piece: str) -> int:
-        if len(self.lengths) > CACHE:
-            self.lengths.clear()
-        n = self.lengths[piece] = len(self.encoding._encode_single_piece(piece))
-        return n
+        self._split = regex.compile(public_tokenizers.PATTERN).findall
+        self.lengths = _Lengths(self.encoding._encode_single_piece)
 
-    def pieces(self, text: str) -> tuple[list[str], np.ndarray]:
+    def pieces(self, text: str) -> tuple[list[str], list[int]]:
         """The pieces of ``text`` and the tokens of each; the pieces concatenate to ``text``."""
-        pieces, get = self.split(text), self.lengths.get
-        sizes = list(map(get, pieces))
-        if None in sizes:
-            sizes = [n if n is not None else get(p) or self._length(p) for p, n in zip(pieces, sizes)]
-        return pieces, np.array(sizes, dtype=np.int64)
+        found = _ASCII(text) if text.isascii() else self._split(text)
+        return found, list(map(self.lengths.__getitem__, found))
 
     def count(self, text: str) -> int:
         """Tokens of ``text``."""
-        return int(self.pieces(text)[1].sum())
+        if text.isascii():
+            return sum(map(self.lengths.__getitem__, _ASCII(text)))
+        return len(self.encoding.encode_ordinary(text))
 
 
 @lru_cache(maxsize=4)
