@@ -117,6 +117,13 @@ def _pack_leftovers(key, pdf, capacity: int, slots: int, level: int):
     return out[["window", "fill", "closed", "item_id", "piece_no", "token_start", "n_tokens"]]
 
 
+def _packer(capacity: int, slots: int, level: int):
+    def run(key, pdf):
+        return _pack_leftovers(key, pdf, capacity, slots, level)
+
+    return run
+
+
 def pack(
     df: DataFrame, item: str, text: str, capacity: int = 2048, slots: int = 64, vocabulary: str | None = None
 ) -> DataFrame:
@@ -142,8 +149,7 @@ def pack(
         last = groups == 1
         task = F.split("window", "-")[1].cast("int")
         grouped = placed.where(~F.col("closed")).withColumn("group", F.floor(task / FAN_IN).cast("int"))
-        merge = partial(_pack_leftovers, capacity=capacity, slots=slots, level=level)
-        placed = grouped.groupBy("group").applyInPandas(lambda key, pdf, f=merge: f(key, pdf), _PLACED)
+        placed = grouped.groupBy("group").applyInPandas(_packer(capacity, slots, level), _PLACED)
         if not last:
             placed = durable(placed)
             done.append(placed.where("closed"))
