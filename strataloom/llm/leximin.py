@@ -193,4 +193,9 @@ def fair_top(ranked: DataFrame, k: int) -> DataFrame:
     kept = slim.mapInPandas(partial(_reduce_batches, k=k), slim.schema)
     kind = dict(ranked.dtypes)
     schema = f"query_id {kind['query_id']}, item_id {kind['item_id']}, exact boolean"
-    return kept.groupBy("query_id").applyInPandas(partial(_final, k=k), schema)
+    
+
+    def finish(pdf):
+        return _final(pdf, k)
+
+    return kept.groupBy("query_id").applyInPandas(finish, schema)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import table
-from . import leximin, packing, splitting
+from . import credentials, leximin, neighbours, packing, splitting
 
 #: Scores of a hybrid search result and whether a higher value is better.
 SCORES = {"cosine_distance": False, "lexical_score": True, "hybrid_score": True}
@@ -37,6 +37,24 @@ def p1_leximin(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of code units on which a credential begins."""
+    found = credentials.find(table(spark, sf_dir, "code_units").select("id", "content"), "id", "content")
+    return found.select(F.col("id").alias("code_unit_id"), "line_no").distinct()
+
+
+def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every code unit with its credentials starred out."""
+    units = table(spark, sf_dir, "code_units").select("id", "content")
+    return credentials.redact(units, "id", "content").withColumnRenamed("id", "code_unit_id")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of code units of which one is among the five nearest of the other."""
+    pairs = neighbours.neighbour_pairs(table(spark, sf_dir, "code_units"), "id", "embedding", 5)
+    return pairs.select(F.col("id_a").alias("code_unit_id_a"), F.col("id_b").alias("code_unit_id_b"))
+
+
 def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document placed in a container of at most 2048 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"), "doc_id", "text", CAPACITY)
@@ -49,4 +67,4 @@ def p10_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries by name."""
-    return {f.__name__: f for f in (p1_found, p1_leximin, p8_packed, p10_split)}
+    return {f.__name__: f for f in (p1_found, p1_leximin, p2_found, p2_redacted, p7_found, p8_packed, p10_split)}
