@@ -52,7 +52,8 @@ RULES: dict[str, tuple[str, str]] = {
     "auth_pair": (PLACE, rf"\bauth\s*=\s*\(\s*{_STRING}\s*,\s*{_STRINGS}"),
     "told": (
         LOOSE,
-        r"(?<![\w/+\\])(?:pw[ \t:](?<=[ \t]pw.)|(?:passwd|password|pass|key|token|secret|login|credentials?|rotation)(?=[ \t:]))[^\n\"'`]{0,32}?[ \t](?P<v>[^\s\"'`,;()<>]{8,})",
+        r"(?:[ \t]pw|(?<![\w/+\\])(?:passwd|password|pass|key|token|secret|login|credentials?|rotation))(?=[ \t:])"
+        r"[^\n\"'`]{0,32}?[ \t](?P<v>[^\s\"'`,;()<>]{8,})",
     ),
     "prefixed": (
         LOOSE,

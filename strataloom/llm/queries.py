@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import table
-from . import credentials, leximin, neighbours, packing, splitting
+from . import credentials, docpairs, leximin, neighbours, packing, splitting
 
 #: Scores of a hybrid search result and whether a higher value is better.
 SCORES = {"cosine_distance": False, "lexical_score": True, "hybrid_score": True}
@@ -49,6 +49,21 @@ def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return credentials.redact(units, "id", "content").withColumnRenamed("id", "code_unit_id")
 
 
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    units = table(spark, sf_dir, "code_units").where(F.col("kind") == "function")
+    return docpairs.pairs(units, "id", "symbol_name", "language", "content")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Function units with non-trivial documentation of their own."""
+    return _pairs(spark, sf_dir).select(F.col("id").alias("code_unit_id")).distinct()
+
+
+def p5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Description and code of every really documented function."""
+    return _pairs(spark, sf_dir).withColumnRenamed("id", "code_unit_id")
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of code units of which one is among the five nearest of the other."""
     pairs = neighbours.neighbour_pairs(table(spark, sf_dir, "code_units"), "id", "embedding", 5)
@@ -67,4 +82,4 @@ def p10_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries by name."""
-    return {f.__name__: f for f in (p1_found, p1_leximin, p2_found, p2_redacted, p7_found, p8_packed, p10_split)}
+    return {f.__name__: f for f in (p1_found, p1_leximin, p2_found, p2_redacted, p5_found, p5_pairs, p7_found, p8_packed, p10_split)}
