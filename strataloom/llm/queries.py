@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import table
-from . import credentials, docpairs, leximin, neighbours, packing, splitting
+from . import credentials, docpairs, leaks, leximin, neighbours, packing, splitting
 
 #: Scores of a hybrid search result and whether a higher value is better.
 SCORES = {"cosine_distance": False, "lexical_score": True, "hybrid_score": True}
@@ -75,6 +75,23 @@ def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), "doc_id", "text", CAPACITY)
 
 
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")
+    return leaks.leaks(documents, "doc_id", "text", items, "item_id", "passage")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the evaluation items they contain."""
+    return _leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
+def p9_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every leaked item the number of documents and the largest share found."""
+    return _leaks(spark, sf_dir).groupBy("item_id").agg(
+        F.count("*").alias("documents"), F.round(F.max("share"), 6).alias("largest_share")
+    )
+
+
 def p10_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as pieces of at most 512 tokens that overlap by 64."""
     return splitting.split(table(spark, sf_dir, "documents"), "doc_id", "text", LIMIT, OVERLAP)
@@ -82,4 +99,4 @@ def p10_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries by name."""
-    return {f.__name__: f for f in (p1_found, p1_leximin, p2_found, p2_redacted, p5_found, p5_pairs, p7_found, p8_packed, p10_split)}
+    return {f.__name__: f for f in (p1_found, p1_leximin, p2_found, p2_redacted, p5_found, p5_pairs, p7_found, p8_packed, p9_found, p9_items, p10_split)}
