@@ -10,8 +10,8 @@ Score-aware quantisation after a coarse partition:
    blocks are looked up at once); the best candidates are reranked with exact inner products.
 4. The answers of a question's cells are merged per vector, and copies get the answer of their group.
 
-Everything that travels is packed: a task ships one compressed block per cell, exact values in single precision
-for members and half precision for questions. Copies of a vector travel once per task with at most k+1 ids; the
+Everything that travels is packed: a task ships one compressed block per cell, exact values for members, and for
+questions exact values or half precision, whichever takes less. Copies of a vector travel once per task with at most k+1 ids; the
 other ids travel with a hash only. A cell that is large is split over several tasks, and each question visits all.
 """
 
@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Vectors the index is fitted on, at most; the bound of what the driver holds.
@@ -195,6 +195,16 @@ def _unpack(data: bytes, rows: int, half: bool) -> np.ndarray:
     return np.ascontiguousarray(raw.T).view(kind).reshape(rows, -1)
 
 
+def _pack_question(exact: np.ndarray, unit: np.ndarray) -> bytes:
+    """Questions as exact values or as unit vectors in half precision, whichever is smaller; the first byte tells."""
+    full, half = _pack(exact, False), _pack(unit, True)
+    return b"\1" + full if len(full) <= len(half) else b"\0" + half
+
+
+def _unpack_question(data: bytes, rows: int) -> np.ndarray:
+    return _unpack(data[1:], rows, data[:1] == b"\0").astype(np.float32)
+
+
 def _route(batches, index: Index, probes: int, k: int):
     """Blocks of members and of questions per cell; copies within the task are one row with their k+1 least ids."""
     ids: list[str] = []
@@ -244,7 +254,7 @@ def _blocks(ids: list[str], values: np.ndarray, index: Index, probes: int, k: in
             # members of the other splits of a cell ask here as well
             rows.append((cell, s, False, np.concatenate([ask, home[salt[home] % n != s]])))
     out = [
-        (int(c), s, m, len(r), _pack(exact[r] if m else x[r], not m), b"".join(keys[i] for i in r))
+        (int(c), s, m, len(r), _pack(exact[r], False) if m else _pack_question(exact[r], x[r]), b"".join(keys[i] for i in r))
         + (_SEP.join(names[i] for i in r) if m else "",)
         for c, s, m, r in rows
         if len(r)
@@ -288,54 +298,45 @@ def _answer(pdf: pd.DataFrame, index: Index, k: int) -> pd.DataFrame:
     out_ids: list[list[str]] = []
     out_far: list[list[float]] = []
 
-    def ask(q_keys: list[bytes], q: np.ndarray, own: bool) -> None:
+    def ask(q_keys: list[bytes], q: np.ndarray) -> None:
         for start in range(0, len(q), QUESTIONS):
-            part = q[start : start + QUESTIONS]
+            given = q[start : start + QUESTIONS]
+            part = _unit(given)
             scores = index.scan(part, codes, cell)
             most = min(RERANK, len(x))
             best = np.argpartition(-scores, most - 1, axis=0)[:most]
-            sims = np.einsum("cqd,qd->qc", x[best], part.astype(np.float32))
-            # half-precision questions and single-precision products: enough to choose, not to report
+            sims = np.einsum("cqd,qd->qc", x[best], part)
+            # single-precision products are enough to choose, not to report
             short = np.take_along_axis(best.T, np.argsort(-sims, axis=1)[:, : k + 3], axis=1)
-            precise = _distances(part, x, exact, short, q_exact[start : start + QUESTIONS] if own else None)
+            precise = _distances(given, exact, short)
             for i in range(len(part)):
                 ranked = sorted((d, name) for d, j in zip(precise[i], short[i]) for name in ids[j])[: k + 1]
                 out_keys.append(q_keys[start + i])
                 out_ids.append([name for _, name in ranked])
                 out_far.append([float(d) for d, _ in ranked])
 
-    q_exact = exact
-    ask(list(keys), x, True)
+    ask(list(keys), exact)
     held: dict[bytes, np.ndarray] = {}
     for packed, data, n in zip(questions["keys"], questions["data"], questions["count"]):
-        rows = _unpack(data, n, True)
+        rows = _unpack_question(data, n)
         for i in range(n):
             held.setdefault(packed[16 * i : 16 * i + 16], rows[i])
     if held:
-        ask(list(held), np.stack(list(held.values())).astype(np.float32), False)
+        ask(list(held), np.stack(list(held.values())))
     return pd.DataFrame({"key": out_keys, "ids": out_ids, "distances": out_far})
 
 
-def _distances(part, x, exact, short, own) -> np.ndarray:
+def _distances(questions: np.ndarray, members: np.ndarray, short: np.ndarray) -> np.ndarray:
     """1 - cosine in double precision, rounded to nine decimals."""
-    b = exact[short].astype(np.float64)
+    b = members[short].astype(np.float64)
     b /= np.abs(b).max(axis=2, keepdims=True)
-    a = (part if own is None else own).astype(np.float64)
+    a = questions.astype(np.float64)
     a = a / np.abs(a).max(axis=1, keepdims=True)
     dots = np.einsum("qd,qcd->qc", a, b)
     norms = np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=2)
     return np.round(1.0 - dots / norms, 9) + 0.0
 
 
-def _merge(pdf: pd.DataFrame, k: int) -> list[tuple[str, float]]:
-    best: dict[str, float] = {}
-    for ids, distances in zip(pdf["ids"], pdf["distances"]):
-        for name, d in zip(ids, distances):
-            if name not in best or d < best[name]:
-                best[name] = d
-    return sorted(best.items(), key=lambda p: (p[1], p[0]))[: k + 1]
-
-
 def fit(df: DataFrame, vector: str) -> Index | None:
     """Fit the index on at most SAMPLE usable vectors; None if there are none."""
     usable = df.where(F.col(vector).isNotNull()).select(F.col(vector).alias("v"))
@@ -370,11 +371,9 @@ def neighbours(df: DataFrame, item: str, vector: str, k: int = 5, probes: int =
     blocks = slim.mapInArrow(partial(_route, index=index, probes=probes, k=k), _BLOCKS)
     answer = partial(_answer, index=index, k=k)
     answers = blocks.groupBy("cell", "split").applyInPandas(lambda pdf: answer(pdf), _ANSWERS)
+    # a member lies in one split of one cell, so no neighbour comes twice; a key has at most as many answers as splits
     pairs = F.arrays_zip("distances", "ids")
-    merged = answers.groupBy("key").agg(F.flatten(F.collect_list(pairs)).alias("found"))
-    # the same neighbour may come with the half-precision distance of another cell: the least is kept per id
-    ordered = F.array_sort("found")
-    merged = merged.select("key", ordered.alias("found"))
+    merged = answers.groupBy("key").agg(F.array_sort(F.flatten(F.collect_list(pairs))).alias("found"))
     owners = slim.mapInArrow(_owners, "id string, key binary").distinct()
     joined = owners.join(merged, "key")
     first = F.filter("found", lambda p: p["ids"] != F.col("id"))
