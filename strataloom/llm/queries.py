@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import table
-from . import credentials, docpairs, leaks, leximin, neighbours, packing, splitting
+from . import credentials, docpairs, filekinds, leaks, leximin, neighbours, packing, splitting
 
 #: Scores of a hybrid search result and whether a higher value is better.
 SCORES = {"cosine_distance": False, "lexical_score": True, "hybrid_score": True}
@@ -64,6 +64,28 @@ def p5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(spark, sf_dir).withColumnRenamed("id", "code_unit_id")
 
 
+def _kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = table(spark, sf_dir, "source_files")
+    return filekinds.beliefs(files, "file_id", "repository_id", "relative_path", "content")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Python, JavaScript and TypeScript files that were not written by hand."""
+    kinds = _kinds(spark, sf_dir).where(F.col("label") != "handwritten")
+    return kinds.where(F.lower("path").rlike(r"\.(?:py|pyi|js|jsx|mjs|cjs|ts)$")).select("file_id")
+
+
+def p6_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of each label per repository."""
+    return _kinds(spark, sf_dir).groupBy("repository_id", "label").agg(F.count("*").alias("files"))
+
+
+def p6_handwritten_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code units of the files that remain: those written by hand."""
+    kept = _kinds(spark, sf_dir).where(F.col("label") == "handwritten").select("file_id")
+    return table(spark, sf_dir, "code_units").select("id", "file_id", "kind", "symbol_name").join(kept, "file_id", "left_semi")
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of code units of which one is among the five nearest of the other."""
     pairs = neighbours.neighbour_pairs(table(spark, sf_dir, "code_units"), "id", "embedding", 5)
@@ -99,4 +121,4 @@ def p10_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries by name."""
-    return {f.__name__: f for f in (p1_found, p1_leximin, p2_found, p2_redacted, p5_found, p5_pairs, p7_found, p8_packed, p9_found, p9_items, p10_split)}
+    return {f.__name__: f for f in (p1_found, p1_leximin, p2_found, p2_redacted, p5_found, p5_pairs, p6_found, p6_labels, p6_handwritten_units, p7_found, p8_packed, p9_found, p9_items, p10_split)}
