@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import table
-from . import credentials, docpairs, filekinds, leaks, leximin, neighbours, packing, splitting
+from . import credentials, docpairs, filekinds, leaks, leximin, neighbours, packing, splitting, syntax
 
 #: Scores of a hybrid search result and whether a higher value is better.
 SCORES = {"cosine_distance": False, "lexical_score": True, "hybrid_score": True}
@@ -49,6 +49,21 @@ def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return credentials.redact(units, "id", "content").withColumnRenamed("id", "code_unit_id")
 
 
+def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = table(spark, sf_dir, "source_files")
+    return syntax.check(files, "file_id", "repository_id", "language", "relative_path", "content")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that do not follow the grammar of their language."""
+    return _verdicts(spark, sf_dir).where(F.col("verdict") != "valid").select("file_id").distinct()
+
+
+def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of invalid files per repository and language."""
+    return syntax.rates(_verdicts(spark, sf_dir))
+
+
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = table(spark, sf_dir, "code_units").where(F.col("kind") == "function")
     return docpairs.pairs(units, "id", "symbol_name", "language", "content")
@@ -121,4 +136,4 @@ def p10_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries by name."""
-    return {f.__name__: f for f in (p1_found, p1_leximin, p2_found, p2_redacted, p5_found, p5_pairs, p6_found, p6_labels, p6_handwritten_units, p7_found, p8_packed, p9_found, p9_items, p10_split)}
+    return {f.__name__: f for f in (p1_found, p1_leximin, p2_found, p2_redacted, p3_found, p3_rates, p5_found, p5_pairs, p6_found, p6_labels, p6_handwritten_units, p7_found, p8_packed, p9_found, p9_items, p10_split)}
