@@ -21,6 +21,9 @@ def fixed(df: DataFrame, content: str = "content", size: int = CHUNK, carry: lis
     rows = df.where(body.isNotNull()).select(*keep, body.alias("_c"), F.explode(text.chunk_starts(body, size)).alias("chunk_no"))
     rows = rows.withColumn("chunk", text.chunk(F.col("_c"), F.col("chunk_no"), size))
     start = text.lines_before(F.col("_c"), F.col("chunk_no") * size)
+    # a slice may begin inside a CRLF: its line feed still belongs to the line before
+    torn = F.startswith("chunk", F.lit("\n")) & (F.col("chunk_no") > 0) & (F.substring(F.col("_c"), F.col("chunk_no") * size, F.lit(1)) == "\r")
+    start = start - F.coalesce(torn, F.lit(False)).cast("int")
     # the last character's line: its own line end does not begin the next
     inside = F.substring(F.col("chunk"), F.lit(1), F.length("chunk") - 1)
     pair = F.endswith(F.col("chunk"), F.lit("\r\n"))
@@ -62,14 +65,14 @@ def markdown_sections(df: DataFrame, content: str = "content", carry: list[str]
     keep = carry or [c for c in df.columns if c != content]
     rows = df.where(F.col(content).isNotNull()).select(*keep, text.lines(F.col(content)).alias("_l"))
     rows = rows.where(F.size("_l") > 0).withColumn("_h", _fold(F.col("_l")))
-    numbers = F.sequence(F.lit(1), F.size("_l"))
-    starts = F.array_union(F.array(F.lit(1)), F.filter(numbers, lambda i: F.element_at("_h", i)))
+    numbers = F.sequence(F.lit(1), F.greatest(F.size("_l"), F.lit(1)))
+    starts = F.array_union(F.array(F.lit(1)), F.filter(numbers, lambda i: F.get(F.col("_h"), i - 1)))
     rows = rows.withColumn("_s", starts).select("*", F.posexplode("_s").alias("section_no", "start_line"))
     end = F.coalesce(F.get(F.col("_s"), F.col("section_no") + 1) - 1, F.size("_l"))
     rows = rows.withColumn("end_line", end)
     body = F.slice("_l", F.col("start_line"), F.col("end_line") - F.col("start_line") + 1)
-    first = F.element_at("_l", F.col("start_line"))
-    name = F.when(F.element_at("_h", F.col("start_line")), text.heading_text(first))
+    first = F.get(F.col("_l"), F.col("start_line") - 1)
+    name = F.when(F.get(F.col("_h"), F.col("start_line") - 1), text.heading_text(first))
     rows = rows.withColumn("section", F.array_join(body, "\n")).withColumn("symbol_name", name)
     return rows.where(F.trim(F.regexp_replace("section", r"\s", "")) != "").select(
         *keep, "section_no", "symbol_name", "start_line", "end_line", "section"

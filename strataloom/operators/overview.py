@@ -137,13 +137,14 @@ def transition_checks(jobs: DataFrame) -> DataFrame:
 
 
 def status_history(events: DataFrame) -> DataFrame:
-    """(job_id, status, at, previous, valid): a log of states; what is final never changes, and claiming comes before it."""
+    """A log of states (job_id, status, at, sequence) with ``previous`` and ``valid``: what is final never changes, and
+    claiming comes before it."""
     w = Window.partitionBy("job_id").orderBy("at", "sequence")
     previous = F.lag("status").over(w)
     ok = (
-        F.when(previous.isNull(), F.col("status") == "pending")
-        .when(previous == "pending", F.col("status").isin("running", "failed"))
-        .when(previous == "running", F.col("status").isin("completed", "failed"))
+        F.when(F.col("previous").isNull(), F.col("status") == "pending")
+        .when(F.col("previous") == "pending", F.col("status").isin("running", "failed"))
+        .when(F.col("previous") == "running", F.col("status").isin("completed", "failed"))
         .otherwise(False)
     )
-    return events.select("job_id", "status", "at", previous.alias("previous"), ok.alias("valid"))
+    return events.withColumn("previous", previous).withColumn("valid", ok)

@@ -8,17 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import core
 
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The query that ``entry`` runs."""
-    return core.p4_found(spark, sf_dir)
+flagship = core.flagship
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query by name."""
-    return core.queries()
+    return dict(core.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL by query name."""
-    return core.oracle_sql()
+    return dict(core.SQL)
