@@ -247,28 +247,25 @@ def beliefs(df: DataFrame, item: str, repository: str, path: str, text: str) ->
         here = here.select(
             "repository_id", "parent", *[(F.col(f"m{i}") + _named(F.col("parent"), i)).alias(f"b{i}") for i in range(5)]
         )
+        here = durable(here)  # else the plan of a level would hold those of all levels below it
         levels.append(here.withColumn("level", F.lit(level)))
         if level:
             up = F.slice("parent", 1, level - 1) if level > 1 else F.array().cast("array<string>")
             below = here.select("repository_id", up.alias("parent"), *_upward("b"))
-    upward = durable(reduce(DataFrame.unionByName, levels))
     # down: what the rest of the tree says to each directory
-    known = upward.where(F.col("level") == 0).select(
-        "repository_id", "parent", *[F.col(f"b{i}") for i in range(5)], F.lit(0).alias("level")
-    )
-    full = [known]
+    levels.reverse()
+    full = [levels[0]]
     for level in range(1, deepest + 1):
-        child = upward.where(F.col("level") == level)
+        child = levels[level]
         up = F.slice("parent", 1, level - 1) if level > 1 else F.array().cast("array<string>")
         child = child.select("repository_id", "parent", up.alias("up"), *[F.col(f"b{i}").alias(f"c{i}") for i in range(5)])
         above = full[-1].select("repository_id", F.col("parent").alias("up"), *[F.col(f"b{i}").alias(f"a{i}") for i in range(5)])
         joined = child.join(above, ["repository_id", "up"])
         own = joined.select("*", *_upward("c")).select("*", *[(F.col(f"a{i}") - F.col(f"m{i}")).alias(f"v{i}") for i in range(5)])
         told = own.select("repository_id", "parent", *[f"c{i}" for i in range(5)], *_downward("v"))
-        full.append(
-            told.select("repository_id", "parent", *[(F.col(f"c{i}") + F.col(f"d{i}")).alias(f"b{i}") for i in range(5)], F.lit(level).alias("level"))
-        )
-    directories = durable(reduce(DataFrame.unionByName, full).drop("level"))
+        beliefs_here = [(F.col(f"c{i}") + F.col(f"d{i}")).alias(f"b{i}") for i in range(5)]
+        full.append(durable(told.select("repository_id", "parent", *beliefs_here, F.lit(level).alias("level"))))
+    directories = reduce(DataFrame.unionByName, full).drop("level")
     heard = nodes.select("file_id", "repository_id", "path", "parent", *[f"e{i}" for i in range(5)], *_upward("e")).join(
         directories, ["repository_id", "parent"], "left"
     )
