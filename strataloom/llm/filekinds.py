@@ -16,6 +16,7 @@ import re
 from collections import Counter
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -175,8 +176,9 @@ def _evidence(batches):
 
 
 def _log_sum(terms: list[Column]) -> Column:
-    top = F.greatest(*terms)
-    return top + F.log(reduce(lambda a, b: a + b, [F.exp(t - top) for t in terms]))
+    """log of the sum of exponentials; every term stands once in the expression, so it does not grow when nested."""
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + F.exp(x - F.array_max(a)))
+    return F.transform(F.array(F.array(*terms)), lambda a: F.array_max(a) + F.log(total(a)))[0]
 
 
 def _upward(prefix: str) -> list[Column]:
@@ -269,13 +271,30 @@ def beliefs(df: DataFrame, item: str, repository: str, path: str, text: str) ->
     heard = nodes.select("file_id", "repository_id", "path", "parent", *[f"e{i}" for i in range(5)], *_upward("e")).join(
         directories, ["repository_id", "parent"], "left"
     )
-    heard = heard.select("*", *[F.coalesce(F.col(f"b{i}") - F.col(f"m{i}"), F.lit(0.0)).alias(f"v{i}") for i in range(5)])
-    final = heard.select("file_id", "repository_id", "path", *[f"e{i}" for i in range(5)], *_downward("v"))
-    final = final.select("file_id", "repository_id", "path", *[(F.col(f"e{i}") + F.col(f"d{i}")).alias(f"t{i}") for i in range(5)])
-    norm = _log_sum([F.col(f"t{i}") for i in range(5)])
-    shares = [F.exp(F.col(f"t{i}") - norm).alias(f"p_{name}") for i, name in enumerate(LABELS)]
-    best = F.greatest(*[F.col(f"p_{name}") for name in LABELS])
-    label = F.coalesce(*[F.when(F.col(f"p_{name}") == best, F.lit(name)) for name in LABELS])
-    return final.select("file_id", "repository_id", "path", *shares).select(
-        "file_id", "repository_id", "path", label.alias("label"), *[f"p_{name}" for name in LABELS]
+    own = [f"e{i}" for i in range(5)]
+    heard = heard.select(
+        "file_id", "repository_id", "path", *own, *[(F.col(f"b{i}") - F.col(f"m{i}")).alias(f"v{i}") for i in range(5)]
     )
+    return heard.mapInArrow(_posterior, _BELIEFS)
+
+
+_BELIEFS = "file_id string, repository_id string, path string, label string, " + ", ".join(f"p_{n} double" for n in LABELS)
+
+
+def _posterior(batches):
+    """Beliefs of files: their evidence with what the directory says to each label."""
+    table = np.array(COMPATIBLE)
+    for batch in batches:
+        e = np.stack([batch.column(3 + i).to_numpy(zero_copy_only=False) for i in range(5)], axis=1)
+        v = np.stack([batch.column(8 + i).to_numpy(zero_copy_only=False) for i in range(5)], axis=1).astype(float)
+        v = np.nan_to_num(v)  # a file whose directory is unknown hears nothing
+        top = v.max(axis=1, initial=0.0, keepdims=True)
+        heard = np.log(np.exp(v - top) @ np.exp(table)) + top
+        belief = e + heard
+        p = np.exp(belief - belief.max(axis=1, initial=-np.inf, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        label = [LABELS[i] for i in p.argmax(axis=1)] if len(p) else []
+        arrays = [batch.column(0), batch.column(1), batch.column(2), pa.array(label, pa.string())]
+        arrays += [pa.array(p[:, i]) for i in range(5)]
+        names = ["file_id", "repository_id", "path", "label", *[f"p_{n}" for n in LABELS]]
+        yield pa.RecordBatch.from_arrays(arrays, names=names)
