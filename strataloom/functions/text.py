@@ -9,6 +9,15 @@ from pyspark.sql import functions as F
 LINE_END = "\\r\\n|[\\n\\r\\x0B\\x0C\\x1C-\\x1E\\x85\\u2028\\u2029]"
 
 
+#: White space as a class of Java regexes: also what only Unicode calls so.
+BLANK = r"[\s\x1C-\x1F\x85\p{Z}]"
+
+
+def has_content(text: Column) -> Column:
+    """Whether a text has more than white space."""
+    return text.isNotNull() & (F.regexp_replace(text, BLANK, "") != "")
+
+
 def tokens(text: Column) -> Column:
     """Distinct lower-case runs of letters and digits, in order of first occurrence."""
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), 1))
@@ -41,7 +50,7 @@ def lines(text: Column) -> Column:
 def chunk_starts(text: Column, size: int) -> Column:
     """0-based numbers of the fixed-width chunks of a text; none for a blank text."""
     last = F.floor((F.greatest(F.length(text), F.lit(1)) - 1) / size).cast("int")
-    return F.when(F.trim(F.regexp_replace(text, r"\s", "")) != "", F.sequence(F.lit(0), last)).otherwise(
+    return F.when(has_content(text), F.sequence(F.lit(0), last)).otherwise(
         F.array().cast("array<int>")
     )
 

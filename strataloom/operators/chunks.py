@@ -74,6 +74,6 @@ def markdown_sections(df: DataFrame, content: str = "content", carry: list[str]
     first = F.get(F.col("_l"), F.col("start_line") - 1)
     name = F.when(F.get(F.col("_h"), F.col("start_line") - 1), text.heading_text(first))
     rows = rows.withColumn("section", F.array_join(body, "\n")).withColumn("symbol_name", name)
-    return rows.where(F.trim(F.regexp_replace("section", r"\s", "")) != "").select(
+    return rows.where(text.has_content(F.col("section"))).select(
         *keep, "section_no", "symbol_name", "start_line", "end_line", "section"
     )

@@ -204,7 +204,7 @@ _ENDS = r"'\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]'"
 @query(rf"""WITH f AS (
   SELECT file_id, any_value(content) AS c FROM source_files WHERE language IN ('documentation', 'config') GROUP BY file_id
 ), n AS (
-  SELECT file_id, c, unnest(range(0, CAST(ceil(length(c) / 2000.0) AS BIGINT))) AS k FROM f WHERE regexp_replace(c, '\s', '', 'g') <> ''
+  SELECT file_id, c, unnest(range(0, CAST(ceil(length(c) / 2000.0) AS BIGINT))) AS k FROM f WHERE regexp_replace(c, '[\s\x1C-\x1F\x{85}\pZ]', '', 'g') <> ''
 ), s AS (
   SELECT file_id, c, CAST(k AS INTEGER) AS chunk_no, substr(c, k * 2000 + 1, 2000) AS chunk, substr(c, 1, k * 2000) AS before FROM n
 ), l AS (
@@ -222,7 +222,7 @@ def chunk_fixed(spark, d):
 
 @query(f"""SELECT doc_id, chunk_no, length(chunk) AS characters FROM (
   SELECT doc_id, unnest(range(0, CAST(ceil(length(text) / 2000.0) AS BIGINT)))::INTEGER AS chunk_no, text FROM documents
-  WHERE regexp_replace(text, '\\s', '', 'g') <> ''), LATERAL (SELECT substr(text, chunk_no * 2000 + 1, 2000) AS chunk)""")
+  WHERE regexp_replace(text, '[\\s\\x1C-\\x1F\\x{{85}}\\pZ]', '', 'g') <> ''), LATERAL (SELECT substr(text, chunk_no * 2000 + 1, 2000) AS chunk)""")
 def chunk_documents(spark, d):
     """Sizes of the slices of every document."""
     made = chunks.fixed(table(spark, d, "documents").select("doc_id", "text"), "text")
