@@ -12,6 +12,7 @@ import sys
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import durable
 from . import order
 from .search import META
 
@@ -103,7 +104,7 @@ def resolve_modules(references: DataFrame, files: DataFrame) -> DataFrame:
     paths = files.select("repository_id", "path").distinct()
     python = _python_parts(wanted.where(F.col("language") == "python"))
     ecma = _ecma_parts(wanted.where(F.col("language").isin("javascript", "typescript")))
-    both = python.unionByName(ecma)
+    both = durable(python.unionByName(ecma))  # read several times below; small beside the texts it came from
     key = ["repository_id", "source_path", "module"]
     # the packages on the way: each must have its __init__.py and no module of the same name beside it
     on_way = both.select(*key, F.explode("packages").alias("package")).select(
@@ -208,6 +209,7 @@ def expand(direct: DataFrame, edges: DataFrame, units: DataFrame, limit: int = 1
     w = Window.partitionBy("query_id", "code_unit_id").orderBy("rank")
     rows = direct.select("query_id", *META, "rank").withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
     rows = rows.withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).where(F.col("position") <= limit)
+    rows = durable(rows)  # a few rows a question, needed four times: the search behind them runs once
     if not allowance:
         return rows.select("query_id", *META, "position", F.lit(False).alias("added"))
     seeds = rows.where(F.col("position") <= min(SEEDS, limit - allowance)).select("query_id", F.col("code_unit_id").alias("source_unit_id"), F.col("position").alias("seed"))

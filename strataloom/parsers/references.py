@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .units import UnparsableFile, _lines, _python_lines, _tree
 
 MOST_CALLS = 10_000
@@ -173,7 +174,7 @@ def _run(batches):
 
 def analyse_calls(files: DataFrame) -> DataFrame:
     """Endpoints, bindings and calls of Python files (file_id, repository_id, path, content), told apart by ``role``."""
-    return files.select("file_id", "repository_id", "path", "content").mapInArrow(_run, _ANALYSIS)
+    return spread(files.select("file_id", "repository_id", "path", "content")).mapInArrow(_run, _ANALYSIS)
 
 
 def endpoints_with_units(analysis: DataFrame, units: DataFrame) -> DataFrame:

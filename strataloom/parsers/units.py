@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
 from . import ecma
 
 
@@ -123,7 +124,7 @@ def parse_files(files: DataFrame) -> DataFrame:
     A file that does not parse gives one row with its error and no unit: no partial output. An empty file gives none.
     """
     slim = files.select("file_id", "repository_id", "path", "language", "content")
-    return slim.mapInArrow(_run, _UNITS)
+    return spread(slim).mapInArrow(_run, _UNITS)
 
 
 def unit_checks(units: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from ..functions import paths, text, vectors
 from ..operators import cache, chunks, context, evaluation, graph, incremental, overview, search, snapshot
 from ..parsers import references, units as parsing
 from ..sources import validation
+from ..session import durable
 from ..streaming import metrics
 from ..tables import table
 
@@ -502,7 +503,7 @@ def import_resolve(spark, d):
 def call_resolve(spark, d):
     """Call edges between stored Python functions, from the scanned texts."""
     files = distinct_files(spark, d).where("language = 'python'").select("file_id", "repository_id", F.col("relative_path").alias("path"), "content")
-    analysis = references.analyse_calls(files)
+    analysis = durable(references.analyse_calls(files))  # parsed once, read three times
     ends = references.endpoints_with_units(analysis, units(spark, d))
     calls = references.call_rows(analysis, ends)
     return graph.resolve_calls(calls, references.binding_rows(analysis), ends, files)

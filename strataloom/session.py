@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,3 +36,16 @@ def durable(df: DataFrame) -> DataFrame:
         shared = context.getConf().get("spark.checkpoint.dir")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="strataloom-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan that fills less than half of the cores, dealt out to all of them; anything else as it is.
+
+    For work in Python that is heavy per row, on tables of a few files. A scan of many files is never shuffled. Plans
+    with more than scans and filters are left alone: asking them for their partitions would run them.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    if re.search(r"Join|Aggregate|Window|Sort|Repartition|LogicalRDD|Union|Limit|InPandas|InArrow", plan):
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
