@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .trigrams import Index, candidates, search_all, trigrams
 
 _NAME = (
@@ -239,7 +240,8 @@ def find(df: DataFrame, item: str, text: str) -> DataFrame:
     Lines count from 1; a CRLF is one line end. A null or empty text has none; repeated rows give repeated finds.
     Nothing is shuffled: the index is built per batch of chunks, next to the data.
     """
-    return df.select(F.col(item).cast("string").alias("id"), F.col(text).alias("t")).mapInArrow(_find, _FOUND)
+    source = df.select(F.col(item).cast("string").alias("id"), F.col(text).alias("t"))
+    return spread(source).mapInArrow(_find, _FOUND)
 
 
 def _redact(batches):
@@ -258,4 +260,4 @@ def redact(df: DataFrame, item: str, text: str) -> DataFrame:
     A starred value has as many characters as before, so offsets, quotes and line ends stay; null stays null.
     """
     source = df.select(F.col(item).cast("string").alias("id"), F.col(text).alias("t"))
-    return source.mapInArrow(_redact, "id string, content string, redacted int")
+    return spread(source).mapInArrow(_redact, "id string, content string, redacted int")

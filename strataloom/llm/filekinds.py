@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import durable
+from ..session import durable, spread
 
 LABELS = ("handwritten", "generated", "minified", "vendored", "blob")
 H, G, M, V, B = range(5)
@@ -218,7 +218,7 @@ def beliefs(df: DataFrame, item: str, repository: str, path: str, text: str) ->
     source = df.select(
         F.col(item).cast("string"), F.col(repository).cast("string"), F.col(path).cast("string"), F.col(text)
     )
-    files = source.mapInArrow(_evidence, _EVIDENCE).groupBy("file_id").agg(
+    files = spread(source).mapInArrow(_evidence, _EVIDENCE).groupBy("file_id").agg(
         F.min_by(F.struct("repository_id", "path", "body", *[f"e{i}" for i in range(5)]), F.struct("path", "body")).alias("f")
     )
     files = durable(files.select("file_id", "f.*"))

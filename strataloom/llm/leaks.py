@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 #: A quotation counts from this share of an item's words, with at most one word in WRONG changed.
 SHARE, WRONG = 3, 6
 #: Words that may stand between two runs of one quotation.
@@ -71,6 +73,11 @@ class Items:
     owners: np.ndarray
     offsets: np.ndarray
 
+    @property
+    def shortest(self) -> int:
+        """Words of the shortest item."""
+        return min(map(len, self.texts), default=PIECE)
+
     @classmethod
     def of(cls, rows: list[tuple[int, str]]) -> Items:
         vocabulary: dict[str, int] = {}
@@ -80,7 +87,7 @@ class Items:
             if w:
                 ids.append(item)
                 texts.append(np.array([vocabulary.setdefault(x, len(vocabulary) + 1) for x in w], dtype=np.int64))
-        hashed = [_hashes(t) for t in texts]
+        hashed = [_hashes(t, min(PIECE, len(t))) for t in texts]
         owner = np.concatenate([np.full(len(h), i) for i, h in enumerate(hashed)] or [np.empty(0, dtype=np.int64)])
         offset = np.concatenate([np.arange(len(h)) for h in hashed] or [np.empty(0, dtype=np.int64)])
         flat = np.concatenate(hashed or [np.empty(0, dtype=np.uint64)])
@@ -92,12 +99,11 @@ class Items:
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _hashes(numbers: np.ndarray) -> np.ndarray:
-    """A hash of every run of PIECE words; items shorter than that are one piece."""
-    n = min(PIECE, len(numbers))
+def _hashes(numbers: np.ndarray, n: int) -> np.ndarray:
+    """A hash of every run of ``n`` words. Items of fewer than PIECE words are one piece."""
     x = numbers.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     x ^= x >> np.uint64(29)
-    h = np.zeros(len(x) - n + 1, dtype=np.uint64)
+    h = np.full(max(0, len(x) - n + 1), n, dtype=np.uint64)
     for i in range(n):
         h = (h ^ x[i : i + len(h)]) * _BASE
         h ^= h >> np.uint64(31)
@@ -229,8 +235,14 @@ def _least_hits(need: np.ndarray) -> np.ndarray:
 
 
 def _leaks(doc: np.ndarray, items: Items, need: np.ndarray, hits: np.ndarray):
-    h = _hashes(doc) if len(doc) >= PIECE else np.empty(0, dtype=np.uint64)
-    if not len(h) or not len(items.hashes):
+    if not len(items.hashes):
+        return
+    if items.shortest >= PIECE:
+        h, spots = _hashes(doc, PIECE), None
+    else:  # some items are shorter than a piece
+        each = [_hashes(doc, n) for n in range(items.shortest, PIECE + 1)]
+        h, spots = np.concatenate(each), np.concatenate([np.arange(len(x)) for x in each])
+    if not len(h):
         return
     spot = np.searchsorted(items.hashes, h)
     spot[spot == len(items.hashes)] = 0
@@ -239,7 +251,7 @@ def _leaks(doc: np.ndarray, items: Items, need: np.ndarray, hits: np.ndarray):
         return
     first = items.starts[spot[at]]
     many = items.starts[spot[at] + 1] - first
-    place = np.repeat(at, many)
+    place = np.repeat(at if spots is None else spots[at], many)
     index = np.repeat(first - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
     owner, off = items.owners[index], items.offsets[index]
     cell = owner * 2**32 + off
@@ -302,7 +314,7 @@ def leaks(
     pass over the documents each, and the documents are never shuffled.
     """
     spark: SparkSession = docs.sparkSession
-    source = docs.select(F.col(doc).cast("long").alias("d"), F.col(text).alias("t"))
+    source = spread(docs.select(F.col(doc).cast("long").alias("d"), F.col(text).alias("t")))
     schema = "doc_id long, item_id long, share double"
     out = None
     for block in _passes(items, item, passage, pass_bytes):

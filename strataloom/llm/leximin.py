@@ -68,11 +68,12 @@ def _percentiles(items: DataFrame, count: int) -> DataFrame:
         .agg(F.sum("n").alias("m"))
         .withColumn("offset", F.sum("m").over(before) - F.col("m"))
         .withColumn("total", F.sum("m").over(Window.partitionBy("query_id", "score")))
-        .drop("m")
+        .select(F.col("query_id").alias("q"), F.col("score").alias("s"), F.col("part").alias("p"), "offset", "total")
     )
+    here = F.col("query_id").eqNullSafe(F.col("q")) & (F.col("score") == F.col("s")) & (F.col("part") == F.col("p"))
     ranked = (
         ordered.withColumn("worse", F.sum("n").over(inside) - F.col("n"))
-        .join(offsets, ["query_id", "score", "part"])
+        .join(offsets, here)
         .select(
             "query_id",
             "score",

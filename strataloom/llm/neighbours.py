@@ -273,7 +273,7 @@ def _answer(pdf: pd.DataFrame, index: Index, k: int) -> pd.DataFrame:
     """The nearest members of one split of a cell, for its members and for the questions sent to it."""
     members, questions = pdf[pdf["members"]], pdf[~pdf["members"]]
     if not len(members):
-        return pd.DataFrame({"key": [], "ids": [], "distances": []})
+        return pd.DataFrame({"key": [], "ids": [], "distances": []}, dtype=object)
     cell = int(pdf["cell"].iloc[0])
     keys: dict[bytes, int] = {}
     names: list[set[str]] = []

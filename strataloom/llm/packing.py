@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import durable
+from ..session import durable, spread
 from .tokens import counter, default_vocabulary
 
 #: Partitions whose leftovers one task of a following round packs together.
@@ -139,9 +139,11 @@ def pack(
         raise ValueError("capacity and slots must be positive")
     source = df.select(F.col(item).cast("long").alias("item_id"), F.col(text).alias("text"))
     run = partial(_pack_texts, path=vocabulary or default_vocabulary(), capacity=capacity, slots=slots)
-    placed = durable(source.mapInArrow(run, _PLACED))
+    placed = durable(spread(source).mapInArrow(run, _PLACED))
     done, level = [placed.where("closed")], 0
-    groups = source.rdd.getNumPartitions()
+    # partitions that have leftovers: their numbers are in the names of the windows
+    most = placed.where(~F.col("closed")).agg(F.max(F.split("window", "-")[1].cast("int"))).head()[0]
+    groups = 0 if most is None else most + 1
     last = groups <= 1
     while not last:
         level += 1

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .tokens import Counter, counter, default_vocabulary
 
 #: Strength of a boundary by the white space that follows it and the characters around.
@@ -30,7 +31,7 @@ _ARROW = pa.schema(
 )
 #: A boundary lies before a run of white space. There the counts of both sides add up exactly: the splitting pattern
 #: of the tokenizer looks ahead only from inside a run.
-_BREAK = re.compile(r"[\n.!?…](?:(?<=\n)[ \t\n\x0b\x0c\r]*|(?<=[.!?…])[\"'”’)\]]?[ \t]+)")
+_BREAK = re.compile(r"[\n.!?…](?:(?<=\n)[ \t\n\x0b\x0c\r]*|(?<=[.!?…])[\"'”’)\]]?[ \t]+(?![ \t\n\x0b\x0c\r]))")
 _EXOTIC = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
 
 
@@ -172,14 +173,18 @@ def _suffix(text: str, c: Counter, overlap: int) -> tuple[int, int]:
             break
         taken += size
         length += len(piece)
-    if not length:  # one long word: some of its characters
-        last = pieces[-1]
-        length = min(len(last), max(1, overlap // 4))
-        while length > 1 and c.count(last[-length:]) > overlap:
-            length //= 2
-        taken = c.count(last[-length:])
-        if taken > overlap:
-            return 0, 0
+    if not length:  # one long word: as many of its last characters as fit
+        last, low, high = pieces[-1], 0, 1
+        while high < len(last) and c.count(last[-high:]) <= overlap:
+            low, high = high, 2 * high
+        high = min(high, len(last))
+        while low < high:
+            middle = (low + high + 1) // 2
+            if c.count(last[-middle:]) <= overlap:
+                low = middle
+            else:
+                high = middle - 1
+        length, taken = low, c.count(last[-low:]) if low else 0
     return length, taken
 
 
@@ -235,4 +240,4 @@ def split(
         raise ValueError("the overlap must leave at least 8 tokens of the limit")
     source = df.select(F.col(item).cast("long").alias("item_id"), F.col(text).alias("text"))
     run = partial(_run, path=vocabulary or default_vocabulary(), limit=limit, overlap=overlap)
-    return source.mapInArrow(run, _SCHEMA)
+    return spread(source).mapInArrow(run, _SCHEMA)

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..parsers import ecma
+from ..session import spread
 
 GRAMMARS = ("python", "javascript", "jsx", "typescript", "json")
 
@@ -144,7 +145,7 @@ def check(df: DataFrame, item: str, repository: str, language: str, path: str, t
         *[F.col(c).cast("string").alias(n) for c, n in ((item, "i"), (repository, "r"), (language, "l"), (path, "p"))],
         F.col(text).alias("t"),
     )
-    return source.mapInArrow(_run, _OUT)
+    return spread(source).mapInArrow(_run, _OUT)
 
 
 def rates(verdicts: DataFrame) -> DataFrame:
