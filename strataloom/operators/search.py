@@ -73,7 +73,7 @@ def lexical_score(question: Column) -> Column:
 def lexical(units: DataFrame, questions: DataFrame, limit: int = 10, filters: Filters | None = None) -> DataFrame:
     """(query_id, metadata, lexical_score, rank): the units of the question's repository that match, best first."""
     order.check_limit(limit)
-    pool = (filters or Filters()).apply(units)
+    pool = (filters or Filters()).apply(units).select("repository_id", *META, "content")
     found = pool.join(questions.select("query_id", "repository_id", "question"), "repository_id")
     found = found.withColumn("lexical_score", lexical_score(F.col("question"))).where(F.col("lexical_score") > 0)
     found = found.select("query_id", *META, "lexical_score")

@@ -23,7 +23,13 @@ class SyntaxFault(Exception):
 
 @dataclass
 class Definition:
-    """A definition in source order. ``kind`` is class, function, method, variable or import."""
+    """A definition in source order. ``kind`` is class, function, method, variable or import.
+
+    With events asked for there are also: scope (a function or class from its parameters to its end), bind (a name
+    that a scope binds), assign (names that an assignment may change), local (a name that an import binds, ``module``
+    as "module\\nsymbol"), export (a name that a declaration exports, "default" aside in ``module``) and call (a call
+    of a name, or of a member of it, which is in ``module``).
+    """
 
     kind: str
     name: str | None
@@ -74,8 +80,8 @@ OTHER, TARGET, PATTERN, COVER = range(4)
 class Parser:
     """One parse of one text."""
 
-    def __init__(self, text: str, jsx: bool = False, types: bool = False, collect: bool = True):
-        self.text, self.jsx, self.types, self.collect = text, jsx, types, collect
+    def __init__(self, text: str, jsx: bool = False, types: bool = False, collect: bool = True, events: bool = False):
+        self.text, self.jsx, self.types, self.collect, self.events = text, jsx, types, collect, events
         self.found: list[Definition] = []
         self.failed: set[tuple] = set()
         self.depth = 0
@@ -245,6 +251,17 @@ class Parser:
         if self.collect and not self.ambient:
             self.found.append(Definition(kind, name, start, self.last_end, self.depth, **more))
 
+    def event(self, kind: str, name: str | None, start: int, module: str | None = None) -> None:
+        """Note something other than a definition, if it is asked for; undone with everything else on a reset."""
+        if self.events and not self.ambient:
+            self.found.append(Definition(kind, name, start, self.last_end, self.depth, module))
+
+    def changed(self, start: int, end: int) -> None:
+        """Note the names that a target between two positions may change; too many rather than too few."""
+        if self.events:
+            for m in _FREE_NAME.finditer(self.text, start, end):
+                self.event("assign", m.group(), m.start())
+
     def peek(self) -> tuple[int, str, bool]:
         """Kind and value of the next token, and whether a line end comes before it."""
         s = self.state()
@@ -356,7 +373,7 @@ class Parser:
                 shape = self.assignment()
                 self.depth -= 1
                 if shape == "function" and name:
-                    self.define("variable", name, start)
+                    self.define("variable", name, start, module=kind)
             elif not loop and not self.ambient and (not plain or kind == "const"):
                 self.fault("expected a value")
             elif loop and not (self.at("of") or self.at("in")) and not plain:
@@ -402,9 +419,12 @@ class Parser:
                 if count != 1:
                     self.fault("one binding only")
         else:
+            begin = self.start
             shape = self.expression()
-            if (self.at("of") or self.at("in")) and shape not in (TARGET, PATTERN):
-                self.fault("no target")
+            if self.at("of") or self.at("in"):
+                if shape not in (TARGET, PATTERN):
+                    self.fault("no target")
+                self.changed(begin, self.last_end)
         self.no_in = False
         if self.at("of"):
             self.advance()
@@ -524,6 +544,7 @@ class Parser:
         generator = self.eat("*")
         name = None
         if not (optional_name and (self.at("(") or self.types and self.at("<"))):
+            self.event("bind", self.value, self.start)
             name = self.name()
         bodied = self.function_rest(is_async, generator, overload=self.types)
         if bodied:
@@ -534,6 +555,7 @@ class Parser:
         outer = (self.in_function, self.in_async, self.in_generator, self.no_in, self.in_loop, self.in_switch, self.labels, self.no_conditional)
         self.in_function, self.in_async, self.in_generator, self.no_in = True, is_async, generator, False
         self.in_loop, self.in_switch, self.labels, self.no_conditional = False, False, [], False
+        begin = self.start
         try:
             if self.types and self.at("<"):
                 self.type_parameters()
@@ -544,6 +566,7 @@ class Parser:
                 self.semicolon()
                 return False
             self.function_body()
+            self.event("scope", None, begin, "function")
             return True
         finally:
             (self.in_function, self.in_async, self.in_generator, self.no_in, self.in_loop, self.in_switch, self.labels, self.no_conditional) = outer
@@ -602,21 +625,26 @@ class Parser:
         if self.eat("{"):
             while not self.eat("}"):
                 if self.eat("..."):
+                    self.event("bind", self.value, self.start)
                     self.name()
                     if not self.at("}"):
                         self.fault("a rest comes last")
                     continue
                 short = self.is_name()
+                key, begin = self.value, self.start
                 self.property_name()
                 if self.eat(":"):
                     self.binding()
                 elif not short:
                     self.fault("expected :")
+                else:
+                    self.event("bind", key, begin)
                 if self.eat("="):
                     self.inner_assignment()
                 if not self.at("}"):
                     self.expect(",")
             return
+        self.event("bind", self.value, self.start)
         self.name()
 
     def inner_assignment(self):
@@ -659,6 +687,7 @@ class Parser:
         self.expect("class")
         name = None
         if self.is_name() and not (self.at("implements") and self.types and self.peek()[1] not in ("{", "extends", "<", "implements")):
+            self.event("bind", self.value, self.start)
             name = self.name()
         elif statement and not optional_name:
             self.fault("expected a name")
@@ -674,6 +703,7 @@ class Parser:
                 if not self.eat(","):
                     break
         at = len(self.found)
+        begin = self.start
         self.expect("{")
         self.depth += 1
         while not self.eat("}"):
@@ -682,6 +712,7 @@ class Parser:
             if not self.eat(";"):
                 self.member()
         self.depth -= 1
+        self.event("scope", None, begin, "class")
         if statement and self.collect and not self.ambient:
             self.found.insert(at, Definition("class", name, start, self.last_end, self.depth))
 
@@ -760,6 +791,7 @@ class Parser:
                     self.advance()
             more = True
             if self.is_name():
+                self.event("local", self.value, self.start, "default")
                 self.name()
                 if self.types and self.eat("="):
                     if self.at("require"):
@@ -776,6 +808,7 @@ class Parser:
             if more:
                 if self.eat("*"):
                     self.expect("as")
+                    self.event("local", self.value, self.start, "")
                     self.name()
                 else:
                     self.module_names(binding=True)
@@ -796,13 +829,19 @@ class Parser:
     def module_names(self, binding: bool) -> None:
         self.expect("{")
         while not self.eat("}"):
-            if self.types and self.at("type") and self.peek()[1] not in (",", "}", "as") :
+            mere_type = self.types and self.at("type") and self.peek()[1] not in (",", "}", "as")
+            if mere_type:
                 self.advance()
             plain = self.is_name()
+            original, begin = self.value, self.start
             if self.kind == STRING:
                 self.advance()
             else:
                 self.any_name()
+            if binding:
+                alias = self.at("as")
+                local = self.peek()[1] if alias else original
+                self.event("bind" if mere_type else "local", local, begin, original)
             if self.eat("as"):
                 if binding:
                     self.name()
@@ -927,10 +966,12 @@ class Parser:
                 if found is not None:
                     return found
             elif self.is_name() and self.peek()[1] == "=>":
+                begin = self.start
+                self.event("bind", self.value, begin)
                 self.name()
                 if self.newline:
                     self.fault()
-                return self.arrow_rest(False)
+                return self.arrow_rest(False, begin)
         if self.kind == PUNCTUATOR:
             if self.value == "(":
                 found = self.attempt(self.arrow, False)
@@ -953,6 +994,7 @@ class Parser:
         if self.kind == PUNCTUATOR and self.value in _ASSIGN:
             if shape == TARGET or self.value == "=" and shape == PATTERN:
                 plain = self.value == "="
+                self.changed(start, self.start)
                 self.advance()
                 self.assignment()
                 return "default" if plain else OTHER
@@ -976,8 +1018,10 @@ class Parser:
     def async_arrow(self):
         self.expect("async")
         if self.is_name() and self.peek()[1] == "=>":
+            begin = self.start
+            self.event("bind", self.value, begin)
             self.name()
-            return self.arrow_rest(True)
+            return self.arrow_rest(True, begin)
         if self.at("(") or self.types and self.at("<"):
             return self.arrow(True)
         self.fault()
@@ -985,6 +1029,7 @@ class Parser:
     def arrow(self, is_async: bool):
         conditional = self.no_conditional
         self.no_conditional = False
+        begin = self.start
         if self.types and self.at("<"):
             self.type_parameters()
         outer = self.in_async
@@ -998,16 +1043,16 @@ class Parser:
             self.fault("expected =>")
         if conditional and self.types:
             s = self.state()
-            shape = self.arrow_rest(is_async)
+            shape = self.arrow_rest(is_async, begin)
             self.no_conditional = conditional
             if not self.at(":"):
                 self.reset(s)
                 self.fault("part of a conditional")
             return shape
         self.no_conditional = conditional
-        return self.arrow_rest(is_async)
+        return self.arrow_rest(is_async, begin)
 
-    def arrow_rest(self, is_async: bool):
+    def arrow_rest(self, is_async: bool, begin: int):
         self.expect("=>")
         outer = (self.in_function, self.in_async, self.in_generator, self.in_loop, self.in_switch, self.labels)
         self.in_function, self.in_async, self.in_generator = True, is_async, False
@@ -1019,6 +1064,7 @@ class Parser:
                 self.no_in = no_in
             else:
                 self.assignment()
+            self.event("scope", None, begin, "arrow")
         finally:
             self.in_function, self.in_async, self.in_generator, self.in_loop, self.in_switch, self.labels = outer
         return "function"
@@ -1080,8 +1126,10 @@ class Parser:
                 return "unary"
             if self.value in ("++", "--"):
                 self.advance()
+                begin = self.start
                 if self.unary() != TARGET:
                     self.fault("no target")
+                self.changed(begin, self.last_end)
                 return OTHER
             if self.value == "<" and self.types and not self.jsx:
                 self.advance()
@@ -1091,17 +1139,23 @@ class Parser:
                 return self.unary()
         elif self.kind == NAME and not self.escaped:
             if self.value in ("typeof", "void", "delete"):
+                removes = self.value == "delete"
                 self.advance()
+                begin = self.start
                 self.unary()
+                if removes:
+                    self.changed(begin, self.last_end)
                 return "unary"
             if self.value == "await" and (self.in_async or not self.in_function and self.awaits()):
                 self.advance()
                 self.unary()
                 return "unary"
+        begin = self.start
         shape = self.left_hand_side()
         if self.kind == PUNCTUATOR and self.value in ("++", "--") and not self.newline:
             if shape != TARGET:
                 self.fault("no target")
+            self.changed(begin, self.last_end)
             self.advance()
             return OTHER
         return shape
@@ -1127,9 +1181,17 @@ class Parser:
                 self.arguments()
             shape = OTHER
         else:
+            if self.events and self.is_name():
+                self.called()
             shape = self.primary()
         return self.postfix(shape, calls=True)
 
+    def called(self) -> None:
+        """Note ``a(`` and ``a.b(`` where the expression that begins here is such a call."""
+        m = _CALL.match(self.text, self.start)
+        if m is not None:
+            self.event("call", m.group(1), self.start, m.group(2))
+
     def postfix(self, shape, calls: bool):
         chained = False
         while True:
@@ -1893,6 +1955,8 @@ class Parser:
             self.return_type()
 
 
+_CALL = re.compile(r"([A-Za-z_$][\w$]*)\s*(?:\??\.\s*([A-Za-z_$][\w$]*)\s*)?(?:\?\.)?\(")
+_FREE_NAME = re.compile(r"(?<![\w$.])[A-Za-z_$][\w$]*")
 _TEMPLATE_PART = re.compile(r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*")
 _JSX_CHARS = re.compile(r"[^<>{}]*")
 _TYPE_STATEMENTS = frozenset("interface type enum abstract declare namespace module global".split())
@@ -1960,14 +2024,14 @@ def _check_regex(body: str, at: int) -> None:
 MOST_NESTED = 9_000
 
 
-def parse(text: str, jsx: bool = False, types: bool = False) -> list[Definition]:
-    """The definitions of a text in source order; raises :class:`SyntaxFault` where it leaves the grammar."""
+def parse(text: str, jsx: bool = False, types: bool = False, events: bool = False) -> list[Definition]:
+    """The definitions, and events if asked for, of a text in source order; raises :class:`SyntaxFault` where it leaves the grammar."""
     limit = sys.getrecursionlimit()
     if limit < MOST_NESTED:
         sys.setrecursionlimit(MOST_NESTED)
     parser = None
     try:
-        parser = Parser(text, jsx, types)
+        parser = Parser(text, jsx, types, events=events)
         return parser.program()
     except RecursionError:
         raise SyntaxFault("nested too deeply", 0) from None

@@ -1,7 +1,7 @@
 """What files refer to: imported modules, and calls whose target can be told from the text alone.
 
 Calls are hints: wherever a name might be bound to something else, by assignment, shadowing, deletion or repetition,
-it is left out. Python files are read with the compiler's own parser; of ECMAScript files the imports are read.
+it is left out. Python files are read with the compiler's own parser, ECMAScript files with :mod:`.ecma`.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import spread
+from . import ecma
 from .units import UnparsableFile, _lines, _python_lines, _tree
 
 MOST_CALLS = 10_000
@@ -151,21 +152,84 @@ def analyse_python(content: str) -> tuple[list, list, list]:
     return endpoints, [b for b in bindings if b[0] not in invalid], calls
 
 
+def analyse_ecma(content: str, types: bool, jsx: bool) -> tuple[list, list, list]:
+    """The same of a JavaScript or TypeScript file; endpoints have a fourth part, the name they are exported under.
+
+    Endpoints are function declarations and constants with a function at the top. A name that is assigned to anywhere,
+    bound twice at the top, or bound to something else there, is left out, and in a function so is what it binds.
+    """
+    nothing: tuple[list, list, list] = ([], [], [])
+    try:
+        found = ecma.parse(content, jsx=jsx, types=types, events=True)
+    except ecma.SyntaxFault:
+        return nothing
+    calls_seen = [d for d in found if d.kind == "call"]
+    if len(calls_seen) > MOST_CALLS:
+        return nothing
+    scopes = sorted((d for d in found if d.kind == "scope"), key=lambda d: d.end - d.start)
+
+    def around(at: int) -> ecma.Definition | None:
+        return next((x for x in scopes if x.start <= at < x.end), None)
+
+    imports = [d for d in found if d.kind == "import"]
+    bindings = []
+    for d in (x for x in found if x.kind == "local"):
+        whole = next((x for x in imports if x.start <= d.start < x.end), None)
+        if whole is not None and whole.module is not None and "\\" not in whole.module:
+            bindings.append((d.name, whole.module, d.module or None))
+    functions = [d for d in found if d.kind == "function" or d.kind == "variable" and d.module == "const"]
+    functions = [d for d in functions if d.name and d.depth == 0 and around(d.start) is None]
+    top = [d.name for d in found if d.kind == "bind" and around(d.start) is None] + [b[0] for b in bindings]
+    known = {d.name for d in functions} | {b[0] for b in bindings}
+    invalid = {n for n, k in Counter(top).items() if k != 1 or n not in known}
+    invalid |= {d.name for d in found if d.kind == "assign"}
+    inside: dict[int, list[ecma.Definition]] = {}
+    for d in found:
+        if d.kind in ("call", "bind") and (scope := around(d.start)) is not None:
+            inside.setdefault(id(scope), []).append(d)
+    endpoints, calls = [], []
+    for d in functions:
+        if d.name in invalid:
+            continue
+        piece = content[d.start : d.end]
+        first = content.count("\n", 0, d.start) + 1
+        export = ("default" if piece.startswith("export default") else d.name) if piece.startswith("export") else None
+        endpoints.append((d.name, first, first + piece.count("\n") - piece.endswith("\n"), export))
+        own = next((x for x in reversed(scopes) if d.start <= x.start and x.end <= d.end and x.module != "class"), None)
+        if own is None:
+            continue
+        events = inside.get(id(own), [])
+        local = invalid | {x.name for x in events if x.kind == "bind"} | ({"arguments"} if own.module == "function" else set())
+        for x in sorted((x for x in events if x.kind == "call"), key=lambda x: x.start):
+            if x.name not in local:
+                calls.append((d.name, first, x.start, x.name, x.module))
+    return endpoints, [b for b in bindings if b[0] not in invalid], calls
+
+
 _ANALYSIS = (
     "file_id string, repository_id string, path string, language string, role string, name string, start_line int, "
     "end_line int, position long, binding string, member string, module string"
 )
 
 
+def _analyse(language: str | None, path: str | None, content: str) -> tuple[list, list, list]:
+    if language == "python":
+        endpoints, bindings, calls = analyse_python(content)
+        return [(*e, None) for e in endpoints], bindings, calls
+    if language in ("javascript", "typescript"):
+        return analyse_ecma(content, language == "typescript", (path or "").lower().endswith(".jsx"))
+    return [], [], []
+
+
 def _run(batches):
     labels = [part.split()[0] for part in _ANALYSIS.split(", ")]
     types = [pa.string()] * 6 + [pa.int32()] * 2 + [pa.int64()] + [pa.string()] * 3
     for batch in batches:
         rows = []
-        for item, repo, path, content in zip(*(c.to_pylist() for c in batch.columns)):
-            head = (item, repo, path, "python")
-            endpoints, bindings, calls = analyse_python(content or "")
-            rows.extend((*head, "endpoint", n, a, b, None, None, None, None) for n, a, b in endpoints)
+        for item, repo, path, language, content in zip(*(c.to_pylist() for c in batch.columns)):
+            head = (item, repo, path, language)
+            endpoints, bindings, calls = _analyse(language, path, content or "")
+            rows.extend((*head, "endpoint", n, a, b, None, None, None, export) for n, a, b, export in endpoints)
             rows.extend((*head, "binding", s, None, None, None, n, None, m) for n, m, s in bindings)
             rows.extend((*head, "call", n, a, None, at, b, m, None) for n, a, at, b, m in calls)
         columns = list(zip(*rows)) if rows else [[]] * 12
@@ -173,20 +237,25 @@ def _run(batches):
 
 
 def analyse_calls(files: DataFrame) -> DataFrame:
-    """Endpoints, bindings and calls of Python files (file_id, repository_id, path, content), told apart by ``role``."""
-    return spread(files.select("file_id", "repository_id", "path", "content")).mapInArrow(_run, _ANALYSIS)
+    """Endpoints, bindings and calls of files (file_id, repository_id, path, language, content), told apart by ``role``.
+
+    For endpoints ``module`` is the name they are exported under. Files of other languages, and such that do not
+    parse, give nothing.
+    """
+    slim = files.select("file_id", "repository_id", "path", "language", "content")
+    return spread(slim).mapInArrow(_run, _ANALYSIS)
 
 
 def endpoints_with_units(analysis: DataFrame, units: DataFrame) -> DataFrame:
     """Endpoints joined with the one stored unit of the same file, name and lines: adds ``unit_id``."""
-    ends = analysis.where(F.col("role") == "endpoint").select("repository_id", "file_id", "path", "language", "name", "start_line", "end_line")
+    ends = analysis.where(F.col("role") == "endpoint").select("repository_id", "file_id", "path", "language", "name", "start_line", "end_line", F.col("module").alias("export"))
     stored = units.where(F.col("kind") == "function").select(
         "file_id", F.col("symbol_name").alias("name"), "start_line", "end_line", F.col("code_unit_id").alias("unit_id")
     )
     joined = ends.join(stored, ["file_id", "name", "start_line", "end_line"])
     key = ["repository_id", "file_id", "path", "language", "name", "start_line"]
-    one = joined.groupBy(*key).agg(F.count("*").alias("n"), F.min("unit_id").alias("unit_id")).where("n = 1").drop("n")
-    return one.withColumn("export", F.lit(None).cast("string"))
+    one = joined.groupBy(*key).agg(F.count("*").alias("n"), F.min("unit_id").alias("unit_id"), F.min("export").alias("export"))
+    return one.where("n = 1").drop("n")
 
 
 def call_rows(analysis: DataFrame, endpoints: DataFrame) -> DataFrame:

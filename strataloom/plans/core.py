@@ -501,8 +501,9 @@ def import_resolve(spark, d):
 
 @query()
 def call_resolve(spark, d):
-    """Call edges between stored Python functions, from the scanned texts."""
-    files = distinct_files(spark, d).where("language = 'python'").select("file_id", "repository_id", F.col("relative_path").alias("path"), "content")
+    """Call edges between stored functions, from the scanned texts."""
+    files = distinct_files(spark, d).where(F.col("language").isin("python", "javascript", "typescript"))
+    files = files.select("file_id", "repository_id", F.col("relative_path").alias("path"), "language", "content")
     analysis = durable(references.analyse_calls(files))  # parsed once, read three times
     ends = references.endpoints_with_units(analysis, units(spark, d))
     calls = references.call_rows(analysis, ends)

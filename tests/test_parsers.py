@@ -140,3 +140,44 @@ def test_call_edges_across_files(spark):
     ends = references.endpoints_with_units(analysis, stored)
     edges = graph.resolve_calls(references.call_rows(analysis, ends), references.binding_rows(analysis), ends, df)
     assert {(r.source_unit_id, r.target_unit_id) for r in edges.collect()} == {("pkg/b.py:f", "pkg/a.py:g"), ("pkg/b.py:f", "pkg/b.py:f")}
+
+
+ECMA_CASES = {
+    "plain": ("function g() {}\nfunction f() { g() }\n", [("f", "g", None)]),
+    "const arrow and member": ("import * as m from './m';\nexport const f = () => m.g();\n", [("f", "m", "g")]),
+    "alias": ("import { a as b } from './m';\nconst f = function () { return b(1) };\n", [("f", "b", None)]),
+    "recursion": ("export default function f() { f() }\n", [("f", "f", None)]),
+    "parameter shadows": ("function g() {}\nfunction f({ a: [g] }) { g() }\n", []),
+    "declaration shadows": ("function g() {}\nfunction f() { g(); const g = 1 }\n", []),
+    "assigned in a closure": ("function g() {}\nfunction f() { g() }\nfunction h() { () => { g = 1 } }\n", []),
+    "member set": ("import * as m from './m';\nm.x = 1;\nfunction f() { m.g() }\n", []),
+    "twice": ("function g() {}\nfunction g() {}\nfunction f() { g() }\n", []),
+    "let": ("let g = () => 1;\nfunction f() { g() }\n", []),
+    "inner scope": ("function g() {}\nfunction f() { [].map(() => g()) }\n", []),
+    "arguments": ("function f() { arguments(); this.g(); new g() }\n", []),
+    "chain": ("import m from './m';\nfunction f() { m.g.h(); m[g](); m.b() }\n", [("f", "m", "b")]),
+    "updated": ("function g() {}\ng++;\nfunction f() { g() }\n", []),
+    "class": ("class g {}\nfunction f() { g() }\n", []),
+    "syntax error": ("function g() {}\nfunction f( { g() }\n", []),
+}
+
+
+@pytest.mark.parametrize("name", ECMA_CASES)
+def test_ecma_call_hints(name):
+    source, want = ECMA_CASES[name]
+    assert [(c[0], c[3], c[4]) for c in references.analyse_ecma(source, False, False)[2]] == want
+
+
+def test_typescript_type_imports_bind_nothing_callable():
+    source = "import { type g, h } from './m';\nfunction f(x: g): void { g(); h() }\n"
+    assert [c[3] for c in references.analyse_ecma(source, True, False)[2]] == ["h"]
+
+
+def test_ecma_call_edges_across_files(spark):
+    files = {"a.ts": "export function g(): void {}\nexport default () => 1;\nexport const k = () => 2;\n", "b.js": "import d, { g, k as kk } from './a';\nimport * as n from './a';\nfunction f() { g(); kk(); n.g(); d(); f() }\n"}
+    df = spark.createDataFrame([(p, "r", p, c, "typescript" if p.endswith("ts") else "javascript") for p, c in files.items()], "file_id string, repository_id string, path string, content string, language string")
+    stored = units.parse_files(df).selectExpr("concat(path, ':', symbol_name) as code_unit_id", "file_id", "kind", "symbol_name", "start_line", "end_line")
+    analysis = references.analyse_calls(df)
+    ends = references.endpoints_with_units(analysis, stored)
+    edges = graph.resolve_calls(references.call_rows(analysis, ends), references.binding_rows(analysis), ends, df)
+    assert {(r.source_unit_id, r.target_unit_id) for r in edges.collect()} == {("b.js:f", "a.ts:g"), ("b.js:f", "a.ts:k"), ("b.js:f", "b.js:f")}
