@@ -546,7 +546,19 @@ def overview_by_kind(spark, d):
     return overview.by_group(table(spark, d, "code_units"), table(spark, d, "files"), F.col("kind"), "kind")
 
 
-@query()
+def _grouped_json(expression: str, name: str) -> str:
+    return f"""(SELECT repository_id, CAST(to_json(list({{'{name}': k, 'count': n}} ORDER BY k)) AS VARCHAR) AS j FROM (
+  SELECT f.repository_id, {expression} AS k, count(*) AS n FROM code_units c JOIN files f ON f.id = c.file_id GROUP BY 1, 2) GROUP BY 1)"""
+
+
+_LANGUAGE = "CASE WHEN c.language IN ('python', 'javascript', 'typescript', 'documentation', 'config') THEN c.language ELSE 'other' END"
+
+
+@query(f"""SELECT r.id AS repository_id, CAST(r.index_generation AS VARCHAR) AS index_generation, j.id AS job_id, j.status, coalesce(f.n, 0) AS files,
+  coalesce(u.n, 0) AS code_units, coalesce(u.named, 0) AS named_code_units, coalesce(l.j, '[]') AS by_language, coalesce(k.j, '[]') AS by_kind
+FROM repositories r LEFT JOIN {_FILES} f ON f.repository_id = r.id LEFT JOIN {_UNITS} u ON u.repository_id = r.id
+LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repository_id ORDER BY created_at DESC, id DESC) AS n FROM indexing_jobs) WHERE n = 1) j ON j.repository_id = r.id
+LEFT JOIN {_grouped_json(_LANGUAGE, 'language')} l ON l.repository_id = r.id LEFT JOIN {_grouped_json('c.kind', 'kind')} k ON k.repository_id = r.id""")
 def overview_json(spark, d):
     """Nested overview of every repository."""
     return overview.overview_json(*(table(spark, d, t) for t in ("repositories", "indexing_jobs", "files", "code_units")))
@@ -736,7 +748,14 @@ def citations_extract(spark, d):
     return context.citations(_answers(spark, d))
 
 
-@query()
+@query(rf"""WITH {_ANSWERS}, p AS (
+  SELECT query_id, string_split_regex(answer, '\[Evidence [1-9][0-9]*\]') AS t, regexp_extract_all(answer, '\[Evidence ([1-9][0-9]*)\]', 1) AS m FROM a
+), f AS (
+  SELECT query_id, list_filter(flatten(list_transform(range(len(t)), lambda i: [{{'k': 'text', 'v': t[i + 1]}}, {{'k': 'marker', 'v': m[i + 1]}}])),
+    lambda x: x.v IS NOT NULL AND NOT (x.k = 'text' AND x.v = '')) AS l FROM p
+), r AS (SELECT query_id, unnest(range(len(l))) AS pos, unnest(l) AS x FROM f)
+SELECT query_id, CAST(pos AS INTEGER) AS pos, CASE WHEN x.k = 'marker' AND TRY_CAST(x.v AS BIGINT) <= 4 THEN 'marker' ELSE 'text' END AS kind,
+  CASE WHEN x.k = 'marker' AND TRY_CAST(x.v AS BIGINT) > 4 THEN '[Evidence ' || x.v || ']' ELSE x.v END AS value FROM r""")
 def citation_markers(spark, d):
     """Answers as alternating text and known markers."""
     return context.marker_tokens(_answers(spark, d))
