@@ -27,12 +27,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Vectors the index is fitted on, at most; the bound of what the driver holds.
-SAMPLE = 20_000
+#: Vectors the index is fitted on: so many per cell, at least and at most; the last bounds what the driver holds.
+PER_CELL, LEAST_SAMPLE, SAMPLE = 40, 10_000, 65_536
 #: Members one task of a cell should have; cells expected to have more are split.
 CELL_ROWS = 4_096
-#: Cells that are fitted, at most: their centres are shipped with the tasks (1,024 x 384 floats are 1.5 MB).
-MOST_CELLS = 1_024
+#: Cells that are fitted, at most: their centres are shipped with the tasks (4,096 x 384 floats are 6.3 MB).
+MOST_CELLS = 4_096
 #: Dimensions of a block, entries of its table, and how much a parallel error weighs against one across.
 BLOCK, ENTRIES, PARALLEL = 4, 16, 4.0
 #: Candidates per question and cell whose inner products are computed exactly.
@@ -338,20 +338,24 @@ def _distances(questions: np.ndarray, members: np.ndarray, short: np.ndarray) ->
 
 
 def fit(df: DataFrame, vector: str) -> Index | None:
-    """Fit the index on at most SAMPLE usable vectors; None if there are none."""
+    """Fit the index on a bounded sample of the usable vectors; None if there are none.
+
+    The cells grow as the square root of the rows, so that assigning a vector to cells and scanning them cost alike.
+    """
     usable = df.where(F.col(vector).isNotNull()).select(F.col(vector).alias("v"))
     rows = usable.count()
     if not rows:
         return None
-    share = min(1.0, 1.1 * SAMPLE / rows)
-    sample = (usable if share == 1 else usable.sample(share, seed=11)).limit(SAMPLE).toArrow()
+    cells = int(np.clip(np.sqrt(rows) * 1.5, 1, MOST_CELLS))
+    size = min(SAMPLE, max(LEAST_SAMPLE, PER_CELL * cells))
+    share = min(1.0, 1.1 * size / rows)
+    sample = (usable if share == 1 else usable.sample(share, seed=11)).limit(size).toArrow()
     _, values = _matrix(sample.column(0))
     if not len(values):
         return None
     x = np.unique(values, axis=0)
     x = _unit(x[np.random.default_rng(3).permutation(len(x))])
-    cells = int(np.clip(np.sqrt(rows) * 1.5, 1, min(MOST_CELLS, max(1, len(x) // 20))))
-    return Index(x, cells, rows)
+    return Index(x, min(cells, max(1, len(x) // 16)), rows)
 
 
 def neighbours(df: DataFrame, item: str, vector: str, k: int = 5, probes: int = 3) -> DataFrame:
