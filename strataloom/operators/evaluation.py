@@ -42,6 +42,22 @@ def macro(metrics: DataFrame, ks: tuple[int, ...] = KS, by: list[str] | None = N
     return metrics.groupBy(*(by or [])).agg(F.count("*").alias("questions"), *columns, F.round(F.avg("reciprocal_rank"), 6).alias("mrr"))
 
 
+def by_mode(units: DataFrame, questions: DataFrame, targets: DataFrame, limit: int = 10, width: int | None = None) -> DataFrame:
+    """(mode, questions, recall_at_k..., mrr) of semantic, hybrid and reranked search, all questions in one plan each."""
+    from . import search
+
+    modes = {
+        "semantic": search.semantic(units, questions, limit, width=width),
+        "hybrid": search.hybrid(units, questions, limit, width=width),
+        "reranked": search.reranked(units, questions, limit, width=width),
+    }
+    rows = [per_question(results, targets).withColumn("mode", F.lit(mode)) for mode, results in modes.items()]
+    out = rows[0]
+    for more in rows[1:]:
+        out = out.unionByName(more)
+    return macro(out, by=["mode"])
+
+
 def guard(control: DataFrame, expected: dict[str, float], fell_back: bool) -> None:
     """Refuse to write a baseline when the reranker was missing or the control metrics moved."""
     if fell_back:
