@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import durable
+from . import search
+
 KS = (1, 3, 5, 10)
 
 
@@ -43,13 +46,17 @@ def macro(metrics: DataFrame, ks: tuple[int, ...] = KS, by: list[str] | None = N
 
 
 def by_mode(units: DataFrame, questions: DataFrame, targets: DataFrame, limit: int = 10, width: int | None = None) -> DataFrame:
-    """(mode, questions, recall_at_k..., mrr) of semantic, hybrid and reranked search, all questions in one plan each."""
-    from . import search
-
+    """(mode, questions, recall_at_k..., mrr) of semantic, hybrid and reranked search, over all questions at once."""
+    depth = min(search.HYBRID_DEPTH * min(search.RERANK_DEPTH * limit, 100), 100)
+    s = durable(search.semantic(units, questions, depth, width=width))  # each search runs once, to the greatest depth
+    x = durable(search.lexical(units, questions, depth))
+    targets = durable(targets)
+    first = lambda df, n: df.where(F.col("rank") <= n)
+    shallow, wide = search.HYBRID_DEPTH * limit, min(search.RERANK_DEPTH * limit, 100)
     modes = {
-        "semantic": search.semantic(units, questions, limit, width=width),
-        "hybrid": search.hybrid(units, questions, limit, width=width),
-        "reranked": search.reranked(units, questions, limit, width=width),
+        "semantic": first(s, limit),
+        "hybrid": search.fuse(first(s, shallow), first(x, shallow), limit),
+        "reranked": search.rerank(search.fuse(s, x, wide), units, questions, limit),
     }
     rows = [per_question(results, targets).withColumn("mode", F.lit(mode)) for mode, results in modes.items()]
     out = rows[0]

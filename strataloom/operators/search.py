@@ -147,7 +147,12 @@ def reranked(
     """
     order.check_limit(limit)
     depth = min(RERANK_DEPTH * limit, order.MAX_LIMIT)
-    candidates = hybrid(units, questions, depth, filters, width).withColumnRenamed("rank", "original_hybrid_rank")
+    return rerank(hybrid(units, questions, depth, filters, width), units, questions, limit, score)
+
+
+def rerank(candidates: DataFrame, units: DataFrame, questions: DataFrame, limit: int, score=overlap_score) -> DataFrame:
+    """The last step of :func:`reranked`, on candidates that are there already."""
+    candidates = candidates.withColumnRenamed("rank", "original_hybrid_rank")
     if score is None:
         ranked = candidates.withColumn("rerank_score", F.lit(None).cast("double"))
         return order.top(ranked, [F.col("original_hybrid_rank")], limit, ["query_id"])
