@@ -24,6 +24,8 @@ from ..session import durable
 
 #: Items of one query that are compared with each other at once.
 BLOCK = 256
+#: Items of a query from which on its positions come from a sort over many tasks instead of one.
+HOT = 200_000
 
 
 def _known(score: Column, higher: bool) -> Column:
@@ -43,10 +45,29 @@ def _distinct_items(df: DataFrame, query: str, item: str, scores: dict[str, bool
 def _percentiles(items: DataFrame, count: int) -> DataFrame:
     """(query_id, item_id, percentiles): the share of the query's items that are strictly worse, per score.
 
-    A missing score is worse than any number and equal to another missing one. Positions come from one global sort
-    by (query, score, value): each range partition counts its rows, the counts give every partition its offset, and
-    no query ever has to fit into one task.
+    A missing score is worse than any number and equal to another missing one. Queries of ordinary size are ranked
+    each within a task, with one shuffle for all scores; those above HOT by a sort over many tasks. Both give the same.
     """
+    sizes = items.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") > HOT)
+    hot = durable(sizes.select(F.col("query_id").alias("hot_id")))
+    if hot.isEmpty():
+        return _within_tasks(items, count)
+    same = F.col("query_id").eqNullSafe(F.col("hot_id"))
+    cold = _within_tasks(items.join(hot, same, "left_anti"), count)
+    return cold.unionByName(_over_tasks(items.join(hot, same, "left_semi"), count))
+
+
+def _within_tasks(items: DataFrame, count: int) -> DataFrame:
+    """Percentiles by window functions that all share one partitioning."""
+    query = Window.partitionBy("query_id")
+    others = F.greatest(F.count("*").over(query) - 1, F.lit(1))
+    worse = lambda i: F.rank().over(query.orderBy(F.col(f"s{i}").asc_nulls_first())) - 1
+    return items.select("query_id", "item_id", *[(worse(i) / others).alias(f"p{i}") for i in range(count)])
+
+
+def _over_tasks(items: DataFrame, count: int) -> DataFrame:
+    """Percentiles from one global sort by (query, score, value): each range partition counts its rows, the counts give
+    every partition its offset, and no query ever has to fit into one task."""
     long = items.select(
         "query_id",
         "item_id",

@@ -44,8 +44,10 @@ def data(spark):
     return rows, spark.createDataFrame(rows, SCHEMA).repartition(5)
 
 
-def test_percentiles_and_order(data):
+@pytest.mark.parametrize("hot", [leximin.HOT, 30, 0])
+def test_percentiles_and_order(data, monkeypatch, hot):
     rows, df = data
+    monkeypatch.setattr(leximin, "HOT", hot)
     ranked = leximin.leximin(df, "query_id", "item", SCORES)
     got = {}
     for r in ranked.collect():
@@ -85,7 +87,9 @@ def test_dominant_sets_by_trying_all():
             assert tuple(found) == sets[0] and len(sets) == 1
 
 
-def test_edges(spark):
+@pytest.mark.parametrize("hot", [leximin.HOT, 0])
+def test_edges(spark, monkeypatch, hot):
+    monkeypatch.setattr(leximin, "HOT", hot)
     empty = spark.createDataFrame([], SCHEMA)
     assert leximin.leximin(empty, "query_id", "item", SCORES).count() == 0
     assert leximin.fair_top(leximin.leximin(empty, "query_id", "item", SCORES), 5).count() == 0
