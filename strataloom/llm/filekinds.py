@@ -69,38 +69,50 @@ _GENERATED = re.compile(
 )
 _NOT_THIS = re.compile(r"(?i)\bdo not edit that\b|\breads? the\b|\bstub\b|\bin generated\b|\bkept by hand\b|\bwritten by hand\b|\bhand-?written\b")
 _UPSTREAM = re.compile(
-    r"(?im)\bupstream\s*:|^\W*\S+ v?\d+\.\d+(?:\.\d+)?\s*\||\((?:c)\)\s*(?:\d{4}\s*)?(?:the )?\S+ (?:contributors|authors)|\b(?:vendored|copied|taken|adapted|imported) from\b"
+    r"(?im)\bupstream\s*:|^[^\w\n]*+(?:\w\S*+ |(?<=\S ))v?\d+\.\d+(?:\.\d+)?\s*\||\((?:c)\)\s*(?:\d{4}\s*)?(?:the )?\S+ (?:contributors|authors)|\b(?:vendored|copied|taken|adapted|imported) from\b"
     r"|\breleased under the (?:mit|apache|bsd|isc|mpl)|\blicensed under the (?:mit|apache|bsd|isc|mozilla)|\bspdx-license-identifier|@license\b"
     r"|\bcopyright (?:\(c\) )?(?:\d{4}[-, \d]* )?the \S+ (?:authors|contributors|developers|project)\b|\ball rights reserved\b"
 )
 _NAME_GENERATED = re.compile(r"(?i)(?:_pb2(?:_grpc)?\.pyi?|\.pb\.(?:js|ts|py)|\.g\.(?:ts|js)|\.generated\.\w+|_generated\.\w+|\.gen\.\w+|\.designer\.\w+)$")
 _NAME_MINIFIED = re.compile(r"(?i)(?:[.-]min\.js|\.bundle\.js|\.chunk\.js|[.-][0-9a-f]{8}\.js)$")
 _NAME_VERSION = re.compile(r"-v?\d+[._]\d+(?:[._]\d+)+\.\w+$")
-_COMMENT = re.compile(r"\s*(?:#|//|/\*|\*|<!--|\"\"\"|''')")
+_COMMENT = re.compile(r"(?s:/\*.*?(?:\*/|\Z))|(?:#|//|<!--)[^\n]*")
+_MARKUP_COMMENT = re.compile(r"(?s:<!--.*?(?:-->|\Z))")
+_DOCSTRING = re.compile(
+    r"(?>[rRuU]?(?s:(?P<q>\"\"\"|''')(?:[^\\]|\\.)*?(?:(?P=q)|\Z)|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'))(?=[^\S\n]*(?:[\n;#]|\Z))"
+)
+_BLANK = re.compile(r"[\s\ufeff]*")
+_CODE = (".py", ".pyi", ".js", ".jsx", ".mjs", ".cjs", ".ts", ".tsx")
 _STRING = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`")
 _SHAPE = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|\d[\w.]*|[A-Za-z_$][\w$]*")
 _IDENTIFIER = re.compile(r"[A-Za-z_$][\w$]*")
 
 
-def _head(lines: list[str]) -> tuple[str, int]:
-    """The comment a file begins with, and the line after it. A shebang or a blank line may come first."""
-    i = 0
-    while i < len(lines) and (not lines[i].strip() or _COMMENT.match(lines[i])):
-        i += 1
-        if i >= 24:
-            break
-    return "\n".join(lines[:i]), i
+def _head(path: str, text: str) -> tuple[str, str]:
+    """The comments a file begins with, all of them up to the first code, and the text after them. The docstring of a
+    Python module is one of them. A byte order mark, a shebang or blank lines may come first or between."""
+    suffix = path.lower()
+    end, documented = 0, suffix.endswith(_CODE[2:])
+    while True:
+        start = _BLANK.match(text, end).end()
+        comment = None if suffix.endswith(_CODE) else _MARKUP_COMMENT.match(text, start)
+        comment = comment or _COMMENT.match(text, start)
+        if not comment and not documented:
+            comment, documented = _DOCSTRING.match(text, start), True
+        if not comment:
+            return text[:end], text[start:]
+        end = comment.end()
 
 
 def evidence(path: str, text: str) -> tuple[list[float], str | None]:
     """(log evidence for the five labels, hash of the text without its leading comment)."""
     score = [0.0] * 5
     name = path.rpartition("/")[2]
-    lines = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
-    head, first = _head(lines)
-    rest = [x for x in lines[first:] if x.strip()] or [x for x in lines if x.strip()]
+    text = text.replace("\r\n", "\n").replace("\r", "\n")
+    head, after = _head(path, text)
+    rest = [x for x in after.split("\n") if x.strip()] or [x for x in text.split("\n") if x.strip()]
     body = "\n".join(x.rstrip() for x in rest)
-    top = [x for x in head.split("\n")[:8] if not _NOT_THIS.search(x)]
+    top = [x for x in head.split("\n") if not _NOT_THIS.search(x)]
     if any(_GENERATED.search(x) for x in top):
         score[G] += 9
     if _NAME_GENERATED.search(name):
@@ -110,7 +122,7 @@ def evidence(path: str, text: str) -> tuple[list[float], str | None]:
     if _NAME_VERSION.search(name):
         score[V] += 4
     size = len(body)
-    if size < 24 or first >= len(lines):
+    if size < 24 or not after:
         score[H] += 4
         return score, None
     # minified: long dense lines of short names

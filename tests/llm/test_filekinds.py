@@ -31,6 +31,27 @@ def test_kinds(spark):
     }
 
 
+LICENCE = [f"Line {i} of the terms under which the team lends this." for i in range(30)]
+
+
+def test_the_whole_leading_comment_speaks(spark):
+    mark, up = "Code generated by x v1. DO NOT EDIT.", "Copyright the lib authors."
+    script = "function f(a) {\n  if (a > 3) {\n    return g(a);\n  }\n  for (const b of a) {\n    h(b, a);\n  }\n  return null;\n}\n"
+    code = lambda n: CODE.replace("h(", f"n{n}(")
+    rows = [
+        ("r", "src/a.py", "\n".join("# " + x for x in LICENCE[:8] + [mark]) + "\n" + code(1)), ("r", "src/b.py", "﻿" + "\r\n".join("# " + x for x in LICENCE + [mark]) + "\r\n" + code(2)),
+        ("r", "src/c.py", '"""The messages.\n\n' + mark + '\n"""\n' + code(3)), ("r", "src/d.js", "/*\n" + "\n".join(LICENCE + [mark]) + "\n*/\n" + script.replace("h(", "i(")),
+        ("r", "src/e.py", "\n".join("# " + x for x in LICENCE + [up]) + "\n" + code(5)), ("r", "src/f.js", "/*\n  A library.\n\n  " + up + "\n*/ " + script.replace("h(", "j(")),
+        # no leading comment: strings of an expression, and comments after the first code
+        ("s", "src/g.py", '"""\n' + mark + '\n""".join(x)\n' + code(7)), ("s", "src/h.js", "/* The table. */ var a = 1;\n/*\n" + mark + "\n*/\n" + script.replace("h(", "k(")),
+        ("s", "src/i.py", "'''Runs it.'''\n" + code(9) + "# " + mark + "\n"),
+    ]
+    assert labels(spark, rows) == {
+        "src/a.py": "generated", "src/b.py": "generated", "src/c.py": "generated", "src/d.js": "generated", "src/e.py": "vendored", "src/f.js": "vendored",
+        "src/g.py": "handwritten", "src/h.js": "handwritten", "src/i.py": "handwritten",
+    }
+
+
 def slow_beliefs(files):
     """Exact posteriors by summing over all labels of all files and directories."""
     dirs = sorted({tuple(p.split("/")[:k]) for p, _ in files for k in range(len(p.split("/")))})
