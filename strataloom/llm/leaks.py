@@ -159,9 +159,14 @@ def _grow(doc: np.ndarray, item: np.ndarray, d: int, p: int, way: int, spare: in
             return end_d, end_p
 
 
+def _spare(length):
+    """Changes that a run of an item of so many words may have to each side of a hit."""
+    return length // SHARE // WRONG + 1
+
+
 def _runs(doc: np.ndarray, item: np.ndarray, at: np.ndarray, off: np.ndarray) -> list[tuple[int, int, int, int]]:
     """Runs (doc start, doc end, item start, item end) grown from the hits of one item, longest first."""
-    spare = max(1, len(item) // SHARE // WRONG + 1)
+    spare = _spare(len(item))
     order = np.lexsort((off, at))
     found: list[tuple[int, int, int, int]] = []
     covered: set[tuple[int, int]] = set()
@@ -179,7 +184,10 @@ def _runs(doc: np.ndarray, item: np.ndarray, at: np.ndarray, off: np.ndarray) ->
 
 
 def quoted(doc: np.ndarray, item: np.ndarray, at: np.ndarray, off: np.ndarray) -> int:
-    """Unchanged words of ``item`` that ``doc`` repeats in order, in runs that follow each other closely."""
+    """Words of ``item`` that ``doc`` repeats in order, in runs that follow each other closely.
+
+    The changed words of a run count: a run is accepted with at most one in WRONG changed.
+    """
     runs = []
     for d0, d1, p0, p1 in set(_runs(doc, item, at, off)):
         size = p1 - p0
@@ -187,18 +195,18 @@ def quoted(doc: np.ndarray, item: np.ndarray, at: np.ndarray, off: np.ndarray) -
             continue
         changed = myers(item[p0:p1], doc[d0:d1])
         if changed * WRONG <= size:
-            runs.append((d0, d1, p0, p1, size - changed))
+            runs.append((d0, d1, p0, p1, size))
     runs.sort()
     best = 0
     totals: list[int] = []
-    for i, (d0, _, p0, _, same) in enumerate(runs):
-        most = same
+    for i, (d0, _, p0, _, size) in enumerate(runs):
+        most = size
         for j in range(i - 1, -1, -1):
             e0, e1, _, q1, _ = runs[j]
             if d0 - e0 > NEAR + 2 * len(item):
                 break
             if e1 - 2 <= d0 <= e1 + NEAR and q1 - 2 <= p0:
-                most = max(most, totals[j] + same - max(0, q1 - p0))
+                most = max(most, totals[j] + size - max(0, q1 - p0))
         totals.append(most)
         best = max(best, most)
     return best
@@ -208,7 +216,6 @@ def _scan(batches, items: Items):
     get = items.vocabulary.get
     lengths = np.array([len(t) for t in items.texts], dtype=np.int64)
     need = -(-lengths // SHARE)
-    hits = _least_hits(need)
     for batch in batches:
         rows: list[tuple[int, int, float]] = []
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -218,23 +225,41 @@ def _scan(batches, items: Items):
             if not w:
                 continue
             doc = np.array(list(map(get, w, repeat(0))), dtype=np.int64)
-            for i, n in _leaks(doc, items, need, hits):
+            for i, n in _leaks(doc, items, need, lengths):
                 rows.append((doc_id, items.ids[i], n / int(lengths[i])))
         columns = list(zip(*rows)) if rows else [[]] * 3
         arrays = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()))]
         yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "item_id", "share"])
 
 
-def _least_hits(need: np.ndarray) -> np.ndarray:
-    """Distinct pieces that a quotation of ``need`` unchanged words leaves whole.
+def _likely(owner: np.ndarray, place: np.ndarray, off: np.ndarray, need: np.ndarray, lengths: np.ndarray):
+    """Slices of the hits, given by owner and place, outside of which ``quoted`` finds no ``need`` words together.
 
-    With at most one word in six changed there are need // 5 changes at most. Each spoils PIECE - 1 of the pieces that
-    would otherwise lie between unchanged words, and so does the end of each of two runs.
+    A run of s words with e changes, e <= s / WRONG, has at least s - e - (PIECE - 1) * (e + 1) whole pieces, so one
+    with h pieces has at most WRONG / (WRONG - PIECE) * (h + PIECE - 1) words. Pieces that follow each other word by
+    word lie in one run, and runs that follow each other share no piece: the pieces and the unbroken rows of them,
+    each counted once, bound the words of any number of runs. Between the hits of one run there are no more words than
+    its spare changes let ``_grow`` pass without a whole piece; between runs there are NEAR words more.
     """
-    return np.maximum(1, need - (PIECE - 1) * (need // (WRONG - 1) + 2))
-
-
-def _leaks(doc: np.ndarray, items: Items, need: np.ndarray, hits: np.ndarray):
+    bare = PIECE * _spare(lengths) + PIECE - 1
+    reach = PIECE + 2 * bare + NEAR
+    begins = np.append(True, (np.diff(owner) != 0) | (np.diff(place) > reach[owner[1:]]))
+    group = np.cumsum(begins) - 1
+    diagonal = np.lexsort((place, place - off, owner))
+    o, p, d = owner[diagonal], place[diagonal], (place - off)[diagonal]
+    row = np.append(True, (np.diff(o) != 0) | (np.diff(d) != 0) | (np.diff(p) != 1))
+    cell = group * 2**32 + off
+    size = group[-1] + 1
+    pieces = np.bincount(np.unique(cell) >> 32, minlength=size)
+    rows = np.bincount(np.unique(cell[diagonal][row]) >> 32, minlength=size)
+    first = np.flatnonzero(begins)
+    last = np.append(first[1:], len(owner))
+    words_most = WRONG * (pieces + (PIECE - 1) * rows) // (WRONG - PIECE)
+    for g in np.flatnonzero(words_most >= need[owner[first]]).tolist():
+        yield int(owner[first[g]]), slice(first[g], last[g])
+
+
+def _leaks(doc: np.ndarray, items: Items, need: np.ndarray, lengths: np.ndarray):
     if not len(items.hashes):
         return
     if items.shortest >= PIECE:
@@ -254,37 +279,14 @@ def _leaks(doc: np.ndarray, items: Items, need: np.ndarray, hits: np.ndarray):
     place = np.repeat(at if spots is None else spots[at], many)
     index = np.repeat(first - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
     owner, off = items.owners[index], items.offsets[index]
-    cell = owner * 2**32 + off
-    distinct = np.unique(cell)
-    count = np.bincount(distinct >> 32, minlength=len(items.ids))
-    likely = np.flatnonzero(count >= hits)
-    if not len(likely):
-        return
-    order = np.argsort(owner, kind="stable")
+    order = np.lexsort((off, place, owner))
     owner, off, place = owner[order], off[order], place[order]
-    for i in likely.tolist():
-        a, b = np.searchsorted(owner, (i, i + 1))
-        p, o = place[a:b], off[a:b]
-        if not _dense(p, o, 2 * int(need[i]) + 2 * NEAR, int(hits[i])):
-            continue
-        n = quoted(doc, items.texts[i], p, o)
+    best: dict[int, int] = {}
+    for i, part in _likely(owner, place, off, need, lengths):
+        n = quoted(doc, items.texts[i], place[part], off[part])
         if n >= need[i]:
-            yield i, n
-
-
-def _dense(place: np.ndarray, off: np.ndarray, reach: int, hits: int) -> bool:
-    """Whether some stretch of ``reach`` words of the document has that many distinct hits."""
-    order = np.argsort(place, kind="stable")
-    p, o = place[order], off[order]
-    last = np.searchsorted(p, p + reach)
-    tried = 0
-    for i in np.flatnonzero(last - np.arange(len(p)) >= hits).tolist():
-        if last[i] == tried:
-            continue  # a part of the stretch before
-        tried = last[i]
-        if len(set(o[i:tried].tolist())) >= hits:
-            return True
-    return False
+            best[i] = max(n, best.get(i, 0))
+    yield from best.items()
 
 
 def _passes(items: DataFrame, item: str, passage: str, limit: int):

@@ -76,6 +76,49 @@ def test_planted_quotations(spark):
     assert found(spark, docs, texts, pass_bytes=1) == want  # one pass per item gives the same
 
 
+def test_runs_that_keep_few_pieces(spark):
+    rng = random.Random(11)
+    item = words(rng, 150)
+    runs = lambda size, count, apart: [item[i * apart : i * apart + size] for i in range(count)]
+    changed = runs(12, 6, 20)
+    for run in changed:
+        run[4], run[8] = "other", "another"
+    long = item[20:72]
+    long[5::7] = ["other"] * len(long[5::7])
+    join = lambda parts, gap: " ".join(" ".join(x + words(rng, gap)) for x in parts)
+    docs = [join(changed, 15), join(runs(6, 9, 14), 34), " ".join(long), join(changed[:4], 15), join(runs(6, 8, 14), 34), join(runs(6, 9, 14), 90), " ".join(long[:48])]
+    docs = [" ".join(words(rng, 100)) + " " + x + " " + " ".join(words(rng, 100)) for x in docs]
+    assert found(spark, docs, [" ".join(item)]) == {(0, 0), (1, 0), (2, 0)}
+
+
+def test_only_hopeless_hits_are_passed_over(monkeypatch):
+    def everything(owner, place, off, need, lengths):
+        for i in np.unique(owner).tolist():
+            yield i, slice(*np.searchsorted(owner, (i, i + 1)))
+
+    rng = random.Random(5)
+    texts = [[str(rng.randrange(40)) for _ in range(n)] for n in (3, 5, 12, 30, 60, 150)]
+    items = leaks.Items.of([(i, " ".join(t)) for i, t in enumerate(texts)])
+    lengths = np.array([len(t) for t in texts])
+    need = -(-lengths // leaks.SHARE)
+    numbers, both = items.vocabulary, 0
+    for _ in range(300):
+        doc: list[int] = []
+        for _ in range(rng.randrange(1, 12)):
+            t = rng.choice(texts)
+            a = rng.randrange(len(t))
+            part = [numbers[w] for w in t[a : a + rng.randrange(4, 40)]]
+            doc += [0 if rng.random() < 0.12 else w for w in part] + [0] * rng.randrange(0, 50)
+        d = np.array(doc)
+        got = dict(leaks._leaks(d, items, need, lengths))
+        with monkeypatch.context() as m:
+            m.setattr(leaks, "_likely", everything)
+            want = dict(leaks._leaks(d, items, need, lengths))
+        assert got == want
+        both += len(got)
+    assert both > 100
+
+
 def test_edges(spark):
     assert found(spark, ["a b c d e f"], [None, ""]) == set()
     assert found(spark, [], ["a b c d e f g h i"]) == set()
