@@ -10,9 +10,8 @@ Score-aware quantisation after a coarse partition:
    blocks are looked up at once); the best candidates are reranked with exact inner products.
 4. The answers of a question's cells are merged per vector, and copies get the answer of their group.
 
-Everything that travels is packed: a task ships one compressed block per cell, exact values for members, and for
-questions exact values or half precision, whichever takes less. Copies of a vector travel once per task with at most k+1 ids; the
-other ids travel with a hash only. A cell that is large is split over several tasks, and each question visits all.
+Everything that travels is packed: a task ships one compressed block per cell, with exact values for members and for
+questions. Copies of a vector travel once per task with at most k+1 ids; the other ids travel with a hash only. A cell that is large is split over several tasks, and each question visits all.
 """
 
 from __future__ import annotations
@@ -182,27 +181,15 @@ _BLOCKS = "cell int, split int, members boolean, count int, data binary, keys bi
 _SEP, _SEP2 = "\x1e", "\x1f"
 
 
-def _pack(x: np.ndarray, half: bool) -> bytes:
-    """A matrix, byte planes apart, compressed."""
-    kind = np.float16 if half else np.float32
-    raw = np.ascontiguousarray(x.astype(kind)).view(np.uint8).reshape(-1, np.dtype(kind).itemsize)
+def _pack(x: np.ndarray) -> bytes:
+    """A matrix of float32, byte planes apart, compressed."""
+    raw = np.ascontiguousarray(x.astype(np.float32)).view(np.uint8).reshape(-1, 4)
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(raw.T).tobytes())
 
 
-def _unpack(data: bytes, rows: int, half: bool) -> np.ndarray:
-    kind = np.dtype(np.float16 if half else np.float32)
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8).reshape(kind.itemsize, -1)
-    return np.ascontiguousarray(raw.T).view(kind).reshape(rows, -1)
-
-
-def _pack_question(exact: np.ndarray, unit: np.ndarray) -> bytes:
-    """Questions as exact values or as unit vectors in half precision, whichever is smaller; the first byte tells."""
-    full, half = _pack(exact, False), _pack(unit, True)
-    return b"\1" + full if len(full) <= len(half) else b"\0" + half
-
-
-def _unpack_question(data: bytes, rows: int) -> np.ndarray:
-    return _unpack(data[1:], rows, data[:1] == b"\0").astype(np.float32)
+def _unpack(data: bytes, rows: int) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(raw.T).view(np.float32).reshape(rows, -1)
 
 
 def _route(batches, index: Index, probes: int, k: int):
@@ -254,7 +241,7 @@ def _blocks(ids: list[str], values: np.ndarray, index: Index, probes: int, k: in
             # members of the other splits of a cell ask here as well
             rows.append((cell, s, False, np.concatenate([ask, home[salt[home] % n != s]])))
     out = [
-        (int(c), s, m, len(r), _pack(exact[r], False) if m else _pack_question(exact[r], x[r]), b"".join(keys[i] for i in r))
+        (int(c), s, m, len(r), _pack(exact[r]), b"".join(keys[i] for i in r))
         + (_SEP.join(names[i] for i in r) if m else "",)
         for c, s, m, r in rows
         if len(r)
@@ -278,7 +265,7 @@ def _answer(pdf: pd.DataFrame, index: Index, k: int) -> pd.DataFrame:
     keys: dict[bytes, int] = {}
     names: list[set[str]] = []
     chosen: list[tuple[int, int]] = []
-    blocks = [_unpack(d, n, False) for d, n in zip(members["data"], members["count"])]
+    blocks = [_unpack(d, n) for d, n in zip(members["data"], members["count"])]
     for b, (packed, listed) in enumerate(zip(members["keys"], members["ids"])):
         for i, listed_ids in enumerate(listed.split(_SEP)):
             key = packed[16 * i : 16 * i + 16]
@@ -318,7 +305,7 @@ def _answer(pdf: pd.DataFrame, index: Index, k: int) -> pd.DataFrame:
     ask(list(keys), exact)
     held: dict[bytes, np.ndarray] = {}
     for packed, data, n in zip(questions["keys"], questions["data"], questions["count"]):
-        rows = _unpack_question(data, n)
+        rows = _unpack(data, n)
         for i in range(n):
             held.setdefault(packed[16 * i : 16 * i + 16], rows[i])
     if held:

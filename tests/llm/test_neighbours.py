@@ -35,6 +35,16 @@ def test_recall(spark, clustered):
     assert set(got) == set(ids) and recall >= 0.9
 
 
+def test_distances_are_exact_from_every_cell(spark, clustered):
+    ids, x = clustered
+    df = spark.createDataFrame([(n, v.tolist(), 0) for n, v in zip(ids, x)], SCHEMA).repartition(3)
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    where = {n: i for i, n in enumerate(ids)}
+    for r in neighbours.neighbours(df, "id", "v", 5).collect():
+        want = 1 - u[[where[n] for n in r.ids]] @ u[where[r.id]]
+        assert list(r.distances) == pytest.approx(want.tolist(), rel=0, abs=1.1e-9)
+
+
 def test_quantised_scan_ranks_like_the_exact_product(clustered):
     _, x = clustered
     u = neighbours._unit(x)
