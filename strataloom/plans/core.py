@@ -1,6 +1,7 @@
 """Queries of the core operators over the test tables, each with its SQL where SQL can say it.
 
-Searches take the questions whose id is divisible by 20, against all units of their repository.
+Searches take the questions whose id is divisible by 20, against all units of their repository. Those named *_whole*,
+eval_modes and the flagship search for the whole question; the others, as their SQL says, for its last word.
 """
 
 from __future__ import annotations
@@ -50,6 +51,8 @@ Q = r"""q AS (
             + instr('0123456789abcdef', substr(sha256(question), CAST((i % 32) * 2 + 2 AS INTEGER), 1)) - 1 + 1) / 256.0) AS v
   FROM search_queries WHERE query_id % 20 = 0
 )"""
+#: The same with the whole question.
+WHOLE = Q.replace(r"regexp_extract(question, '(\p{L}+)[^\p{L}]*$', 1) AS question", "question")
 TOK = r"list_distinct(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+'))"
 TIERS = f"""CASE WHEN symbol_name = question THEN 9 WHEN lower(symbol_name) = lower(question) THEN 8
   WHEN contains(symbol_name, question) THEN 7 WHEN contains(lower(symbol_name), lower(question)) THEN 6
@@ -103,6 +106,17 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _asked(table(spark, sf_dir, "search_queries").where(F.col("query_id") % 20 == 0))
 
 
+def whole_questions(found: DataFrame) -> DataFrame:
+    """Questions as they were asked, with their vectors."""
+    made = found.withColumn("query_vector", vectors.digest_vector(F.col("question"), 384))
+    return made.select("query_id", "repository_id", "question", "query_vector")
+
+
+def stated_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stated set of questions, whole."""
+    return whole_questions(table(spark, sf_dir, "search_queries").where(F.col("query_id") % 20 == 0))
+
+
 def distinct_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scanned files, repeated rows once."""
     return table(spark, sf_dir, "source_files").dropDuplicates(["file_id"])
@@ -278,6 +292,12 @@ def lexical_top10(spark, d):
     return search.lexical(units(spark, d), questions(spark, d), 10)
 
 
+@query(f"WITH {U}, {WHOLE}, {LEX} SELECT query_id, {META}, lexical_score, CAST(rank AS INTEGER) AS rank FROM lex WHERE rank <= 10")
+def lexical_whole_top10(spark, d):
+    """Ten best lexical results of every whole question."""
+    return search.lexical(units(spark, d), stated_questions(spark, d), 10)
+
+
 @query(f"WITH {U}, {Q}, {LEX} SELECT lexical_score, count(*) AS units FROM scored GROUP BY lexical_score")
 def lexical_tiers_histogram(spark, d):
     """Units per tier of relevance, over all questions."""
@@ -360,6 +380,14 @@ def rerank_overlap(spark, d):
     return found.select("query_id", "code_unit_id", F.round("rerank_score", 6).alias("rerank_score"), "original_hybrid_rank", "rank")
 
 
+@query(f"""WITH {U}, {WHOLE}, {_hybrid_sql(60, 20)}, {_RERANK}
+SELECT query_id, code_unit_id, round(rerank_score, 6) AS rerank_score, CAST(rank AS INTEGER) AS original_hybrid_rank, CAST(n AS INTEGER) AS rank FROM rer WHERE n <= 10""")
+def rerank_whole(spark, d):
+    """Of twenty hybrid candidates the ten that share most tokens with the whole question."""
+    found = search.reranked(units(spark, d), stated_questions(spark, d), 10)
+    return found.select("query_id", "code_unit_id", F.round("rerank_score", 6).alias("rerank_score"), "original_hybrid_rank", "rank")
+
+
 @query(f"WITH {U}, {Q}, {_hybrid_sql(60, 20)} SELECT query_id, code_unit_id, CAST(NULL AS DOUBLE) AS rerank_score, CAST(rank AS INTEGER) AS rank FROM hybrid WHERE rank <= 10")
 def rerank_fallback(spark, d):
     """Without a reranker: the hybrid order, no score."""
@@ -684,10 +712,10 @@ def job_status_history(spark, d):
 # ---- context, citations, cache
 
 
-def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+def evidence(spark: SparkSession, sf_dir: str, asked: DataFrame | None = None) -> DataFrame:
     """Lexical results of every question as evidence."""
     u = units(spark, sf_dir)
-    found = search.lexical(u, questions(spark, sf_dir), 10).select("query_id", "code_unit_id", F.col("rank").alias("idx"))
+    found = search.lexical(u, questions(spark, sf_dir) if asked is None else asked, 10).select("query_id", "code_unit_id", F.col("rank").alias("idx"))
     names = table(spark, sf_dir, "repositories").select(F.col("id").alias("repository_id"), F.col("name").alias("repository_name"))
     full = found.join(u, "code_unit_id").join(names, "repository_id")
     return full.select("query_id", "idx", "repository_name", "path", "symbol_name", "start_line", "end_line", "content")
@@ -717,20 +745,33 @@ def context_pack(spark, d):
     return context.pack(evidence(spark, d))
 
 
-@query(f"""WITH {U}, {Q}, {LEX}, {_PACK}, j AS (
+_PROMPT = f"""{LEX}, {_PACK}, j AS (
   SELECT query_id, string_agg(block, chr(10) || chr(10) ORDER BY idx) AS text, count(*) AS n, bool_or(block_truncated) AS c FROM blocks GROUP BY query_id
 ), g AS (SELECT query_id, count(*) AS given FROM ev GROUP BY query_id)
 SELECT g.query_id, md5('Question:' || chr(10) || q.question || chr(10) || chr(10) || 'Allowed evidence IDs: ' || CASE WHEN coalesce(n, 0) > 0 THEN '1..' || n ELSE 'none' END || chr(10) || chr(10)
   || CASE WHEN coalesce(c, false) OR coalesce(n, 0) < given THEN '{context.TRUNCATED}' || chr(10) || chr(10) ELSE '' END || 'Repository Evidence:' || chr(10) || coalesce(text, '')) AS prompt_digest,
   coalesce(n, 0) AS included, coalesce(c, false) OR coalesce(n, 0) < given AS truncated
-FROM g LEFT JOIN j USING (query_id) JOIN q USING (query_id)""")
-def prompt_build(spark, d):
-    """The message of every question, as a digest."""
-    packed = context.assemble(evidence(spark, d)).join(questions(spark, d).select("query_id", "question"), "query_id")
+FROM g LEFT JOIN j USING (query_id) JOIN q USING (query_id)"""
+
+
+def _prompts(spark: SparkSession, sf_dir: str, asked: DataFrame) -> DataFrame:
+    packed = context.assemble(evidence(spark, sf_dir, asked)).join(asked.select("query_id", "question"), "query_id")
     message = context.prompt(F.col("question"), F.col("text"), F.col("included"), F.col("truncated"))
     return packed.select("query_id", F.md5(message.cast("binary")).alias("prompt_digest"), "included", "truncated")
 
 
+@query(f"WITH {U}, {Q}, {_PROMPT}")
+def prompt_build(spark, d):
+    """The message of every question, as a digest."""
+    return _prompts(spark, d, questions(spark, d))
+
+
+@query(f"WITH {U}, {WHOLE}, {_PROMPT}")
+def prompt_whole(spark, d):
+    """The message of every whole question, as a digest."""
+    return _prompts(spark, d, stated_questions(spark, d))
+
+
 _ANSWERS = "a AS (SELECT doc_id AS query_id, 'See [Evidence ' || (doc_id % 7) || '] and [Evidence ' || (doc_id % 5 + 1) || '], not [Evidence 0' || (doc_id % 3) || '] or [Evidence ' || (doc_id % 7) || ']. End' AS answer, 4 AS included FROM documents)"
 
 
@@ -810,8 +851,8 @@ def _per_question(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def eval_modes(spark, d):
     """Averages of the three ways to search."""
-    u, q = units(spark, d), questions(spark, d)
-    return evaluation.by_mode(u, q, _targets(u, q))
+    u = units(spark, d)
+    return evaluation.by_mode(u, stated_questions(spark, d), _targets(u, questions(spark, d)))
 
 
 @query(f"WITH {U}, {Q}, {_EVAL} SELECT * FROM pq")
@@ -906,5 +947,5 @@ def p4_found(spark, d):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reranked hybrid search of all questions with one hop of calls added."""
     u = units(spark, sf_dir)
-    direct = search.reranked(u, _asked(table(spark, sf_dir, "search_queries")), 10)
+    direct = search.reranked(u, whole_questions(table(spark, sf_dir, "search_queries")), 10)
     return graph.expand(direct, call_edges(spark, sf_dir), u, 10).orderBy("query_id", "position")
