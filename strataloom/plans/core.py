@@ -122,6 +122,14 @@ def distinct_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "source_files").dropDuplicates(["file_id"])
 
 
+def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scanned files of the parsed languages; a null language is read from the suffix."""
+    path = F.col("relative_path")
+    language = F.coalesce("language", paths.parser(path)).alias("language")
+    files = distinct_files(spark, sf_dir).select("file_id", "repository_id", path.alias("path"), language, "content")
+    return files.where(F.col("language").isin("python", "javascript", "typescript"))
+
+
 # ---- scan and filters
 
 
@@ -530,8 +538,7 @@ def import_resolve(spark, d):
 @query()
 def call_resolve(spark, d):
     """Call edges between stored functions, from the scanned texts."""
-    files = distinct_files(spark, d).where(F.col("language").isin("python", "javascript", "typescript"))
-    files = files.select("file_id", "repository_id", F.col("relative_path").alias("path"), "language", "content")
+    files = code_files(spark, d)
     analysis = durable(references.analyse_calls(files))  # parsed once, read three times
     ends = references.endpoints_with_units(analysis, units(spark, d))
     calls = references.call_rows(analysis, ends)
@@ -541,8 +548,7 @@ def call_resolve(spark, d):
 @query()
 def parse_units(spark, d):
     """Units of the scanned Python, JavaScript and TypeScript files, counted per repository and kind."""
-    files = distinct_files(spark, d).select("file_id", "repository_id", F.col("relative_path").alias("path"), "language", "content")
-    parsed = parsing.parse_files(files.where(F.col("language").isin("python", "javascript", "typescript")))
+    parsed = parsing.parse_files(code_files(spark, d))
     return parsed.groupBy("repository_id", "language", F.coalesce("kind", F.lit("unparsable")).alias("kind")).agg(F.count("*").alias("rows"))
 
 
