@@ -263,13 +263,24 @@ def markdown_sections(spark, d):
 SELECT id, nullif(trim(regexp_replace(trim(regexp_extract(line, '^ {0,3}#{1,6}(?:\s+(.*))?$', 1)), '(?:^|[ \t]+)#+$', '')), '') AS heading
 FROM l WHERE regexp_matches(line, '^ {0,3}#{1,6}(?:\s|$)') AND NOT contains(line, chr(13))""")
 def heading_text(spark, d):
-    """Heading of every documentation unit that begins with one."""
+    """Heading of every documentation unit that begins with one in a line without a carriage return."""
     line = F.substring_index("content", "\n", 1)
     docs = table(spark, d, "code_units").where("kind = 'document'").select("id", line.alias("line"))
     heads = docs.where((text.heading_level(F.col("line")) > 0) & ~F.contains("line", F.lit("\r")))
     return heads.select("id", text.heading_text(F.col("line")).alias("heading"))
 
 
+@query(rf"""WITH l AS (SELECT id, regexp_split_to_array(content, {_ENDS})[1] AS line FROM code_units WHERE kind = 'document')
+SELECT id, nullif(trim(regexp_replace(trim(regexp_extract(line, '^ {{0,3}}#{{1,6}}(?:\s+(.*))?$', 1)), '(?:^|[ \t]+)#+$', '')), '') AS heading
+FROM l WHERE regexp_matches(line, '^ {{0,3}}#{{1,6}}(?:\s|$)')""")
+def heading_any_line_end(spark, d):
+    """Heading of every documentation unit that begins with one, whatever ends the line."""
+    line = F.get(text.lines(F.col("content")), F.lit(0))
+    docs = table(spark, d, "code_units").where("kind = 'document'").select("id", line.alias("line"))
+    heads = docs.where(text.heading_level(F.col("line")) > 0)
+    return heads.select("id", text.heading_text(F.col("line")).alias("heading"))
+
+
 @query(f"SELECT doc_id, len({TOK.format('text')}) AS distinct_tokens FROM documents")
 def token_set(spark, d):
     """Number of distinct tokens of every document."""
