@@ -90,8 +90,21 @@ def changed_paths(observations: DataFrame, repositories: DataFrame, files: DataF
     return unprocessed(newest.where(F.col("status") == "present"), files)
 
 
+#: What the ledger keeps of a version; all but the first three may be absent from what it is given.
+_LEDGER = (
+    "repository_id string, path string, content_hash string, status string, index_generation long, observed_at string, "
+    "observation_id long, sequence long, oldest_open long"
+)
+_VERSION = ("index_generation", "observed_at", "observation_id")
+
+
 class ProcessedLedger:
-    """The (key, version) pairs of all successful runs, as parquet folders under one root.
+    """The versions that all successful runs took, as parquet folders under one root.
+
+    Versions have repository_id, path and content_hash, and may have the status, index_generation, observed_at and
+    observation_id of :func:`newest_versions`. A path is taken when its version differs from the newest published one,
+    so content that comes back after other content is work again. Removed versions, if they are given, are taken and
+    published as well, so a path that comes back with its old hash is work too; without the removal nothing was lost.
 
     ``take`` gives the records a run must process; ``commit`` publishes them. A run writes to a folder of its own
     that readers ignore, and a rename makes it visible: a crash before it changes nothing, and a repeated commit
@@ -111,26 +124,75 @@ class ProcessedLedger:
         names = [s.getPath().getName() for s in self._fs.listStatus(root)]
         return sorted(n for n in names if n.startswith("run="))
 
+    def _rows(self) -> DataFrame:
+        found = [f"{self.root}/{n}" for n in self.runs()]
+        return self.spark.read.schema(_LEDGER).parquet(*found) if found else self.spark.createDataFrame([], _LEDGER)
+
     def pairs(self) -> DataFrame:
         """All processed pairs."""
-        schema = "repository_id string, path string, content_hash string"
-        found = [f"{self.root}/{n}" for n in self.runs()]
-        return self.spark.read.schema(schema).parquet(*found) if found else self.spark.createDataFrame([], schema)
+        return self._rows().where(F.col("path").isNotNull()).select("repository_id", "path", "content_hash")
 
-    def take(self, versions: DataFrame) -> DataFrame:
-        """Those of ``versions`` that no published run took."""
-        return unprocessed(versions, self.pairs())
+    def newest(self) -> DataFrame:
+        """(repository_id, path, published): the newest published version of every path, of equal ones the last run's."""
+        key = F.struct(*_VERSION, "sequence")
+        state = F.struct(F.lower(F.trim("content_hash")).alias("content_hash"), "status", *_VERSION)
+        rows = self._rows().where(F.col("path").isNotNull())
+        return rows.groupBy("repository_id", normal_path(F.col("path")).alias("path")).agg(F.max_by(state, key).alias("published"))
+
+    def reread(self, observations: DataFrame) -> DataFrame:
+        """Observations from the oldest transaction that was open when the last run ended, that one included.
 
-    def commit(self, run: str, taken: DataFrame, work: Callable[[DataFrame], None] | None = None) -> bool:
-        """Do ``work`` on ``taken`` and publish its pairs as ``run``; False if ``run`` is published already."""
+        Repositories of which no run told an open transaction are read in full.
+        """
+        marks = self._rows().where(F.col("oldest_open").isNotNull())
+        marks = marks.groupBy("repository_id").agg(F.max_by("oldest_open", "sequence").alias("oldest_open"))
+        seen = observations.join(marks, "repository_id", "left")
+        return seen.where(F.col("oldest_open").isNull() | (F.col("index_generation") >= F.col("oldest_open"))).drop("oldest_open")
+
+    def take(self, versions: DataFrame) -> DataFrame:
+        """Those of ``versions`` that are not what was published of their path last, and not older than that."""
+        given = {c: F.col(f"v.{c}") for c in versions.columns}
+        both = versions.alias("v").join(
+            self.newest().alias("n"),
+            (given["repository_id"] == F.col("n.repository_id")) & (normal_path(given["path"]) == F.col("n.path")),
+            "left",
+        )
+        last, here = F.col("n.published"), lambda c: given.get(c, F.lit(None))
+        gone = F.coalesce(here("status").cast("string") == "removed", F.lit(False))
+        was_gone = F.coalesce(last["status"] == "removed", F.lit(False))
+        same_hash = F.coalesce(F.lower(F.trim(given["content_hash"])) == last["content_hash"], F.lit(False))
+        unchanged = F.when(gone, last.isNull() | was_gone).otherwise(same_hash & ~was_gone)
+        fresh = F.lit(True)
+        if all(c in given for c in _VERSION):
+            version = F.struct(given["index_generation"], given["observed_at"].cast("string").alias("observed_at"), given["observation_id"])
+            fresh = F.coalesce(version >= F.struct(*[last[c].alias(c) for c in _VERSION]), F.lit(True)) | last.isNull()
+        return both.where(~unchanged & fresh).select("v.*")
+
+    def commit(
+        self, run: str, taken: DataFrame, work: Callable[[DataFrame], None] | None = None, oldest_open: DataFrame | None = None
+    ) -> bool:
+        """Do ``work`` on ``taken`` and publish its versions as ``run``; False if ``run`` is published already.
+
+        ``oldest_open`` (repository_id, index_generation) tells from which transaction the next run rereads.
+        """
         target = self._path(f"{self.root}/run={run}")
         if self._fs.exists(target):
             return False
         staged = f"{self.root}/.staged-{uuid.uuid4().hex}"
-        pairs = taken.select("repository_id", "path", "content_hash")
-        pairs.write.parquet(staged)
+        names = [c.split()[0] for c in _LEDGER.split(", ")]
+        types = dict(c.split() for c in _LEDGER.split(", "))
+        sequence = F.lit(len(self.runs()))
+        filled = lambda df, **more: df.select(
+            [more.get(c, F.col(c) if c in df.columns else F.lit(None)).cast(types[c]).alias(c) for c in names]
+        )
+        none = {"oldest_open": F.lit(None)}
+        rows = filled(taken.where(F.col("path").isNotNull()), sequence=sequence, **none)
+        if oldest_open is not None:
+            marks = oldest_open.groupBy("repository_id").agg(F.min("index_generation").alias("oldest_open"))
+            rows = rows.unionByName(filled(marks, sequence=sequence))
+        rows.write.parquet(staged)
         if work is not None:
-            work(self.spark.read.parquet(staged))
+            work(self.spark.read.parquet(staged).where(F.col("path").isNotNull()).drop("sequence", "oldest_open"))
         if not self._fs.rename(self._path(staged), target):
             self._fs.delete(self._path(staged), True)
             return False
