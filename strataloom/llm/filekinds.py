@@ -25,8 +25,6 @@ from ..session import durable, spread
 
 LABELS = ("handwritten", "generated", "minified", "vendored", "blob")
 H, G, M, V, B = range(5)
-#: Levels of directories that are told apart; what lies deeper belongs to the directory at this level.
-MOST_LEVELS = 12
 #: Characters without its leading comment that a text needs before an equal one in another repository says anything.
 LEAST_BODY = 120
 
@@ -242,7 +240,7 @@ def beliefs(df: DataFrame, item: str, repository: str, path: str, text: str) ->
         files.join(copies, "body", "left")
         .withColumn(f"e{V}", F.col(f"e{V}") + F.when(copied, 9.0).otherwise(0.0))
         .withColumn("parts", F.split("path", "/"))
-        .withColumn("parent", F.slice("parts", 1, F.least(F.size("parts") - 1, F.lit(MOST_LEVELS))))
+        .withColumn("parent", F.slice("parts", 1, F.size("parts") - 1))
         .withColumn("level", F.size("parent"))
     )
     leaf = nodes.select("repository_id", "parent", "level", *_upward("e"))

@@ -52,6 +52,13 @@ def test_the_whole_leading_comment_speaks(spark):
     }
 
 
+def test_directories_of_any_depth_are_told_apart(spark):
+    deep = "/".join(f"d{i}" for i in range(13))
+    own = [f"{deep}/{d}/{n}.py" for d in ("src", "app") for n in "bcdefg"]
+    rows = [("r", f"{deep}/vendor/a.py", CODE.replace("h(", "t("))] + [("r", p, CODE.replace("h(", f"u{i}(")) for i, p in enumerate(own)]
+    assert labels(spark, rows) == {f"{deep}/vendor/a.py": "vendored"} | dict.fromkeys(own, "handwritten")
+
+
 def slow_beliefs(files):
     """Exact posteriors by summing over all labels of all files and directories."""
     dirs = sorted({tuple(p.split("/")[:k]) for p, _ in files for k in range(len(p.split("/")))})
