@@ -16,11 +16,16 @@ from ..session import durable
 from . import order
 from .search import META
 
-#: Seeds and neighbours of an expansion, and edges kept per repository.
-SEEDS, PER_SEED, MOST_ADDED, MOST_EDGES = 3, 2, 4, 10_000
+#: Seeds and neighbours of an expansion.
+SEEDS, PER_SEED, MOST_ADDED = 3, 2, 4
 ECMA_SUFFIXES = (".js", ".jsx", ".ts")
 
 
+def outside_names() -> list[str]:
+    """First parts of absolute Python names that are no file of a repository: the standard library's."""
+    return sorted({*sys.stdlib_module_names, *sys.builtin_module_names, "__future__"})
+
+
 def _prefixes(parts: Column, upto: Column) -> Column:
     """The joined prefixes of length 1..upto of an array of path parts."""
     return F.transform(F.sequence(F.lit(1), upto), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
@@ -40,8 +45,7 @@ def _python_parts(references: DataFrame) -> DataFrame:
     relative = F.concat(F.slice(package, 1, F.greatest(F.size(package) - level + 1, F.lit(0))), tail)
     parts = F.when(level > 0, relative).otherwise(F.split(module, r"\."))
     known = references.withColumn("level", level).withColumn("package", package).withColumn("parts", parts)
-    names = [*sorted(sys.stdlib_module_names), *sys.builtin_module_names, "__future__"]
-    outside = (F.col("level") == 0) & F.element_at("parts", 1).isin(names)
+    outside = (F.col("level") == 0) & F.element_at("parts", 1).isin(outside_names())
     fits = (F.col("level") == 0) | ((F.size("package") > 0) & (F.col("level") <= F.size("package")))
     spelled = F.forall("parts", lambda p: p.rlike(r"^[\p{L}_][\p{L}\p{N}_]*$"))
     own = F.when(F.col("level") > 0, _prefixes(F.col("package"), F.greatest(F.size("package"), F.lit(1)))).otherwise(
@@ -126,21 +130,29 @@ def import_edges(references: DataFrame, files: DataFrame) -> DataFrame:
     return edges.where("source_path <> target_path").select("repository_id", "source_path", "target_path").distinct()
 
 
-def first_edges(edges: DataFrame, source: str, target: str, position: str, by: str = "repository_id", most: int = MOST_EDGES) -> DataFrame:
-    """Edges without repeats, the first occurrence of each kept, at most ``most`` per repository in order."""
-    seen = Window.partitionBy(by, source, target).orderBy(position)
-    kept = edges.withColumn("n", F.row_number().over(seen)).where("n = 1").drop("n")
+def first_edges(edges: DataFrame, source: str, target: str, position: str, by: str = "repository_id", most: int | None = None) -> DataFrame:
+    """Edges without repeats, the first occurrence of each kept: all of them, or ``most`` per repository in order.
+
+    Repeats fall together on the map side. Only where ``most`` is given are the edges of a repository put in order.
+    """
+    key = list(dict.fromkeys([by, source, target]))
+    rest = [c for c in edges.columns if c not in {*key, position}]
+    least = F.min(F.struct(position, *rest)).alias("first")
+    kept = edges.groupBy(*key).agg(least).select(*key, "first.*").select(*edges.columns)
+    if most is None:
+        return kept
     ordered = Window.partitionBy(by).orderBy(position, source, target)
-    return kept.withColumn("n", F.row_number().over(ordered)).where(F.col("n") <= most).drop("n")
+    return kept.withColumn("_n", F.row_number().over(ordered)).where(F.col("_n") <= most).drop("_n")
 
 
-def resolve_calls(calls: DataFrame, bindings: DataFrame, endpoints: DataFrame, files: DataFrame) -> DataFrame:
+def resolve_calls(calls: DataFrame, bindings: DataFrame, endpoints: DataFrame, files: DataFrame, most: int | None = None) -> DataFrame:
     """(repository_id, source_unit_id, target_unit_id): calls whose target is one known function.
 
     ``calls``: (repository_id, path, language, caller_id, position, binding, member); ``bindings``: (repository_id,
     path, language, local, module, symbol); ``endpoints``: (repository_id, path, language, unit_id, name, export).
     A plain name is looked up among the file's own functions unless an import binds it; ``a.b()`` needs a module
-    bound to ``a``. Python targets go by name, ECMAScript ones by what they export.
+    bound to ``a``. Python targets go by name, ECMAScript ones by what they export. ``most`` keeps so many edges of a
+    repository, in order; else all are kept.
     """
     place = ["repository_id", "path"]
     bound = bindings.select(*place, F.col("local").alias("binding"), "module", "symbol")
@@ -166,7 +178,7 @@ def resolve_calls(calls: DataFrame, bindings: DataFrame, endpoints: DataFrame, f
     edges = remote.unionByName(local).select(
         "repository_id", F.col("caller_id").alias("source_unit_id"), "target_unit_id", F.struct("path", "position").alias("at")
     )
-    return first_edges(edges, "source_unit_id", "target_unit_id", "at").select("repository_id", "source_unit_id", "target_unit_id")
+    return first_edges(edges, "source_unit_id", "target_unit_id", "at", most=most).select("repository_id", "source_unit_id", "target_unit_id")
 
 
 def impact_of_files(targets: DataFrame, edges: DataFrame, files: DataFrame, limit: int = 20) -> DataFrame:

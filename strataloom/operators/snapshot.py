@@ -32,11 +32,15 @@ def classify(current: DataFrame, stored: DataFrame, key: list[str] | None = None
 
 
 def generations(classes: DataFrame, repositories: DataFrame) -> DataFrame:
-    """(repository_id, changed, next_generation): one more if anything changed, the same if nothing did."""
+    """(repository_id, changed, next_generation): one more if anything changed, the same if nothing did.
+
+    The next generation is a decimal of 20 digits, so that the one after the greatest long is a number too.
+    """
     changed = classes.groupBy("repository_id").agg(F.count_if(F.col("status") != "unchanged").alias("changed"))
     base = repositories.select(F.col("id").alias("repository_id"), "index_generation").join(changed, "repository_id", "left")
     n = F.coalesce("changed", F.lit(0))
-    return base.select("repository_id", n.alias("changed"), (F.col("index_generation") + (n > 0).cast("long")).alias("next_generation"))
+    following = F.col("index_generation").cast("decimal(19,0)") + (n > 0).cast("int").cast("decimal(1,0)")
+    return base.select("repository_id", n.alias("changed"), following.cast("decimal(20,0)").alias("next_generation"))
 
 
 def carry_forward(stored_units: DataFrame, classes: DataFrame, parsed_units: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ast
 from collections import Counter
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -17,7 +18,6 @@ from ..session import spread
 from . import ecma
 from .units import UnparsableFile, _lines, _python_lines, _tree
 
-MOST_CALLS = 10_000
 _SCOPES = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef, ast.Lambda)
 _COMPREHENSIONS = (ast.ListComp, ast.SetComp, ast.DictComp, ast.GeneratorExp)
 
@@ -90,11 +90,11 @@ def _import_bindings(node: ast.Import | ast.ImportFrom) -> list[tuple[str, str,
     return [(a.asname or a.name, module, a.name) for a in node.names]
 
 
-def analyse_python(content: str) -> tuple[list, list, list]:
+def analyse_python(content: str, most: int | None = None) -> tuple[list, list, list]:
     """(endpoints, bindings, calls) of a file, all empty where it cannot be told.
 
     Endpoints: (name, start line, end line) of functions at the top. Bindings: (local, module, symbol). Calls: (caller
-    name, start line, position, binding, member).
+    name, start line, position, binding, member). A file with more than ``most`` calls gives nothing; without it all do.
     """
     nothing: tuple[list, list, list] = ([], [], [])
     source = content.encode("utf-8", "surrogatepass")
@@ -103,7 +103,7 @@ def analyse_python(content: str) -> tuple[list, list, list]:
     except UnparsableFile:
         return nothing
     nodes = list(ast.walk(tree))
-    if sum(isinstance(n, ast.Call) for n in nodes) > MOST_CALLS:
+    if most is not None and sum(isinstance(n, ast.Call) for n in nodes) > most:
         return nothing
     if any(isinstance(n, ast.ImportFrom) and any(a.name == "*" for a in n.names) for n in nodes):
         return nothing
@@ -152,7 +152,7 @@ def analyse_python(content: str) -> tuple[list, list, list]:
     return endpoints, [b for b in bindings if b[0] not in invalid], calls
 
 
-def analyse_ecma(content: str, types: bool, jsx: bool) -> tuple[list, list, list]:
+def analyse_ecma(content: str, types: bool, jsx: bool, most: int | None = None) -> tuple[list, list, list]:
     """The same of a JavaScript or TypeScript file; endpoints have a fourth part, the name they are exported under.
 
     Endpoints are function declarations and constants with a function at the top. A name that is assigned to anywhere,
@@ -163,8 +163,7 @@ def analyse_ecma(content: str, types: bool, jsx: bool) -> tuple[list, list, list
         found = ecma.parse(content, jsx=jsx, types=types, events=True)
     except ecma.SyntaxFault:
         return nothing
-    calls_seen = [d for d in found if d.kind == "call"]
-    if len(calls_seen) > MOST_CALLS:
+    if most is not None and sum(d.kind == "call" for d in found) > most:
         return nothing
     scopes = sorted((d for d in found if d.kind == "scope"), key=lambda d: d.end - d.start)
 
@@ -212,23 +211,23 @@ _ANALYSIS = (
 )
 
 
-def _analyse(language: str | None, path: str | None, content: str) -> tuple[list, list, list]:
+def _analyse(language: str | None, path: str | None, content: str, most: int | None) -> tuple[list, list, list]:
     if language == "python":
-        endpoints, bindings, calls = analyse_python(content)
+        endpoints, bindings, calls = analyse_python(content, most)
         return [(*e, None) for e in endpoints], bindings, calls
     if language in ("javascript", "typescript"):
-        return analyse_ecma(content, language == "typescript", (path or "").lower().endswith(".jsx"))
+        return analyse_ecma(content, language == "typescript", (path or "").lower().endswith(".jsx"), most)
     return [], [], []
 
 
-def _run(batches):
+def _run(batches, most: int | None):
     labels = [part.split()[0] for part in _ANALYSIS.split(", ")]
     types = [pa.string()] * 6 + [pa.int32()] * 2 + [pa.int64()] + [pa.string()] * 3
     for batch in batches:
         rows = []
         for item, repo, path, language, content in zip(*(c.to_pylist() for c in batch.columns)):
             head = (item, repo, path, language)
-            endpoints, bindings, calls = _analyse(language, path, content or "")
+            endpoints, bindings, calls = _analyse(language, path, content or "", most)
             rows.extend((*head, "endpoint", n, a, b, None, None, None, export) for n, a, b, export in endpoints)
             rows.extend((*head, "binding", s, None, None, None, n, None, m) for n, m, s in bindings)
             rows.extend((*head, "call", n, a, None, at, b, m, None) for n, a, at, b, m in calls)
@@ -236,14 +235,14 @@ def _run(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=labels)
 
 
-def analyse_calls(files: DataFrame) -> DataFrame:
+def analyse_calls(files: DataFrame, most: int | None = None) -> DataFrame:
     """Endpoints, bindings and calls of files (file_id, repository_id, path, language, content), told apart by ``role``.
 
     For endpoints ``module`` is the name they are exported under. Files of other languages, and such that do not
-    parse, give nothing.
+    parse, give nothing, and neither do those with more than ``most`` calls if that is given.
     """
     slim = files.select("file_id", "repository_id", "path", "language", "content")
-    return spread(slim).mapInArrow(_run, _ANALYSIS)
+    return spread(slim).mapInArrow(partial(_run, most=most), _ANALYSIS)
 
 
 def endpoints_with_units(analysis: DataFrame, units: DataFrame) -> DataFrame:

@@ -1,12 +1,13 @@
 """Queries of the core operators over the test tables, each with its SQL where SQL can say it.
 
-Searches take the questions whose id is divisible by 20, against all units of their repository. Those named *_whole*,
-eval_modes and the flagship search for the whole question; the others, as their SQL says, for its last word.
+Searches take the questions whose id is divisible by 20, whole and by their last word, against all units of their
+repository; the flagship takes all questions, whole.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from ..sources import validation
 from ..session import durable
 from ..streaming import metrics
 from ..tables import table
+from . import planted
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -44,15 +46,16 @@ U = """u AS (
          c.symbol_name, c.content, c.embedding
   FROM code_units c JOIN files f ON f.id = c.file_id
 )"""
-Q = r"""q AS (
-  SELECT query_id, repository_id, regexp_extract(question, '(\p{L}+)[^\p{L}]*$', 1) AS question,
+Q = r"""asked AS (
+  SELECT query_id, repository_id, question FROM search_queries WHERE query_id % 20 = 0
+  UNION ALL SELECT query_id + 1000000000, repository_id, regexp_extract(question, '(\p{L}+)[^\p{L}]*$', 1) FROM search_queries WHERE query_id % 20 = 0
+), q AS (
+  SELECT query_id, repository_id, question,
          list_transform(range(384), lambda i:
            ((instr('0123456789abcdef', substr(sha256(question), CAST((i % 32) * 2 + 1 AS INTEGER), 1)) - 1) * 16
             + instr('0123456789abcdef', substr(sha256(question), CAST((i % 32) * 2 + 2 AS INTEGER), 1)) - 1 + 1) / 256.0) AS v
-  FROM search_queries WHERE query_id % 20 = 0
+  FROM asked
 )"""
-#: The same with the whole question.
-WHOLE = Q.replace(r"regexp_extract(question, '(\p{L}+)[^\p{L}]*$', 1) AS question", "question")
 TOK = r"list_distinct(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+'))"
 TIERS = f"""CASE WHEN symbol_name = question THEN 9 WHEN lower(symbol_name) = lower(question) THEN 8
   WHEN contains(symbol_name, question) THEN 7 WHEN contains(lower(symbol_name), lower(question)) THEN 6
@@ -92,29 +95,18 @@ def units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.located(table(spark, sf_dir, "code_units"), table(spark, sf_dir, "files"))
 
 
-def _asked(found: DataFrame) -> DataFrame:
-    """The last word of a question is what is searched for, the whole question gives the vector."""
-    # the vector first: inside a lambda an alias would hide the column of the same name
-    made = found.withColumn("query_vector", vectors.digest_vector(F.col("question"), 384))
-    return made.withColumn("question", F.regexp_extract("question", r"(\p{L}+)[^\p{L}]*$", 1)).select(
-        "query_id", "repository_id", "question", "query_vector"
-    )
-
-
-def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stated set of questions: those whose id is divisible by 20."""
-    return _asked(table(spark, sf_dir, "search_queries").where(F.col("query_id") % 20 == 0))
-
-
-def whole_questions(found: DataFrame) -> DataFrame:
+def with_vectors(found: DataFrame) -> DataFrame:
     """Questions as they were asked, with their vectors."""
     made = found.withColumn("query_vector", vectors.digest_vector(F.col("question"), 384))
     return made.select("query_id", "repository_id", "question", "query_vector")
 
 
-def stated_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stated set of questions, whole."""
-    return whole_questions(table(spark, sf_dir, "search_queries").where(F.col("query_id") % 20 == 0))
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stated set of questions, those whose id is divisible by 20: each whole, and its last word as one more
+    question under an id of its own, so that every tier of the lexical score has results."""
+    stated = table(spark, sf_dir, "search_queries").where(F.col("query_id") % 20 == 0).select("query_id", "repository_id", "question")
+    word = F.regexp_extract("question", r"(\p{L}+)[^\p{L}]*$", 1).alias("question")
+    return with_vectors(stated.unionByName(stated.select((F.col("query_id") + 1_000_000_000).alias("query_id"), "repository_id", word)))
 
 
 def distinct_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,20 +195,31 @@ def content_hash(spark, d):
     return distinct_files(spark, d).select("file_id", snapshot.content_hash(F.col("content")).alias("content_hash"))
 
 
-@query("""SELECT source, CASE WHEN regexp_matches(source, '^https://[a-z0-9.-]+/.+') THEN 'https' ELSE 'other' END AS verdict FROM repositories""")
+@query(f"""SELECT source, CASE WHEN regexp_matches(source, '^https://[a-z0-9.-]+/.+') THEN 'https' ELSE 'other' END AS verdict FROM repositories
+UNION ALL SELECT * FROM ({planted.values(list(planted.SOURCES.items()))}) t(source, verdict)""")
 def validate_source(spark, d):
-    """Verdict on every repository source: all of the tables are https addresses."""
-    v = validation.verdict(F.col("source"))
-    return table(spark, d, "repositories").select("source", F.when(v == "https", "https").otherwise("other").alias("verdict"))
+    """Verdict on every repository source of the tables, and on planted ones that must get every kind of verdict."""
+    known = spark.createDataFrame([(s,) for s in planted.SOURCES], "source string")
+    every = table(spark, d, "repositories").select("source").unionByName(known)
+    return every.select("source", validation.verdict(F.col("source")).alias("verdict"))
+
+
+_FORGE = "git.lumen-forge.invalid"
 
 
-@query("""SELECT name, 'https://github.com/acme/' || lower(name) AS source FROM repositories
-WHERE regexp_matches(name, '^[A-Za-z0-9_.-]{1,100}$') ORDER BY name""")
+@query(rf"""WITH s AS (SELECT source FROM repositories UNION ALL SELECT 'HTTPS://GitHub.com/' || upper(replace(name, '.', '-')) || '/' || name || '.git/' FROM repositories),
+p AS (SELECT source, lower(regexp_extract(source, '^[A-Za-z]+://([^/:]+)', 1)) AS host, string_split(regexp_replace(lower(source), '/$', ''), '/') AS parts FROM s)
+SELECT source, 'https://' || host || '/' || parts[4] || '/' || regexp_replace(parts[5], '\.git$', '') AS canonical, regexp_replace(parts[5], '\.git$', '') AS name
+FROM p WHERE host IN ('github.com', '{_FORGE}') AND len(parts) = 5 AND regexp_matches(parts[4], '^[a-z0-9]+(-[a-z0-9]+)*$') AND length(parts[4]) <= 39
+AND regexp_matches(regexp_replace(parts[5], '\.git$', ''), '^[a-z0-9_.-]{{1,100}}$')""")
 def canonical_source(spark, d):
-    """Registered spelling of addresses made from the repositories' names, in mixed case with a final slash."""
-    made = F.concat(F.lit("HTTPS://GitHub.com/Acme/"), F.upper("name"), F.lit(".git/"))
-    known = table(spark, d, "repositories").select("name", validation.canonical(made).alias("c")).where("c is not null")
-    return known.select("name", F.col("c.source").alias("source")).orderBy("name")
+    """Registered spelling of every stored source on one forge, and of addresses on another in mixed case with a final
+    slash, made from the repositories' names."""
+    known = table(spark, d, "repositories")
+    made = F.concat(F.lit("HTTPS://GitHub.com/"), F.upper(F.replace("name", F.lit("."), F.lit("-"))), F.lit("/"), "name", F.lit(".git/"))
+    every = known.select("source").unionByName(known.select(made.alias("source")))
+    both = F.coalesce(validation.canonical(F.col("source")), validation.canonical(F.col("source"), _FORGE))
+    return every.select("source", both.alias("c")).where("c is not null").select("source", F.col("c.source").alias("canonical"), F.col("c.name").alias("name"))
 
 
 # ---- texts
@@ -259,21 +262,10 @@ def markdown_sections(spark, d):
     return chunks.markdown_sections(docs.select("file_id", "content"))
 
 
-@query(r"""WITH l AS (SELECT id, string_split(content, chr(10))[1] AS line FROM code_units WHERE kind = 'document')
-SELECT id, nullif(trim(regexp_replace(trim(regexp_extract(line, '^ {0,3}#{1,6}(?:\s+(.*))?$', 1)), '(?:^|[ \t]+)#+$', '')), '') AS heading
-FROM l WHERE regexp_matches(line, '^ {0,3}#{1,6}(?:\s|$)') AND NOT contains(line, chr(13))""")
-def heading_text(spark, d):
-    """Heading of every documentation unit that begins with one in a line without a carriage return."""
-    line = F.substring_index("content", "\n", 1)
-    docs = table(spark, d, "code_units").where("kind = 'document'").select("id", line.alias("line"))
-    heads = docs.where((text.heading_level(F.col("line")) > 0) & ~F.contains("line", F.lit("\r")))
-    return heads.select("id", text.heading_text(F.col("line")).alias("heading"))
-
-
 @query(rf"""WITH l AS (SELECT id, regexp_split_to_array(content, {_ENDS})[1] AS line FROM code_units WHERE kind = 'document')
 SELECT id, nullif(trim(regexp_replace(trim(regexp_extract(line, '^ {{0,3}}#{{1,6}}(?:\s+(.*))?$', 1)), '(?:^|[ \t]+)#+$', '')), '') AS heading
 FROM l WHERE regexp_matches(line, '^ {{0,3}}#{{1,6}}(?:\s|$)')""")
-def heading_any_line_end(spark, d):
+def heading_text(spark, d):
     """Heading of every documentation unit that begins with one, whatever ends the line."""
     line = F.get(text.lines(F.col("content")), F.lit(0))
     docs = table(spark, d, "code_units").where("kind = 'document'").select("id", line.alias("line"))
@@ -311,12 +303,6 @@ def lexical_top10(spark, d):
     return search.lexical(units(spark, d), questions(spark, d), 10)
 
 
-@query(f"WITH {U}, {WHOLE}, {LEX} SELECT query_id, {META}, lexical_score, CAST(rank AS INTEGER) AS rank FROM lex WHERE rank <= 10")
-def lexical_whole_top10(spark, d):
-    """Ten best lexical results of every whole question."""
-    return search.lexical(units(spark, d), stated_questions(spark, d), 10)
-
-
 @query(f"WITH {U}, {Q}, {LEX} SELECT lexical_score, count(*) AS units FROM scored GROUP BY lexical_score")
 def lexical_tiers_histogram(spark, d):
     """Units per tier of relevance, over all questions."""
@@ -399,14 +385,6 @@ def rerank_overlap(spark, d):
     return found.select("query_id", "code_unit_id", F.round("rerank_score", 6).alias("rerank_score"), "original_hybrid_rank", "rank")
 
 
-@query(f"""WITH {U}, {WHOLE}, {_hybrid_sql(60, 20)}, {_RERANK}
-SELECT query_id, code_unit_id, round(rerank_score, 6) AS rerank_score, CAST(rank AS INTEGER) AS original_hybrid_rank, CAST(n AS INTEGER) AS rank FROM rer WHERE n <= 10""")
-def rerank_whole(spark, d):
-    """Of twenty hybrid candidates the ten that share most tokens with the whole question."""
-    found = search.reranked(units(spark, d), stated_questions(spark, d), 10)
-    return found.select("query_id", "code_unit_id", F.round("rerank_score", 6).alias("rerank_score"), "original_hybrid_rank", "rank")
-
-
 @query(f"WITH {U}, {Q}, {_hybrid_sql(60, 20)} SELECT query_id, code_unit_id, CAST(NULL AS DOUBLE) AS rerank_score, CAST(rank AS INTEGER) AS rank FROM hybrid WHERE rank <= 10")
 def rerank_fallback(spark, d):
     """Without a reranker: the hybrid order, no score."""
@@ -518,44 +496,167 @@ def expand_outgoing(spark, d):
     return graph.expand(direct, call_edges(spark, d), u, 10).select("query_id", "code_unit_id", "position", "added")
 
 
-@query("""WITH e AS (SELECT l_suppkey AS s, l_partkey AS t, l_orderkey * 10 + l_linenumber AS place FROM lineitem)
-SELECT s, t, min(place) AS first_at FROM e GROUP BY s, t""")
-def edge_dedup_first(spark, d):
-    """First occurrence of every edge between suppliers and parts."""
-    e = table(spark, d, "lineitem").select(F.lit("all").alias("repository_id"), F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("t"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("at"))
-    kept = graph.first_edges(e.withColumn("repository_id", F.col("s").cast("string")), "s", "t", "at")
-    return kept.select("s", "t", F.col("at").alias("first_at"))
-
-
-@query(r"""WITH i AS (SELECT c.content, f.path, f.repository_id FROM code_units c JOIN files f ON f.id = c.file_id WHERE c.kind = 'import' AND c.language = 'python'),
-m AS (SELECT repository_id, path, regexp_replace(regexp_replace(content, '#[^\n]*', '', 'g'), '\\\r?\n', ' ', 'g') AS t FROM i),
-p AS (SELECT *, regexp_extract(t, '^\s*from\s+(\.*\s*[\w.]*)\s+import\b', 1) AS fm FROM m)
-SELECT repository_id, path AS source_path, unnest(CASE WHEN fm <> '' THEN [regexp_replace(fm, '\s', '', 'g')] ELSE
-  list_filter(list_transform(string_split(regexp_extract(t, '^\s*import\s+([\s\S]+)$', 1), ','), lambda n: trim(regexp_extract(n, '^\s*([\w.]+)', 1))), lambda n: n <> '') END) AS module
-FROM p""")
-def import_modules(spark, d):
-    """Modules that the stored Python import units name."""
-    found = references.import_modules(units(spark, d).where("language = 'python'"))
-    return found.select("repository_id", "source_path", "module")
+_MODULES = r"""i AS (SELECT c.content, c.language, f.path, f.repository_id FROM code_units c JOIN files f ON f.id = c.file_id WHERE c.kind = 'import'),
+m AS (SELECT *, regexp_replace(regexp_replace(content, '#[^\n]*', '', 'g'), '\\\r?\n', ' ', 'g') AS t FROM i),
+p AS (SELECT *, regexp_extract(t, '^\s*from\s+(\.*\s*[\w.]*)\s+import\b', 1) AS fm,
+  regexp_extract(content, '(?:^\s*import|\bfrom)\s*(?:"([^"\\\n]*)"|''([^''\\\n]*)'')', ['d', 's']) AS js FROM m),
+modules AS (SELECT repository_id, path AS source_path, language, unnest(CASE WHEN language = 'python' THEN
+  CASE WHEN fm <> '' THEN [regexp_replace(fm, '\s', '', 'g')] ELSE
+    list_filter(list_transform(string_split(regexp_extract(t, '^\s*import\s+([\s\S]+)$', 1), ','), lambda n: trim(regexp_extract(n, '^\s*([\w.]+)', 1))), lambda n: n <> '') END
+  WHEN language IN ('javascript', 'typescript') AND js.d || js.s <> '' THEN [js.d || js.s] END) AS module FROM p)"""
 
 
-@query()
+@query(f"WITH {_MODULES} SELECT * FROM modules")
+def import_modules(spark, d):
+    """Modules that the stored import units of all languages name."""
+    return references.import_modules(units(spark, d)).select("repository_id", "source_path", "language", "module")
+
+
+_REFERENCES = r"""py AS (SELECT DISTINCT repository_id, path, regexp_replace(path, '(/__init__)?\.py$', '') AS base FROM files WHERE ends_with(path, '.py')),
+js AS (SELECT DISTINCT repository_id, path, regexp_replace(path, '\.[jt]sx?$', '') AS base FROM files WHERE regexp_matches(path, '\.(js|jsx|ts)$')),
+kept AS (SELECT repository_id, path FROM files UNION SELECT repository_id, array_to_string(string_split(path, '/')[1:k], '/') || '/__init__.py'
+  FROM (SELECT repository_id, path, unnest(range(1, len(string_split(path, '/')))) AS k FROM py)),
+refs AS (SELECT repository_id, source_path, language, module FROM modules
+  UNION SELECT repository_id, 'zz_main.py', 'python', replace(base, '/', '.') FROM py
+  UNION SELECT repository_id, regexp_replace(base, '[^/]*$', '') || 'zz.py', 'python', '.' || regexp_extract(base, '[^/]*$') FROM py WHERE contains(base, '/')
+  UNION SELECT repository_id, 'zz/entry.ts', 'typescript', '../' || base FROM js
+  UNION SELECT repository_id, 'zz/deep/entry.js', 'javascript', './../../' || path FROM js),
+inv AS (SELECT * FROM kept UNION SELECT repository_id, source_path FROM refs)"""
+_PREFIXES = "list_transform(range(1, len({0}) + 1), lambda i: array_to_string({0}[1:i], '/'))"
+_RESOLVED = rf"""pr AS (
+  SELECT *, length(regexp_extract(module, '^(\.*)', 1)) AS level, string_split(source_path, '/')[1:-2] AS pkg FROM refs WHERE language = 'python'
+), pp AS (
+  SELECT *, CASE WHEN level > 0 THEN list_concat(pkg[1:greatest(len(pkg) - level + 1, 0)], CASE WHEN substr(module, level + 1) = '' THEN [] ELSE string_split(substr(module, level + 1), '.') END)
+    ELSE string_split(module, '.') END AS parts FROM pr WHERE level = 0 OR (len(pkg) > 0 AND level <= len(pkg))
+), pu AS (
+  SELECT *, list_distinct(list_concat(CASE WHEN level > 0 THEN {_PREFIXES.format('pkg')} ELSE [] END, {_PREFIXES.format('parts[1:-2]')})) AS packages, array_to_string(parts, '/') AS base
+  FROM pp WHERE len(parts) > 0 AND len(list_filter(parts, lambda p: NOT regexp_matches(p, '^[\p{{L}}_][\p{{L}}\p{{N}}_]*$'))) = 0
+    AND NOT (level = 0 AND parts[1] IN {_list(graph.outside_names())})
+), pc AS (
+  SELECT repository_id, source_path, language, module, packages, unnest([base || '.py', base || '/__init__.py']) AS path FROM pu
+), jn AS (
+  SELECT *, list_reduce(list_transform(string_split(regexp_replace(source_path, '[^/]*$', '') || module, '/'), lambda x: [x]),
+    lambda a, x: CASE WHEN x[1] IN ('', '.') THEN a WHEN x[1] = '..' AND len(a) > 0 AND a[-1] <> '..' THEN a[1:-2] ELSE a || x END, []::VARCHAR[]) AS parts
+  FROM refs WHERE language IN ('javascript', 'typescript') AND regexp_matches(module, '^\.\.?/') AND NOT regexp_matches(module, '[\\?#]')
+), jt AS (
+  SELECT *, array_to_string(parts, '/') AS target, coalesce(regexp_extract(parts[-1], '[^.].*?(\.[^.]+)$', 1), '') AS suffix, ends_with(module, '/') AS folder
+  FROM jn WHERE NOT list_contains(parts, '..')
+), jc AS (
+  SELECT repository_id, source_path, language, module, []::VARCHAR[] AS packages, unnest(CASE
+    WHEN suffix <> '' AND NOT folder THEN CASE WHEN suffix IN ('.js', '.jsx', '.ts') THEN [target] ELSE [] END
+    ELSE list_distinct(list_concat(CASE WHEN folder THEN [] ELSE [target || '.js', target || '.jsx', target || '.ts'] END,
+      list_transform(['.js', '.jsx', '.ts'], lambda s: CASE WHEN target = '' THEN '' ELSE target || '/' END || 'index' || s))) END) AS path FROM jt
+), hit AS (
+  SELECT c.repository_id, c.source_path, c.module, any_value(c.packages) AS packages, min(c.path) AS target_path
+  FROM (SELECT * FROM pc UNION ALL SELECT * FROM jc) c JOIN inv USING (repository_id, path) GROUP BY 1, 2, 3 HAVING count(*) = 1
+), way AS (SELECT repository_id, source_path, module, unnest(packages) AS package FROM hit), bad AS (
+  SELECT repository_id, source_path, module FROM way w WHERE NOT EXISTS (SELECT 1 FROM inv WHERE inv.repository_id = w.repository_id AND inv.path = w.package || '/__init__.py')
+  OR EXISTS (SELECT 1 FROM inv WHERE inv.repository_id = w.repository_id AND inv.path = w.package || '.py')
+), resolved AS (SELECT repository_id, source_path, module, target_path FROM hit ANTI JOIN bad USING (repository_id, source_path, module))"""
+
+
+def _module_references(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(references, inventory): what stored imports name, and references made from the stored paths: every Python file
+    by its dotted name from the root and by its name from beside it, every script by its path with and without suffix.
+    The inventory has the files that name something, and a package file in every directory above a Python file."""
+    stored = references.import_modules(units(spark, sf_dir))
+    files = table(spark, sf_dir, "files").select("repository_id", "path").distinct()
+    made = lambda df, source, language, module: df.select("repository_id", source.alias("source_path"), F.lit(language).alias("language"), module.alias("module"))
+    py = files.where(F.endswith("path", F.lit(".py"))).withColumn("base", F.regexp_replace("path", r"(/__init__)?\.py$", ""))
+    js = files.where(F.col("path").rlike(r"\.(js|jsx|ts)$")).withColumn("base", F.regexp_replace("path", r"\.[jt]sx?$", ""))
+    inner = py.where(F.contains("base", F.lit("/")))
+    every = [
+        made(py, F.lit("zz_main.py"), "python", F.replace("base", F.lit("/"), F.lit("."))),
+        made(inner, F.concat(F.regexp_replace("base", "[^/]*$", ""), F.lit("zz.py")), "python", F.concat(F.lit("."), F.substring_index("base", "/", -1))),
+        made(js, F.lit("zz/entry.ts"), "typescript", F.concat(F.lit("../"), "base")),
+        made(js, F.lit("zz/deep/entry.js"), "javascript", F.concat(F.lit("./../../"), "path")),
+    ]
+    found = reduce(DataFrame.unionByName, every, stored.select("repository_id", "source_path", "language", "module"))
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.concat(F.array_join(F.slice(parts, 1, i), "/"), F.lit("/__init__.py")))
+    packages = py.where(F.size(parts) > 1).select("repository_id", F.explode(above).alias("path"))
+    sources = found.select("repository_id", F.col("source_path").alias("path"))
+    return found, files.unionByName(packages).unionByName(sources).distinct()
+
+
+@query(f"WITH {_MODULES}, {_REFERENCES}, {_RESOLVED} SELECT repository_id, source_path, module, target_path FROM resolved")
 def import_resolve(spark, d):
-    """Import edges between files, in all languages."""
-    files = table(spark, d, "files").select("repository_id", "path")
-    return graph.import_edges(references.import_modules(units(spark, d)), files)
+    """Files that module names stand for, in all languages: those of stored imports, and some made from stored paths."""
+    return graph.resolve_modules(*_module_references(spark, d)).select("repository_id", "source_path", "module", "target_path")
 
 
-@query()
-def call_resolve(spark, d):
-    """Call edges between stored functions, from the scanned texts."""
-    files = code_files(spark, d)
+@query(f"""WITH {_MODULES}, {_REFERENCES}, {_RESOLVED}
+SELECT DISTINCT r.repository_id, r.source_path, r.target_path FROM resolved r SEMI JOIN inv ON inv.repository_id = r.repository_id AND inv.path = r.source_path WHERE r.source_path <> r.target_path""")
+def import_edge_rows(spark, d):
+    """Import edges between files of the inventory: each once, none from a file to itself."""
+    return graph.import_edges(*_module_references(spark, d))
+
+
+@query("""WITH e AS (SELECT l_returnflag || l_linestatus AS repository_id, l_suppkey AS s, l_partkey AS t, l_orderkey * 10 + l_linenumber AS place FROM lineitem)
+SELECT repository_id, s, t, min(place) AS first_at FROM e GROUP BY ALL""")
+def edge_dedup_first(spark, d):
+    """First occurrence of every edge between suppliers and parts, in four repositories of very different size."""
+    return graph.first_edges(_line_edges(spark, d), "s", "t", "at").withColumnRenamed("at", "first_at")
+
+
+@query("""WITH e AS (SELECT l_returnflag || l_linestatus AS repository_id, l_suppkey AS s, l_partkey AS t, min(l_orderkey * 10 + l_linenumber) AS place FROM lineitem GROUP BY ALL)
+SELECT repository_id, s, t, place AS first_at FROM (SELECT *, row_number() OVER (PARTITION BY repository_id ORDER BY place, s, t) AS n FROM e) WHERE n <= 100""")
+def edge_cap_first(spark, d):
+    """The first hundred edges of each repository, where a cap is asked for."""
+    return graph.first_edges(_line_edges(spark, d), "s", "t", "at", most=100).withColumnRenamed("at", "first_at")
+
+
+def _line_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    return table(spark, sf_dir, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("repository_id"), F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("t"), at.alias("at"))
+
+
+def _call_edges_of(files: DataFrame, stored: DataFrame) -> DataFrame:
+    """Call edges of files (file_id, repository_id, path, language, content) between the stored functions in them."""
     analysis = durable(references.analyse_calls(files))  # parsed once, read three times
-    ends = references.endpoints_with_units(analysis, units(spark, d))
+    ends = references.endpoints_with_units(analysis, stored)
     calls = references.call_rows(analysis, ends)
     return graph.resolve_calls(calls, references.binding_rows(analysis), ends, files)
 
 
+def _planted(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """(files, units) of the planted repository, parsed; a unit's id is its path and name."""
+    rows = [(path, "planted", path, language, content) for path, (language, content) in planted.FILES.items()]
+    files = spark.createDataFrame(rows, "file_id string, repository_id string, path string, language string, content string")
+    name = F.coalesce("symbol_name", F.concat_ws("-", "start_line", "end_line"))
+    made = parsing.parse_files(files).withColumn("code_unit_id", F.concat_ws(":", "path", name))
+    return files, made.withColumn("embedding", F.lit(None).cast("array<float>"))
+
+
+@query(f"""SELECT 'planted' AS repository_id, source_unit_id, target_unit_id FROM ({planted.values(planted.CALLS)}) t(source_unit_id, target_unit_id)""")
+def call_resolve(spark, d):
+    """Call edges of the planted repository and of the scanned texts of the tables, which have none between stored
+    functions."""
+    files, made = _planted(spark)
+    return _call_edges_of(code_files(spark, d).unionByName(files, allowMissingColumns=True), units(spark, d).unionByName(made.select(*units(spark, d).columns), allowMissingColumns=True))
+
+
+@query(f"SELECT source_path, target_path FROM ({planted.values(planted.IMPORTS)}) t(source_path, target_path)")
+def import_edges_planted(spark, d):
+    """Import edges of the planted repository, from its parsed units."""
+    files, made = _planted(spark)
+    return graph.import_edges(references.import_modules(made), files).select("source_path", "target_path")
+
+
+@query(f"""WITH e AS ({planted.values(planted.CALLS)}) SELECT e.col1 AS query_id, e.col0 AS code_unit_id FROM e WHERE e.col0 <> e.col1""")
+def impact_resolved(spark, d):
+    """Callers of every function of the planted repository, from resolved calls."""
+    files, made = _planted(spark)
+    targets = made.where("kind = 'function'").select(F.col("code_unit_id").alias("query_id"), "code_unit_id")
+    return graph.impact_of_symbols(targets, _call_edges_of(files, made), made, 20).select("query_id", "code_unit_id")
+
+
+@query(f"""SELECT path, kind, symbol_name, start_line, end_line FROM ({planted.values(planted.UNITS)}) t(path, kind, symbol_name, start_line, end_line)""")
+def parse_planted(spark, d):
+    """Units of the planted repository: decorated, nested, exported, several to a line."""
+    return _planted(spark)[1].select("path", "kind", "symbol_name", "start_line", "end_line")
+
+
 @query()
 def parse_units(spark, d):
     """Units of the scanned Python, JavaScript and TypeScript files, counted per repository and kind."""
@@ -695,19 +796,23 @@ def snapshot_classify(spark, d):
 
 
 @query(f"""WITH {_CLASSES}, ch AS (SELECT repository_id, count_if(status <> 'unchanged') AS n FROM cls GROUP BY 1)
-SELECT r.id AS repository_id, coalesce(ch.n, 0) AS changed, r.index_generation + CASE WHEN coalesce(ch.n, 0) > 0 THEN 1 ELSE 0 END AS next_generation
-FROM repositories r LEFT JOIN ch ON ch.repository_id = r.id WHERE r.index_generation < 9223372036854775807""")
+SELECT r.id AS repository_id, coalesce(ch.n, 0) AS changed, CAST(CAST(r.index_generation AS HUGEINT) + CASE WHEN coalesce(ch.n, 0) > 0 THEN 1 ELSE 0 END AS VARCHAR) AS next_generation
+FROM repositories r LEFT JOIN ch ON ch.repository_id = r.id""")
 def snapshot_generation(spark, d):
     """The next generation of every repository: one more where something changed."""
-    known = table(spark, d, "repositories").where(F.col("index_generation") < 2**63 - 1)
-    return snapshot.generations(_classes(spark, d), known)
+    following = snapshot.generations(_classes(spark, d), table(spark, d, "repositories"))
+    return following.withColumn("next_generation", F.col("next_generation").cast("string"))
 
 
-@query(f"WITH {_CLASSES}, {U} SELECT u.code_unit_id FROM u JOIN cls ON cls.repository_id = u.repository_id AND cls.path = u.path AND cls.status = 'unchanged'")
+@query(f"""WITH {_CLASSES}, {U} SELECT u.code_unit_id, u.path, 'stored' AS origin FROM u JOIN cls ON cls.repository_id = u.repository_id AND cls.path = u.path AND cls.status = 'unchanged'
+UNION ALL SELECT s.file_id, s.path, 'parsed' FROM (SELECT DISTINCT file_id, repository_id, relative_path AS path FROM source_files) s
+JOIN cls ON cls.repository_id = s.repository_id AND cls.path = s.path AND cls.status = 'refresh'""")
 def snapshot_carry_forward(spark, d):
-    """Stored units that the next generation keeps."""
-    stored = units(spark, d).select("code_unit_id", "repository_id", "path")
-    return snapshot.carry_forward(stored, _classes(spark, d), stored.limit(0)).select("code_unit_id")
+    """Units of the next generation: the stored ones of unchanged files, and of refreshed files the one unit that a
+    parser of whole files gives."""
+    stored = units(spark, d).select("code_unit_id", "repository_id", "path", F.lit("stored").alias("origin"))
+    parsed = distinct_files(spark, d).select(F.col("file_id").alias("code_unit_id"), "repository_id", F.col("relative_path").alias("path"), F.lit("parsed").alias("origin"))
+    return snapshot.carry_forward(stored, _classes(spark, d), parsed).select("code_unit_id", "path", "origin")
 
 
 @query("""WITH e AS (SELECT user_id % 50 AS job, event_id, ts, row_number() OVER (PARTITION BY user_id % 50 ORDER BY ts, event_id) AS s,
@@ -783,12 +888,6 @@ def prompt_build(spark, d):
     return _prompts(spark, d, questions(spark, d))
 
 
-@query(f"WITH {U}, {WHOLE}, {_PROMPT}")
-def prompt_whole(spark, d):
-    """The message of every whole question, as a digest."""
-    return _prompts(spark, d, stated_questions(spark, d))
-
-
 _ANSWERS = "a AS (SELECT doc_id AS query_id, 'See [Evidence ' || (doc_id % 7) || '] and [Evidence ' || (doc_id % 5 + 1) || '], not [Evidence 0' || (doc_id % 3) || '] or [Evidence ' || (doc_id % 7) || ']. End' AS answer, 4 AS included FROM documents)"
 
 
@@ -869,7 +968,7 @@ def _per_question(spark: SparkSession, sf_dir: str) -> DataFrame:
 def eval_modes(spark, d):
     """Averages of the three ways to search."""
     u = units(spark, d)
-    return evaluation.by_mode(u, stated_questions(spark, d), _targets(u, questions(spark, d)))
+    return evaluation.by_mode(u, questions(spark, d), _targets(u, questions(spark, d)))
 
 
 @query(f"WITH {U}, {Q}, {_EVAL} SELECT * FROM pq")
@@ -964,5 +1063,5 @@ def p4_found(spark, d):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reranked hybrid search of all questions with one hop of calls added."""
     u = units(spark, sf_dir)
-    direct = search.reranked(u, whole_questions(table(spark, sf_dir, "search_queries")), 10)
+    direct = search.reranked(u, with_vectors(table(spark, sf_dir, "search_queries")), 10)
     return graph.expand(direct, call_edges(spark, sf_dir), u, 10).orderBy("query_id", "position")

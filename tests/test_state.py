@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from strataloom.operators import incremental, overview, snapshot
 from strataloom.providers import DigestEmbedding, FixedAnswer, ProviderError, embedded
 from strataloom.functions import paths, vectors
+from strataloom.plans import planted
 from strataloom.sources import evaluation as evaluation_source
 from strataloom.sources import repository, validation
 from strataloom.streaming import metrics
@@ -148,10 +149,16 @@ SOURCES = {
     " https://h/x": "bad_margin", "http://h/x": "bad_scheme", "git@h:o/n": "bad_scp", "https://u:p@h/x": "bad_credentials", "https://h/x?y": "bad_query", "https://h/x#y": "bad_fragment",
     "https://h": "bad_path", "https://h/": "bad_path", "https://h:/x": "bad_port", "https://h:0/x": "bad_port", "https://h:99999/x": "bad_url", "https://localhost/x": "bad_localhost",
     "https://a.LOCALHOST./x": "bad_localhost", "https://127.0.0.1/x": "bad_address", "https://[::1]/x": "bad_address", "https://8.8.8.8/x": "https", "https://h/../x": "bad_dot_path",
+    "file:/etc/passwd": "bad_scheme", "http:example.com/x": "bad_scheme", "git:foo/bar": "bad_scheme", "javascript:alert": "bad_scheme", "c:https://example.com/t/p.git": "bad_scheme", "https:x/y": "bad_host",
     "https://h/a b": "bad_whitespace", "https://h\\x/y": "bad_backslash", "a\tb": "bad_control", "ssh://h/x": "bad_scheme",
 }
 
 
+def test_planted_sources(spark):
+    df = spark.createDataFrame([(s,) for s in [*planted.SOURCES, None]], "s string")
+    assert {r.s: r.v for r in df.select("s", validation.verdict(F.col("s")).alias("v")).collect()} == {**planted.SOURCES, None: "bad_empty"}
+
+
 def test_source_verdicts(spark):
     df = spark.createDataFrame([(s,) for s in SOURCES], "s string")
     assert {r.s: r.v for r in df.select("s", validation.verdict(F.col("s")).alias("v")).collect()} == SOURCES

@@ -23,7 +23,8 @@ def test_questions_are_searched_whole(spark, monkeypatch):
         core.eval_modes(spark, FOLDER)
     given = spark.read.parquet(f"{FOLDER}/search_queries.parquet")
     assert asked["flagship"] == {r.question for r in given.collect()}
-    assert asked["modes"] == {r.question for r in given.where("query_id % 20 = 0").collect()}
+    stated = {r.question for r in given.where("query_id % 20 = 0").collect()}
+    assert asked["modes"] >= stated and len(asked["modes"] - stated) <= len(stated)
 
 
 def test_every_tier_of_a_question_of_several_words(spark):
