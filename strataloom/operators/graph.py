@@ -12,6 +12,7 @@ import sys
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import paths
 from ..session import durable
 from . import order
 from .search import META
@@ -105,7 +106,7 @@ def resolve_modules(references: DataFrame, files: DataFrame) -> DataFrame:
     """
     columns = ["repository_id", "source_path", "language", "module"]
     wanted = references.select(*columns).distinct()
-    paths = files.select("repository_id", "path").distinct()
+    inventory = files.select("repository_id", "path").distinct()
     python = _python_parts(wanted.where(F.col("language") == "python"))
     ecma = _ecma_parts(wanted.where(F.col("language").isin("javascript", "typescript")))
     both = durable(python.unionByName(ecma))  # read several times below; small beside the texts it came from
@@ -114,11 +115,11 @@ def resolve_modules(references: DataFrame, files: DataFrame) -> DataFrame:
     on_way = both.select(*key, F.explode("packages").alias("package")).select(
         *key, F.concat("package", F.lit("/__init__.py")).alias("must"), F.concat("package", F.lit(".py")).alias("not")
     )
-    have = paths.withColumn("have", F.lit(True))
+    have = inventory.withColumn("have", F.lit(True))
     missing = on_way.join(have.withColumnRenamed("path", "must"), ["repository_id", "must"], "left").where("have is null")
-    clash = on_way.join(paths.withColumnRenamed("path", "not"), ["repository_id", "not"], "left_semi")
+    clash = on_way.join(inventory.withColumnRenamed("path", "not"), ["repository_id", "not"], "left_semi")
     broken = missing.select(*key).unionByName(clash.select(*key)).distinct()
-    hits = both.select(*key, F.explode(F.array_distinct("candidates")).alias("path")).join(paths, ["repository_id", "path"])
+    hits = both.select(*key, F.explode(F.array_distinct("candidates")).alias("path")).join(inventory, ["repository_id", "path"])
     one = hits.groupBy(*key).agg(F.count("*").alias("n"), F.min("path").alias("target_path")).where("n = 1").drop("n")
     return one.join(broken, key, "left_anti")
 
@@ -201,6 +202,45 @@ def find_symbol(targets: DataFrame, units: DataFrame) -> DataFrame:
     return grouped.select("query_id", "matches", F.when(F.col("matches") == 1, F.col("only")).alias("code_unit_id"))
 
 
+def impact(
+    targets: DataFrame, repositories: DataFrame, files: DataFrame, units: DataFrame, imports: DataFrame, calls: DataFrame, limit: int = 20
+) -> tuple[DataFrame, DataFrame]:
+    """(heads, items) of targets (query_id, repository_id, path, symbol_name): what depends on a file, or on a symbol.
+
+    A head (query_id, outcome, mode, file_id, code_unit_id) tells what was found: ``ok``, ``bad_path``, ``no_repository``,
+    ``no_file``, ``no_symbol``, or ``ambiguous`` where the file has several such symbols. Items (query_id, file_id, path,
+    code_unit_id, symbol_name, kind, start_line, end_line, relationship_type, rank, truncated) are there for ``ok`` only.
+    """
+    order.check_limit(limit)
+    asked = targets.select("query_id", "repository_id", "path", "symbol_name")
+    known = repositories.select(F.col("id").alias("repository_id"), F.lit(True).alias("known")).distinct()
+    placed = files.select("repository_id", "path", F.col("id").alias("file_id"))
+    wanted = asked.where(F.col("symbol_name").isNotNull()).select("query_id", "repository_id", "path", "symbol_name")
+    found = find_symbol(wanted, units)
+    all_ = asked.join(known, "repository_id", "left").join(placed, ["repository_id", "path"], "left").join(found, "query_id", "left")
+    symbol_mode = F.col("symbol_name").isNotNull()
+    outcome = (
+        F.when(~paths.valid_relative(F.col("path")) | (symbol_mode & (F.trim("symbol_name") == "")), "bad_path")
+        .when(F.col("known").isNull(), "no_repository")
+        .when(F.col("file_id").isNull(), "no_file")
+        .when(symbol_mode & (F.col("matches") == 0), "no_symbol")
+        .when(symbol_mode & (F.col("matches") > 1), "ambiguous")
+        .otherwise("ok")
+    )
+    heads = durable(all_.select("query_id", outcome.alias("outcome"), F.when(symbol_mode, "symbol").otherwise("file").alias("mode"), "file_id", "code_unit_id"))
+    good = heads.where("outcome = 'ok'")
+    by_file = impact_of_files(good.where("mode = 'file'").select("query_id", "file_id"), imports, files, limit)
+    by_symbol = impact_of_symbols(good.where("mode = 'symbol'").select("query_id", "code_unit_id"), calls, units, limit)
+    none = lambda kind, *names: [F.lit(None).cast(kind).alias(n) for n in names]
+    items = by_file.select(
+        "query_id", "file_id", "path", *none("string", "code_unit_id", "symbol_name", "kind"), *none("int", "start_line", "end_line"),
+        F.lit("imports").alias("relationship_type"), "rank", "truncated",
+    ).unionByName(by_symbol.select(
+        "query_id", "file_id", "path", "code_unit_id", "symbol_name", "kind", "start_line", "end_line", F.lit("calls").alias("relationship_type"), "rank", "truncated",
+    ))
+    return heads, items
+
+
 def impact_of_symbols(targets: DataFrame, edges: DataFrame, units: DataFrame, limit: int = 20) -> DataFrame:
     """(query_id, metadata, rank, truncated): units that call the target unit, in canonical order, recursion aside."""
     order.check_limit(limit)

@@ -9,7 +9,7 @@ The scan log keeps arriving, late and repeated, while a stored state says what t
    generous reread brings in.
 
 A run that fails leaves the ledger as it was, so the next run finds the same pairs again; a run that succeeds adds
-its pairs with one atomic rename, so none is taken twice.
+its pairs and its output with the exclusive creation of one file, so none is taken twice.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import SharedFolder
+
 
 def normal_path(path: Column) -> Column:
     """``path`` without leading ``./`` (repeated ones too)."""
@@ -99,35 +101,46 @@ _VERSION = ("index_generation", "observed_at", "observation_id")
 
 
 class ProcessedLedger:
-    """The versions that all successful runs took, as parquet folders under one root.
+    """The versions that all successful runs took, under one root of a shared file system.
 
     Versions have repository_id, path and content_hash, and may have the status, index_generation, observed_at and
     observation_id of :func:`newest_versions`. A path is taken when its version differs from the newest published one,
     so content that comes back after other content is work again. Removed versions, if they are given, are taken and
     published as well, so a path that comes back with its old hash is work too; without the removal nothing was lost.
 
-    ``take`` gives the records a run must process; ``commit`` publishes them. A run writes to a folder of its own
-    that readers ignore, and a rename makes it visible: a crash before it changes nothing, and a repeated commit
-    under the same run id is refused by the existing folder.
+    A run writes its versions and its output to folders of its own that readers ignore. It is published by creating one
+    small file under ``commits``, numbered, and only the first to take a number succeeds: two writers of one run, or of two runs
+    that began from the same state, cannot both publish, and versions and output appear together or not at all. A
+    crash at any point before leaves folders that no reader opens (:meth:`sweep` removes them). Work that has effects
+    elsewhere may be repeated after a crash; work that returns its output as a DataFrame is published exactly once.
     """
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-        self._path = spark._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+        self.spark, self.folder = spark, SharedFolder(spark, root)
+
+    def _log(self) -> list[dict]:
+        """The published commits in order. Each says which folders it adds, and a compaction which it replaces."""
+        return self.folder.records("commits")
 
     def runs(self) -> list[str]:
         """Names of the published runs, in order."""
-        root = self._path(self.root)
-        if not self._fs.exists(root):
-            return []
-        names = [s.getPath().getName() for s in self._fs.listStatus(root)]
-        return sorted(n for n in names if n.startswith("run="))
+        return [c["run"] for c in self._log() if c["run"]]
+
+    def _live(self, log: list[dict]) -> list[str]:
+        folders: list[str] = []
+        for c in log:
+            folders = [f for f in folders if f not in c["replaces"]] + [c["versions"]]
+        return folders
 
     def _rows(self) -> DataFrame:
-        found = [f"{self.root}/{n}" for n in self.runs()]
+        found = [self.folder.at(f) for f in self._live(self._log())]
         return self.spark.read.schema(_LEDGER).parquet(*found) if found else self.spark.createDataFrame([], _LEDGER)
 
+    def outputs(self) -> DataFrame | None:
+        """What the work of all published runs gave; None if none gave anything."""
+        found = [self.folder.at(c["output"]) for c in self._log() if c["output"]]
+        return self.spark.read.parquet(*found) if found else None
+
     def pairs(self) -> DataFrame:
         """All processed pairs."""
         return self._rows().where(F.col("path").isNotNull()).select("repository_id", "path", "content_hash")
@@ -169,31 +182,71 @@ class ProcessedLedger:
         return both.where(~unchanged & fresh).select("v.*")
 
     def commit(
-        self, run: str, taken: DataFrame, work: Callable[[DataFrame], None] | None = None, oldest_open: DataFrame | None = None
+        self,
+        run: str,
+        taken: DataFrame,
+        work: Callable[[DataFrame], DataFrame | None] | None = None,
+        oldest_open: DataFrame | None = None,
     ) -> bool:
-        """Do ``work`` on ``taken`` and publish its versions as ``run``; False if ``run`` is published already.
+        """Do ``work`` on ``taken`` and publish its versions and its output as ``run``.
 
-        ``oldest_open`` (repository_id, index_generation) tells from which transaction the next run rereads.
+        False if the run is published already, or if another run was published since this one began: then nothing of
+        it is visible, and what it took must be taken again. ``oldest_open`` (repository_id, index_generation) tells
+        from which transaction the next run rereads.
         """
-        target = self._path(f"{self.root}/run={run}")
-        if self._fs.exists(target):
+        log = self._log()
+        if any(c["run"] == run for c in log):
             return False
-        staged = f"{self.root}/.staged-{uuid.uuid4().hex}"
+        sequence = log[-1]["sequence"] + 1 if log else 0
+        attempt = uuid.uuid4().hex
         names = [c.split()[0] for c in _LEDGER.split(", ")]
         types = dict(c.split() for c in _LEDGER.split(", "))
-        sequence = F.lit(len(self.runs()))
         filled = lambda df, **more: df.select(
             [more.get(c, F.col(c) if c in df.columns else F.lit(None)).cast(types[c]).alias(c) for c in names]
         )
-        none = {"oldest_open": F.lit(None)}
-        rows = filled(taken.where(F.col("path").isNotNull()), sequence=sequence, **none)
+        rows = filled(taken.where(F.col("path").isNotNull()), sequence=F.lit(sequence), oldest_open=F.lit(None))
         if oldest_open is not None:
             marks = oldest_open.groupBy("repository_id").agg(F.min("index_generation").alias("oldest_open"))
-            rows = rows.unionByName(filled(marks, sequence=sequence))
-        rows.write.parquet(staged)
+            rows = rows.unionByName(filled(marks, sequence=F.lit(sequence)))
+        versions, output = f"attempts/{attempt}/versions", None
+        rows.write.parquet(self.folder.at(versions))
         if work is not None:
-            work(self.spark.read.parquet(staged).where(F.col("path").isNotNull()).drop("sequence", "oldest_open"))
-        if not self._fs.rename(self._path(staged), target):
-            self._fs.delete(self._path(staged), True)
-            return False
-        return True
+            staged = self.spark.read.schema(_LEDGER).parquet(self.folder.at(versions))
+            made = work(staged.where(F.col("path").isNotNull()).drop("sequence", "oldest_open"))
+            if made is not None:
+                output = f"attempts/{attempt}/output"
+                made.write.parquet(self.folder.at(output))
+        return self._publish({"run": run, "sequence": sequence, "versions": versions, "output": output, "replaces": []}, attempt)
+
+    def _publish(self, commit: dict, attempt: str) -> bool:
+        if self.folder.append("commits", commit, commit["sequence"] - 1):
+            return True
+        self.folder.remove(f"attempts/{attempt}")
+        return False
+
+    def compact(self) -> bool:
+        """Replace the versions of all runs by the newest of every path and the last marks, as one more commit, so that
+        reading the ledger does not grow with the number of runs. False if a run was published meanwhile."""
+        log = self._log()
+        if len(log) < 2:
+            return True
+        sequence, attempt = log[-1]["sequence"] + 1, uuid.uuid4().hex
+        names = [c.split()[0] for c in _LEDGER.split(", ")]
+        everything = self._rows()
+        rest = [c for c in names if c not in ("repository_id", "path")]
+        paths = everything.where(F.col("path").isNotNull()).withColumn("path", normal_path(F.col("path")))
+        paths = paths.groupBy("repository_id", "path").agg(F.max_by(F.struct(*rest), F.struct(*_VERSION, "sequence")).alias("s"))
+        marks = everything.where(F.col("oldest_open").isNotNull()).groupBy("repository_id").agg(F.max_by(F.struct("path", *rest), "sequence").alias("s"))
+        versions = f"attempts/{attempt}/versions"
+        kept = paths.select("repository_id", "path", "s.*").select(*names).unionByName(marks.select("repository_id", "s.*").select(*names))
+        kept.write.parquet(self.folder.at(versions))
+        return self._publish({"run": None, "sequence": sequence, "versions": versions, "output": None, "replaces": self._live(log)}, attempt)
+
+    def sweep(self) -> int:
+        """Remove the folders of attempts that nothing published refers to; only while no run is at work."""
+        log = self._log()
+        known = {f.split("/")[1] for c in log for f in (c["output"], *([c["versions"]] if c["versions"] in self._live(log) else [])) if f}
+        lost = [n for n in self.folder.names("attempts") if n not in known]
+        for name in lost:
+            self.folder.remove(f"attempts/{name}")
+        return len(lost)

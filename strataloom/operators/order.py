@@ -55,3 +55,11 @@ def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0, most:
     if offset < 0:
         raise ValueError("offset must not be negative")
     return df.orderBy(*order).offset(offset).limit(limit)
+
+
+def in_requested_order(requested: DataFrame, rows: DataFrame, key: str, position: str = "position") -> DataFrame:
+    """The rows of requested keys in the order of the request; a key requested twice comes twice, an unknown one fails."""
+    known = rows.withColumn("_known", F.lit(True))
+    both = requested.join(known, key, "left")
+    lost = F.when(F.col("_known").isNull(), F.raise_error(F.concat(F.lit("no such row: "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast("boolean")).otherwise(F.lit(True))
+    return both.where(lost).drop("_known").orderBy(position)

@@ -148,3 +148,63 @@ def status_history(events: DataFrame) -> DataFrame:
         .otherwise(False)
     )
     return events.withColumn("previous", previous).withColumn("valid", ok)
+
+
+def grouped_units(units: DataFrame, files: DataFrame) -> DataFrame:
+    """(file_id, units): the units of every file in canonical order, metadata only; files without units have an empty list."""
+    fields = ["start_line", "last", "kind", "id", "symbol_name"]
+    slim = units.select("file_id", "start_line", (-F.col("end_line")).alias("last"), "kind", "id", "symbol_name")
+    listed = slim.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("u"))
+    joined = files.select(F.col("id").alias("file_id")).join(listed, "file_id", "left")
+    shaped = F.transform("u", lambda x: F.struct(x["id"].alias("id"), x["kind"].alias("kind"), x["start_line"].alias("start_line"), (-x["last"]).alias("end_line"), x["symbol_name"].alias("symbol_name")))
+    none = F.from_json(F.lit("[]"), "array<struct<id:string,kind:string,start_line:int,end_line:int,symbol_name:string>>")
+    return joined.select("file_id", F.coalesce(shaped, none).alias("units"))
+
+
+def consistency_checks(counts_: DataFrame, languages: DataFrame, kinds: DataFrame) -> DataFrame:
+    """(check, violations): counts of an overview that contradict each other.
+
+    ``counts_``: what :func:`counts` gives; ``languages`` and ``kinds``: (repository_id, <name>, count). Counts per
+    language and per kind add up to the units, no key occurs twice, named units are no more than all, and without files
+    there are no units.
+    """
+    def sums(df: DataFrame, name: str) -> DataFrame:
+        total = df.groupBy("repository_id").agg(F.sum("count").alias("n"))
+        both = counts_.select("repository_id", "code_units").join(total, "repository_id", "left")
+        return _violations(both, f"sum of {name}", F.coalesce("n", F.lit(0)) != F.col("code_units"))
+
+    return (
+        sums(languages, "language")
+        .unionByName(sums(kinds, "kind"))
+        .unionByName(_repeated(languages, "repeated language", "repository_id", "language"))
+        .unionByName(_repeated(kinds, "repeated kind", "repository_id", "kind"))
+        .unionByName(_violations(counts_, "named above all", F.col("named_code_units") > F.col("code_units")))
+        .unionByName(_violations(counts_, "units without files", (F.col("files") == 0) & (F.col("code_units") > 0)))
+    )
+
+
+def row_counts(expected: dict[str, int], tables: dict[str, DataFrame]) -> DataFrame:
+    """(table, rows, expected, as_expected) of tables whose number of rows is known."""
+    out = None
+    for name, n in expected.items():
+        row = tables[name].agg(F.count("*").alias("rows")).select(
+            F.lit(name).alias("table"), "rows", F.lit(n).cast("long").alias("expected"), (F.col("rows") == n).alias("as_expected")
+        )
+        out = row if out is None else out.unionByName(row)
+    if out is None:
+        raise ValueError("no table was named")
+    return out
+
+
+def requested_summary(requested: DataFrame, repositories: DataFrame, jobs: DataFrame, files: DataFrame, units: DataFrame) -> DataFrame:
+    """The summary of requested repositories (repository_id, position), in order of first request, each id once.
+
+    ``found`` is false for ids that are no repository. Only the requested repositories' files and units are counted.
+    """
+    once = requested.groupBy("repository_id").agg(F.min("position").alias("position"))
+    ids = once.select("repository_id")
+    mine = files.join(ids, "repository_id", "left_semi")
+    theirs = units.join(mine.select(F.col("id").alias("file_id")), "file_id", "left_semi")
+    known = repositories.join(ids.withColumnRenamed("repository_id", "id"), "id", "left_semi")
+    rows = summary(known, jobs.join(ids, "repository_id", "left_semi"), mine, theirs).withColumn("found", F.lit(True))
+    return once.join(rows, "repository_id", "left").withColumn("found", F.coalesce("found", F.lit(False))).orderBy("position")

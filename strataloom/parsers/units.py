@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.paths import valid_relative
 from ..session import spread
 from . import ecma
 
@@ -128,12 +129,13 @@ def parse_files(files: DataFrame) -> DataFrame:
 
 
 def unit_checks(units: DataFrame) -> DataFrame:
-    """Units that break a rule: (file_id, path, symbol_name, problem)."""
+    """Units that break a rule, with the first rule they break as ``problem``."""
     problem = (
         F.when(~F.col("kind").isin("class", "config", "document", "function", "import"), "kind")
         .when(F.col("content").isNull() | (F.col("content") == ""), "content")
         .when(F.col("language") != F.lower("language"), "language")
         .when((F.col("start_line") < 1) | (F.col("end_line") < F.col("start_line")), "lines")
         .when(F.trim("symbol_name") == "", "symbol")
+        .when(~valid_relative(F.col("path")), "path")
     )
-    return units.withColumn("problem", problem).where("problem is not null").select("file_id", "path", "symbol_name", "problem")
+    return units.withColumn("problem", problem).where("problem is not null")

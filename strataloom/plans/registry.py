@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import core
+from . import core, service
 
 flagship = core.flagship
+assert service  # registers its queries beside those of core
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -34,6 +34,18 @@ class ProviderError(RuntimeError):
     """A provider gave something it must not give, or nothing."""
 
 
+class ProviderUnavailable(ProviderError):
+    """A provider cannot be reached, or its model is not there."""
+
+
+class ProviderTimeout(ProviderError):
+    """A provider did not answer in time."""
+
+
+class ProviderResponseError(ProviderError):
+    """A provider answered what is no answer."""
+
+
 class DigestEmbedding:
     """Vectors from the SHA-256 of a text: the same on every machine, without meaning."""
 
@@ -62,6 +74,59 @@ class FixedAnswer:
         return self.answer
 
 
+class LocalChat:
+    """A chat model served on this machine: ``POST /api/chat`` without streaming, redirects or proxies."""
+
+    def __init__(self, model: str, address: str = "http://127.0.0.1:11434", timeout: float = 120.0):
+        import ipaddress
+        from urllib.parse import urlsplit
+
+        parts = urlsplit(address)
+        host = parts.hostname or ""
+        try:
+            local = ipaddress.ip_address(host).is_loopback
+        except ValueError:
+            local = host == "localhost"
+        if parts.scheme != "http" or not local or parts.username or parts.query or parts.fragment or parts.path not in ("", "/"):
+            raise ValueError("only a plain address of this machine is allowed")
+        if not model.strip() or timeout <= 0:
+            raise ValueError("a model and a positive timeout are needed")
+        self.model, self.address, self.timeout = model, f"http://{parts.netloc}", timeout
+
+    def chat(self, messages: Sequence[tuple[str, str]]) -> str:
+        """The content of the model's reply."""
+        import json
+        import urllib.error
+        import urllib.request
+
+        class Stay(urllib.request.HTTPRedirectHandler):
+            def redirect_request(self, *args):
+                return None
+
+        if not messages:
+            raise ProviderError("no messages")
+        body = {"model": self.model, "stream": False, "messages": [{"role": r, "content": c} for r, c in messages]}
+        sent = urllib.request.Request(f"{self.address}/api/chat", json.dumps(body).encode(), {"Content-Type": "application/json"})
+        opener = urllib.request.build_opener(urllib.request.ProxyHandler({}), Stay())
+        try:
+            with opener.open(sent, timeout=self.timeout) as reply:
+                data = json.loads(reply.read())
+        except TimeoutError as e:
+            raise ProviderTimeout("the model did not answer in time") from e
+        except urllib.error.HTTPError as e:
+            raise (ProviderUnavailable if e.code in (404, 502, 503) else ProviderResponseError)(f"status {e.code}") from e
+        except urllib.error.URLError as e:
+            raise (ProviderTimeout if isinstance(e.reason, TimeoutError) else ProviderUnavailable)("the model cannot be reached") from e
+        except OSError as e:
+            raise ProviderUnavailable("the model cannot be reached") from e
+        except ValueError as e:
+            raise ProviderResponseError("the reply is not JSON") from e
+        said = data.get("message") if isinstance(data, dict) else None
+        if not isinstance(said, dict) or said.get("role") != "assistant" or not isinstance(said.get("content"), str) or not said["content"].strip():
+            raise ProviderResponseError("the reply has no content")
+        return said["content"]
+
+
 def embedded(df: DataFrame, text: str, make: Callable[[], EmbeddingProvider], dimension: int, batch: int = 64) -> DataFrame:
     """``df`` with a column ``embedding``. The model is made once per Python worker and called in batches.
 
@@ -80,10 +145,10 @@ def embedded(df: DataFrame, text: str, make: Callable[[], EmbeddingProvider], di
                 some = known[start : start + batch]
                 vectors = provider.embed([texts.iloc[i] for i in some])
                 if len(vectors) != len(some):
-                    raise ProviderError("one vector per text is needed")
+                    raise ProviderResponseError("one vector per text is needed")
                 for i, v in zip(some, vectors):
                     if len(v) != dimension or not all(map(math.isfinite, v)):
-                        raise ProviderError("a vector is not usable")
+                        raise ProviderResponseError("a vector is not usable")
                     out[i] = v
             yield pd.Series(out)
 
@@ -91,16 +156,18 @@ def embedded(df: DataFrame, text: str, make: Callable[[], EmbeddingProvider], di
 
 
 def scorer(make: Callable[[], RerankingProvider]) -> Callable[[Column, Column], Column]:
-    """A score for :func:`strataloom.operators.search.reranked` from a provider."""
+    """A score for :func:`strataloom.operators.search.reranked` from a provider, made once per Python worker."""
 
-    def score(question: pd.Series, document: pd.Series) -> pd.Series:
+    @F.pandas_udf("double")
+    def score(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         provider = make()
-        out = pd.Series(0.0, index=question.index)
-        for q, rows in document.groupby(question):
-            scores = provider.score(q, list(rows))
-            if len(scores) != len(rows):
-                raise ProviderError("one score per document is needed")
-            out.loc[rows.index] = [float(s) for s in scores]
-        return out
-
-    return F.pandas_udf("double")(score)
+        for question, document in parts:
+            out = pd.Series(0.0, index=question.index)
+            for q, rows in document.groupby(question):
+                scores = provider.score(q, list(rows))
+                if len(scores) != len(rows):
+                    raise ProviderResponseError("one score per document is needed")
+                out.loc[rows.index] = [float(s) for s in scores]
+            yield out
+
+    return score

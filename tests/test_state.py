@@ -48,7 +48,11 @@ def test_store_publishes_whole_generations(spark, tmp_path):
     assert store.generation() == 1 and store.read("t").count() == 3
     assert store.publish({"t": spark.range(5).toDF("x")}) == 2
     assert store.read("t").count() == 5 and store.read("t", 1).count() == 3
-    assert not [n for n in os.listdir(tmp_path / "s") if n.startswith(".staged") or n == ".lock"]
+    assert len(os.listdir(tmp_path / "s" / "tables")) == 2  # what failed is gone
+    with pytest.raises(RuntimeError):
+        store.publish({"t": spark.range(1).toDF("x")}, base=1)  # computed from a generation that is no longer the last
+    other = snapshot.SnapshotStore(spark, str(tmp_path / "s"), "r")
+    assert other.generation() == 0 and other.publish({"t": spark.range(7).toDF("x")}) == 1 and store.generation() == 2
 
 
 def test_job_states(spark, tmp_path):
@@ -56,9 +60,10 @@ def test_job_states(spark, tmp_path):
     job = jobs.reserve("r")
     with pytest.raises(RuntimeError):
         jobs.reserve("r")
-    assert jobs.move(job, "running") and jobs.move(job, "completed")
-    assert not jobs.move(job, "failed") and not jobs.move("unknown", "running")
+    assert jobs.move("r", job, "running") and jobs.move("r", job, "completed")
+    assert not jobs.move("r", job, "failed") and not jobs.move("r", "unknown", "running")
     assert jobs.reserve("r") != job
+    assert jobs.reserve("s") == snapshot.derived_id("job", "s", 1)  # the same on every attempt
     log = jobs.log().orderBy("job_id", "sequence")
     assert overview.status_history(log).where("not valid").count() == 0
 
