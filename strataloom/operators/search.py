@@ -70,16 +70,49 @@ def lexical_score(question: Column) -> Column:
     )
 
 
+def needle(question: Column) -> Column:
+    """The longest run of plain letters and digits of a question, in lower case; empty if it has none.
+
+    Whatever the tier, the lower-case text of a unit that matches contains it: the run is part of the question, and of
+    one of its tokens, and the lower case of plain letters depends on no neighbour.
+    """
+    runs = F.regexp_extract_all(F.lower(question), F.lit("([a-z0-9]+)"), 1)
+    longest = F.array_max(F.transform(runs, lambda r: F.struct(F.length(r).alias("n"), r.alias("run"))))
+    return F.coalesce(longest["run"], F.lit(""))
+
+
+def matches(units: DataFrame, questions: DataFrame, filters: Filters | None = None) -> DataFrame:
+    """(query_id, metadata, content, lexical_score): every unit of the question's repository that matches.
+
+    The lower-case text is made once per unit. Pairs whose unit lacks the question's needle end in the join; tiers and
+    tokens are looked at for the others only. Questions are the small side, which Spark broadcasts while it is small, so
+    units stay where they are.
+    """
+    pool = (filters or Filters()).apply(units).select("repository_id", *META, "content")
+    pool = pool.withColumn("low", F.lower(F.concat_ws(" ", F.coalesce("symbol_name", F.lit("")), "path", "content")))
+    asked = questions.select("query_id", F.col("repository_id").alias("r"), "question", needle(F.col("question")).alias("needle"))
+    found = pool.join(asked, (F.col("repository_id") == F.col("r")) & F.contains("low", F.col("needle")))
+    found = found.withColumn("lexical_score", lexical_score(F.col("question"))).where(F.col("lexical_score") > 0)
+    return found.select("query_id", *META, "content", "lexical_score")
+
+
 def lexical(units: DataFrame, questions: DataFrame, limit: int = 10, filters: Filters | None = None) -> DataFrame:
     """(query_id, metadata, lexical_score, rank): the units of the question's repository that match, best first."""
     order.check_limit(limit)
-    pool = (filters or Filters()).apply(units).select("repository_id", *META, "content")
-    found = pool.join(questions.select("query_id", "repository_id", "question"), "repository_id")
-    found = found.withColumn("lexical_score", lexical_score(F.col("question"))).where(F.col("lexical_score") > 0)
-    found = found.select("query_id", *META, "lexical_score")
+    found = matches(units, questions, filters).select("query_id", *META, "lexical_score")
     return order.top(found, order.canonical(F.col("lexical_score").desc()), limit, ["query_id"])
 
 
+def tiers(units: DataFrame, questions: DataFrame) -> DataFrame:
+    """(lexical_score, units): pairs of a question and a unit of its repository per tier, those without a match as 0."""
+    scored = matches(units, questions).groupBy("lexical_score").agg(F.count("*").alias("units"))
+    both = units.groupBy("repository_id").agg(F.count("*").alias("u")).join(questions.groupBy("repository_id").agg(F.count("*").alias("q")), "repository_id")
+    pairs = both.agg(F.coalesce(F.sum(F.col("u") * F.col("q")), F.lit(0)).alias("units"))
+    rest = scored.agg(F.coalesce(F.sum("units"), F.lit(0)).alias("found"))
+    none = pairs.join(rest).select(F.lit(0).alias("lexical_score"), (F.col("units") - F.col("found")).alias("units"))
+    return scored.unionByName(none.where("units > 0"))
+
+
 def semantic(
     units: DataFrame, questions: DataFrame, limit: int = 10, filters: Filters | None = None, width: int | None = None
 ) -> DataFrame:

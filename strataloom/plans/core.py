@@ -228,7 +228,10 @@ _ENDS = r"'\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]'"
 
 
 @query(rf"""WITH f AS (
-  SELECT file_id, any_value(content) AS c FROM source_files WHERE language IN ('documentation', 'config') GROUP BY file_id
+  SELECT file_id, any_value(content) AS c FROM (SELECT file_id, content, relative_path AS path, language FROM source_files)
+  WHERE CASE WHEN language IS NOT NULL THEN language IN ('documentation', 'config') ELSE
+    {_SUFFIX} IN {_list(paths.DOCUMENTATION_SUFFIXES)} OR ({_SUFFIX} = '' AND {_NAME} IN {_list(paths.DOCUMENTATION_NAMES)})
+    OR {_SUFFIX} IN {_list(paths.CONFIGURATION_SUFFIXES)} OR {_NAME} IN {_list(paths.CONFIGURATION_NAMES)} END GROUP BY file_id
 ), n AS (
   SELECT file_id, c, unnest(range(0, CAST(ceil(length(c) / 2000.0) AS BIGINT))) AS k FROM f WHERE regexp_replace(c, '[\s\x1C-\x1F\x{85}\pZ]', '', 'g') <> ''
 ), s AS (
@@ -242,7 +245,8 @@ SELECT file_id, chunk_no, chunk, CAST(start_line AS INTEGER) AS start_line, CAST
 FROM l""")
 def chunk_fixed(spark, d):
     """Documentation and configuration in slices of 2,000 characters with their lines."""
-    docs = distinct_files(spark, d).where(F.col("language").isin("documentation", "config")).select("file_id", "content")
+    language = F.coalesce("language", paths.parser(F.col("relative_path")))
+    docs = distinct_files(spark, d).where(language.isin("documentation", "config", "configuration")).select("file_id", "content")
     return chunks.fixed(docs)
 
 
@@ -306,9 +310,7 @@ def lexical_top10(spark, d):
 @query(f"WITH {U}, {Q}, {LEX} SELECT lexical_score, count(*) AS units FROM scored GROUP BY lexical_score")
 def lexical_tiers_histogram(spark, d):
     """Units per tier of relevance, over all questions."""
-    found = units(spark, d).join(questions(spark, d).select("query_id", "repository_id", "question"), "repository_id")
-    scored = found.select(search.lexical_score(F.col("question")).alias("lexical_score"))
-    return scored.groupBy("lexical_score").agg(F.count("*").alias("units"))
+    return search.tiers(units(spark, d), questions(spark, d))
 
 
 @query(f"""WITH {U} SELECT code_unit_id FROM u WHERE list_has_all(
