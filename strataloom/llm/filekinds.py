@@ -4,8 +4,9 @@ Belief propagation over directory trees. Every file has evidence for five labels
 hand, generated, minified, vendored, data blob. Every directory has a hidden label of what it mostly holds, with
 evidence from its name. A table of compatibilities ties the labels of a directory and of what it contains, so that
 parents and siblings speak for a file whose own evidence is weak. The tree of a repository has no cycle, hence one
-pass of messages up and one down give exact beliefs; each pass takes one aggregation and one join per level, and the
-messages of a directory's children are sums, which combine on the map side however many children there are.
+pass of messages up and one down give exact beliefs. The messages of a directory's files are sums, which combine on the
+map side however many files there are; what is left, one row a directory, is passed up and down in memory by groups of
+repositories, or level by level over all tasks where one repository alone has more directories than a task should hold.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from collections import Counter
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +29,8 @@ LABELS = ("handwritten", "generated", "minified", "vendored", "blob")
 H, G, M, V, B = range(5)
 #: Characters without its leading comment that a text needs before an equal one in another repository says anything.
 LEAST_BODY = 120
+#: Directories of trees that one task passes in memory, at most; some hundred bytes each.
+MOST_TOGETHER = 200_000
 
 #: Directory names that say what a directory holds, with the strength in nats.
 DIRECTORIES: dict[str, tuple[int, float]] = {
@@ -209,12 +213,12 @@ def _downward(prefix: str) -> list[Column]:
 
 def _named(directory: Column, label: int) -> Column:
     """Evidence of the last part of a directory's path for a label."""
-    last = F.lower(F.element_at(directory, -1))
+    last = F.lower(F.substring_index(directory, "/", -1))
     names = [n for n, (kind, _) in DIRECTORIES.items() if kind == label]
     value = F.lit(0.0)
     for strength in {DIRECTORIES[n][1] for n in names}:
         value = F.when(last.isin([n for n in names if DIRECTORIES[n][1] == strength]), strength).otherwise(value)
-    return F.when(F.size(directory) == 0, 0.0).otherwise(value)
+    return value
 
 
 def beliefs(df: DataFrame, item: str, repository: str, path: str, text: str) -> DataFrame:
@@ -235,20 +239,106 @@ def beliefs(df: DataFrame, item: str, repository: str, path: str, text: str) ->
     copies = files.where(F.col("body").isNotNull()).groupBy("body").agg(
         (F.min("repository_id") != F.max("repository_id")).alias("copied")
     )
-    copied = F.coalesce(F.col("copied"), F.lit(False))
+    copies = copies.where("copied").withColumnRenamed("body", "copy")
+    # a file without a body looks for its own id, so such files do not fall on one key
+    looked = F.coalesce("body", F.concat(F.lit("#"), F.coalesce("file_id", F.lit(""))))
     nodes = (
-        files.join(copies, "body", "left")
-        .withColumn(f"e{V}", F.col(f"e{V}") + F.when(copied, 9.0).otherwise(0.0))
-        .withColumn("parts", F.split("path", "/"))
-        .withColumn("parent", F.slice("parts", 1, F.size("parts") - 1))
-        .withColumn("level", F.size("parent"))
+        files.join(copies, looked == F.col("copy"), "left")
+        .withColumn(f"e{V}", F.col(f"e{V}") + F.when(F.coalesce("copied", F.lit(False)), 9.0).otherwise(0.0))
+        .withColumn("parent", F.regexp_replace("path", "/?[^/]*$", ""))
     )
-    leaf = nodes.select("repository_id", "parent", "level", *_upward("e"))
-    said = durable(leaf.groupBy("repository_id", "parent", "level").agg(*[F.sum(f"m{i}").alias(f"m{i}") for i in range(5)]))
-    deepest = said.agg(F.max("level")).head()[0]
-    if deepest is None:
-        deepest = 0
-    # up: directories of each level, from the files in them and the directories below
+    leaf = nodes.select("repository_id", "parent", *_upward("e"))
+    said = durable(leaf.groupBy("repository_id", "parent").agg(*[F.sum(f"m{i}").alias(f"m{i}") for i in range(5)]))
+    heard = nodes.select("file_id", "repository_id", "path", "parent", *[f"e{i}" for i in range(5)], *_upward("e")).join(
+        _directories(said), ["repository_id", "parent"], "left"
+    )
+    own = [f"e{i}" for i in range(5)]
+    heard = heard.select(
+        "file_id", "repository_id", "path", *own, *[(F.col(f"b{i}") - F.col(f"m{i}")).alias(f"v{i}") for i in range(5)]
+    )
+    return heard.mapInArrow(_posterior, _BELIEFS)
+
+
+_TREE = "repository_id string, parent string, " + ", ".join(f"b{i} double" for i in range(5))
+
+
+def _directories(said: DataFrame, most: int = MOST_TOGETHER) -> DataFrame:
+    """(repository_id, parent, b0..b4): what the whole tree says of every directory that has files.
+
+    ``said``: (repository_id, parent, m0..m4), the sums of the messages of the files in a directory. Trees are put
+    together by repository into groups of bounded size, each of which one task passes up and down in memory. The tree of
+    a repository with more than ``most`` directories is passed level by level over all tasks; both give the same.
+    """
+    sizes = said.groupBy("repository_id").agg(F.count("*").alias("n"))
+    facts = sizes.agg(F.sum("n").alias("all"), F.max("n").alias("largest")).head()
+    if not facts["all"]:
+        return said.select("repository_id", "parent", *[F.col(f"m{i}").alias(f"b{i}") for i in range(5)])
+    small, large = said, None
+    if facts["largest"] > most:
+        hot = sizes.where(F.col("n") > most).select(F.col("repository_id").alias("hot_id"))
+        same = F.col("repository_id").eqNullSafe(F.col("hot_id"))
+        small, large = said.join(hot, same, "left_anti"), said.join(hot, same, "left_semi")
+    groups = int(max(1, math.ceil(2 * facts["all"] / most)))
+    group = F.pmod(F.xxhash64("repository_id"), F.lit(groups))
+    together = small.withColumn("g", group).groupBy("g").applyInPandas(lambda pdf: _pass_tree(pdf), _TREE)
+    return together if large is None else together.unionByName(_by_levels(large))
+
+
+def _pass_tree(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Exact beliefs of the directories of whole trees: messages up, level by level, and down again."""
+    place: dict[tuple[str | None, str], int] = {}
+    keys: list[tuple[str | None, str]] = []
+    above: list[int] = []
+
+    def at(repository: str | None, path: str) -> int:
+        todo = []
+        while (repository, path) not in place:
+            todo.append(path)
+            if not path:
+                break
+            path = path.rpartition("/")[0]
+        for p in reversed(todo):
+            place[repository, p] = len(keys)
+            keys.append((repository, p))
+            above.append(place[repository, p.rpartition("/")[0]] if p else -1)
+        return place[repository, todo[0] if todo else path]
+
+    rows = np.array([at(r, p) for r, p in zip(pdf["repository_id"], pdf["parent"])], dtype=np.int64)
+    over = np.array(above, dtype=np.int64)
+    depth = np.zeros(len(keys), dtype=np.int64)
+    for i, parent in enumerate(above):  # an ancestor always stands before what is below it
+        depth[i] = depth[parent] + 1 if parent >= 0 else 0
+    belief = np.zeros((len(keys), 5))
+    np.add.at(belief, rows, pdf[[f"m{i}" for i in range(5)]].to_numpy(dtype=float))
+    for i, (_, path) in enumerate(keys):
+        label, strength = DIRECTORIES.get(path.rpartition("/")[2].lower(), (0, 0.0))
+        belief[i, label] += strength
+    table = np.array(COMPATIBLE)
+    order = np.argsort(depth, kind="stable")
+    cuts = np.searchsorted(depth[order], np.arange(depth.max() + 2))
+    levels = [order[cuts[d] : cuts[d + 1]] for d in range(depth.max() + 1)]
+    up = np.zeros_like(belief)
+    for here in reversed(levels[1:]):
+        up[here] = _soft(belief[here], table.T)
+        np.add.at(belief, over[here], up[here])
+    for here in levels[1:]:
+        belief[here] += _soft(belief[over[here]] - up[here], table)
+    out = pdf[["repository_id", "parent"]].reset_index(drop=True)
+    return out.assign(**{f"b{i}": belief[rows, i] for i in range(5)})
+
+
+def _soft(x: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """log sum exp of each row of ``x`` with the columns of a table of logarithms."""
+    top = x.max(axis=1, keepdims=True)
+    return np.log(np.exp(x - top) @ np.exp(table)) + top
+
+
+def _by_levels(said: DataFrame) -> DataFrame:
+    """The same as :func:`_pass_tree` for trees of any size: one aggregation and one join a level."""
+    up_of = F.regexp_replace("parent", "/?[^/]*$", "")
+    depth = F.when(F.col("parent") == "", 0).otherwise(F.length("parent") - F.length(F.replace("parent", F.lit("/"), F.lit(""))) + 1)
+    said = durable(said.withColumn("level", depth))
+    deepest = said.agg(F.max("level")).head()[0] or 0
     levels: list[DataFrame] = []
     below: DataFrame | None = None
     for level in range(deepest, -1, -1):
@@ -260,32 +350,20 @@ def beliefs(df: DataFrame, item: str, repository: str, path: str, text: str) ->
             "repository_id", "parent", *[(F.col(f"m{i}") + _named(F.col("parent"), i)).alias(f"b{i}") for i in range(5)]
         )
         here = durable(here)  # else the plan of a level would hold those of all levels below it
-        levels.append(here.withColumn("level", F.lit(level)))
+        levels.append(here)
         if level:
-            up = F.slice("parent", 1, level - 1) if level > 1 else F.array().cast("array<string>")
-            below = here.select("repository_id", up.alias("parent"), *_upward("b"))
-    # down: what the rest of the tree says to each directory
+            below = here.select("repository_id", up_of.alias("parent"), *_upward("b"))
     levels.reverse()
     full = [levels[0]]
     for level in range(1, deepest + 1):
         child = levels[level]
-        up = F.slice("parent", 1, level - 1) if level > 1 else F.array().cast("array<string>")
-        child = child.select("repository_id", "parent", up.alias("up"), *[F.col(f"b{i}").alias(f"c{i}") for i in range(5)])
-        above = full[-1].select("repository_id", F.col("parent").alias("up"), *[F.col(f"b{i}").alias(f"a{i}") for i in range(5)])
-        joined = child.join(above, ["repository_id", "up"])
+        child = child.select("repository_id", "parent", up_of.alias("up"), *[F.col(f"b{i}").alias(f"c{i}") for i in range(5)])
+        over = full[-1].select(F.col("repository_id").alias("r"), F.col("parent").alias("p"), *[F.col(f"b{i}").alias(f"a{i}") for i in range(5)])
+        joined = child.join(over, F.col("repository_id").eqNullSafe(F.col("r")) & (F.col("up") == F.col("p")))
         own = joined.select("*", *_upward("c")).select("*", *[(F.col(f"a{i}") - F.col(f"m{i}")).alias(f"v{i}") for i in range(5)])
         told = own.select("repository_id", "parent", *[f"c{i}" for i in range(5)], *_downward("v"))
-        beliefs_here = [(F.col(f"c{i}") + F.col(f"d{i}")).alias(f"b{i}") for i in range(5)]
-        full.append(durable(told.select("repository_id", "parent", *beliefs_here, F.lit(level).alias("level"))))
-    directories = reduce(DataFrame.unionByName, full).drop("level")
-    heard = nodes.select("file_id", "repository_id", "path", "parent", *[f"e{i}" for i in range(5)], *_upward("e")).join(
-        directories, ["repository_id", "parent"], "left"
-    )
-    own = [f"e{i}" for i in range(5)]
-    heard = heard.select(
-        "file_id", "repository_id", "path", *own, *[(F.col(f"b{i}") - F.col(f"m{i}")).alias(f"v{i}") for i in range(5)]
-    )
-    return heard.mapInArrow(_posterior, _BELIEFS)
+        full.append(durable(told.select("repository_id", "parent", *[(F.col(f"c{i}") + F.col(f"d{i}")).alias(f"b{i}") for i in range(5)])))
+    return reduce(DataFrame.unionByName, full)
 
 
 _BELIEFS = "file_id string, repository_id string, path string, label string, " + ", ".join(f"p_{n} double" for n in LABELS)

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import random
 
 import pytest
 
@@ -96,3 +97,19 @@ def test_edges(spark):
     deep = "/".join("d" * 1 for _ in range(40)) + "/x.py"
     rows = [("a", "r", deep, CODE, ""), ("a", "r", deep, CODE, ""), ("b", None, "x.py", "x" * 200_000, "")]
     assert filekinds.beliefs(spark.createDataFrame(rows, SCHEMA), "id", "repo", "path", "text").count() == 2
+
+
+def test_trees_in_memory_and_by_levels_agree(spark):
+    rng = random.Random(3)
+    rows = []
+    for repo in ("r", "s", None):
+        for _ in range(12):
+            path = "/".join(rng.choice(["src", "vendor", "gen", "a", "b", ""]) for _ in range(rng.randrange(6))).strip("/")
+            rows.append((repo, path, *[rng.uniform(-9, 0) for _ in range(5)]))
+    schema = "repository_id string, parent string, m0 double, m1 double, m2 double, m3 double, m4 double"
+    said = spark.createDataFrame({r[:2]: r for r in rows}.values(), schema)
+    memory = {r[:2]: r[2:] for r in map(tuple, filekinds._directories(said).collect())}
+    levels = {r[:2]: r[2:] for r in map(tuple, filekinds._directories(said, most=1).collect())}
+    assert len(memory) == said.count()
+    for key, belief in memory.items():
+        assert levels[key] == pytest.approx(belief, rel=1e-9)
