@@ -1,17 +1,18 @@
 """Evaluation texts leaking into training text.
 
-Pigeonhole edit matching. A quotation of w words with at most w/6 words changed contains an unchanged run of at least
-(w - e) / (e + 1) words, so each test item is broken into all its word pieces of that length; the pieces of all items
-form a dictionary, and every document is scanned for exact hits. Hits of one item that lie on nearly the same diagonal
-are joined and grown into runs; each run is verified with Myers' bit-parallel edit distance over words, whose bit
-vectors are Python integers and so take passages of any length.
+Pigeonhole edit matching. A quotation may have one word in six changed, so a stretch of n words has at most n / 6 errors,
+and cut into one piece more than that it keeps a piece unchanged. A quotation may begin at any word of an item, so each
+item is split that way from every word on; the pieces of all items form a dictionary, and every document is scanned for
+exact hits. Around each hit the words before and after it, in the item and in the document, are compared with Myers'
+bit-parallel edit distance: its columns, Python integers of as many bits as the item has words, tell how far the run goes
+before its errors exceed the budget. Runs of one item that follow each other closely are put together.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import partial
 from itertools import repeat
 
@@ -28,10 +29,22 @@ SHARE, WRONG = 3, 6
 NEAR = 40
 #: Words that a run needs to count.
 LEAST_RUN = 6
+#: Words that the longest run of a quotation has at least, if it needs so many.
+LONGEST = 12
 #: Bytes of items that one pass over the documents searches for; more items take more passes.
 PASS_BYTES = 32 * 2**20
-#: Words of a piece: w = 20 words (a third of the shortest usual passage) with 3 changed keep a run of 4.
-PIECE = 4
+
+
+def piece_words(length: int) -> int:
+    """Words of the pieces of an item of so many words.
+
+    A quotation needs a third of them, in runs of which one has LONGEST words or all that are needed. A run of n words
+    has n // WRONG errors at most, so of its n // WRONG + 1 pieces one is unchanged. The least piece of all these
+    lengths serves for all of them; an item of few words is one piece.
+    """
+    need = -(-length // SHARE)
+    return max(1, min(n // (n // WRONG + 1) for n in range(min(LONGEST, need), need + 1)))
+
 
 _TAG = re.compile(r"</?[a-zA-Z][a-zA-Z0-9]{0,9}(?:\s[^<>\n]{0,200})?/?>|&(?:#\d{1,6}|#x[0-9a-fA-F]{1,5}|[a-zA-Z]{2,8});")
 _ESCAPE = re.compile(r"\\(?:u[0-9a-fA-F]{4}|x[0-9a-fA-F]{2}|[nrtbfv\"'\\/])")
@@ -72,11 +85,20 @@ class Items:
     starts: np.ndarray
     owners: np.ndarray
     offsets: np.ndarray
+    pieces: np.ndarray
+    made: dict[int, tuple[_Side, _Side]] = field(default_factory=dict)
+
+    def sides(self, i: int) -> tuple[_Side, _Side]:
+        """An item's words forwards and backwards."""
+        if i not in self.made:
+            w = self.texts[i].tolist()
+            self.made[i] = _Side(w), _Side(w[::-1])
+        return self.made[i]
 
     @property
-    def shortest(self) -> int:
-        """Words of the shortest item."""
-        return min(map(len, self.texts), default=PIECE)
+    def kinds(self) -> list[int]:
+        """The lengths that pieces have."""
+        return np.unique(self.pieces).tolist()
 
     @classmethod
     def of(cls, rows: list[tuple[int, str]]) -> Items:
@@ -87,20 +109,21 @@ class Items:
             if w:
                 ids.append(item)
                 texts.append(np.array([vocabulary.setdefault(x, len(vocabulary) + 1) for x in w], dtype=np.int64))
-        hashed = [_hashes(t, min(PIECE, len(t))) for t in texts]
+        pieces = np.array([piece_words(len(t)) for t in texts], dtype=np.int64)
+        hashed = [_hashes(t, n) for t, n in zip(texts, pieces.tolist())]
         owner = np.concatenate([np.full(len(h), i) for i, h in enumerate(hashed)] or [np.empty(0, dtype=np.int64)])
         offset = np.concatenate([np.arange(len(h)) for h in hashed] or [np.empty(0, dtype=np.int64)])
         flat = np.concatenate(hashed or [np.empty(0, dtype=np.uint64)])
         order = np.argsort(flat, kind="stable")
         unique, starts = np.unique(flat[order], return_index=True)
-        return cls(ids, vocabulary, texts, unique, np.append(starts, len(flat)), owner[order], offset[order])
+        return cls(ids, vocabulary, texts, unique, np.append(starts, len(flat)), owner[order], offset[order], pieces)
 
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _hashes(numbers: np.ndarray, n: int) -> np.ndarray:
-    """A hash of every run of ``n`` words. Items of fewer than PIECE words are one piece."""
+    """A hash of every run of ``n`` words; runs of different lengths never share one but by chance."""
     x = numbers.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     x ^= x >> np.uint64(29)
     h = np.full(max(0, len(x) - n + 1), n, dtype=np.uint64)
@@ -137,64 +160,96 @@ def myers(pattern: np.ndarray, text: np.ndarray) -> int:
     return score
 
 
-_STEPS = ((1, 1), (1, 0), (0, 1), (2, 2), (1, 2), (2, 1), (2, 0), (0, 2))
+def _spare(length):
+    """Errors that a run of an item of so many words may have to each side of a hit."""
+    return length // SHARE // WRONG + 1
 
 
-def _grow(doc: np.ndarray, item: np.ndarray, d: int, p: int, way: int, spare: int) -> tuple[int, int]:
-    """Extend a run from (d, p) forwards (way 1: next words) or backwards (way -1: last words) over small changes."""
-    end_d, end_p = d, p
-    while True:
-        while 0 <= d < len(doc) and 0 <= p < len(item) and doc[d] == item[p]:
-            d += way
-            p += way
-            end_d, end_p = d, p
-        for a, b in _STEPS:
-            x, y = d + a * way, p + b * way
-            u, v = x + way, y + way
-            if 0 <= x < len(doc) and 0 <= y < len(item) and doc[x] == item[y] and spare >= max(a, b):
-                if not (0 <= v < len(item)) or 0 <= u < len(doc) and doc[u] == item[v]:
-                    d, p, spare = x, y, spare - max(a, b)
-                    break
-        else:
-            return end_d, end_p
+class _Side:
+    """The words of an item in one direction, and for each word the places where it stands, as bits."""
 
+    def __init__(self, words_: list[int]):
+        self.words = words_
+        self.where: dict[int, int] = {}
+        for i, w in enumerate(words_):
+            self.where[w] = self.where.get(w, 0) | (1 << i)
 
-def _spare(length):
-    """Changes that a run of an item of so many words may have to each side of a hit."""
-    return length // SHARE // WRONG + 1
+
+def _reach(side: _Side, skip: int, doc: list[int], spare: int, words_before: int, errors_before: int) -> tuple[int, int, int]:
+    """(words of the item, words of ``doc``, errors) of the longest beginning of the item after its first ``skip`` words
+    that begins ``doc`` as well.
+
+    Together with what is before it, the beginning may have one error in WRONG words, and at most ``spare`` itself; it
+    ends in two words that agree, or with the item. Columns of the edit distance of all beginnings of the item come from
+    Myers' recurrence; the distance in a row is the sum of the column's differences above it. A word of the document
+    that agrees with no row within ``spare`` is an error of every run that goes past it.
+    """
+    item, where = side.words, side.where
+    m = min(len(item) - skip, len(doc) + spare)
+    best = (0, 0, 0)
+    if m <= 0:
+        return best
+    full, wide = (1 << m) - 1, (1 << (2 * spare + 1)) - 1
+    pv, mv, lost = full, 0, 0
+    for j in range(1, min(len(doc), m + spare) + 1):
+        same = where.get(doc[j - 1], 0) >> skip & full
+        low = max(0, j - 1 - spare)
+        ends = same >> low & wide
+        if not ends:
+            lost += 1
+            if lost > spare:
+                break
+        xv = same | mv
+        xh = (((same & pv) + pv) ^ pv) | same
+        ph = mv | (full & ~(xh | pv))
+        mh = pv & xh
+        ph = (ph << 1 | 1) & full
+        mh = (mh << 1) & full
+        pv = mh | (full & ~(xv | ph))
+        mv = ph & xv
+        while ends:
+            i = low + ends.bit_length()  # rows that end in this word, the furthest first
+            ends &= ~(1 << (i - 1 - low))
+            if i <= best[0]:
+                break
+            if i > 1 and skip + i < len(item) and not (j > 1 and item[skip + i - 2] == doc[j - 2]):
+                continue
+            above = (1 << i) - 1
+            errors = j + (pv & above).bit_count() - (mv & above).bit_count()
+            if errors <= spare and (errors + errors_before) * WRONG <= i + words_before:
+                best = (i, j, errors)
+                break
+    return best
 
 
-def _runs(doc: np.ndarray, item: np.ndarray, at: np.ndarray, off: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """Runs (doc start, doc end, item start, item end) grown from the hits of one item, longest first."""
-    spare = _spare(len(item))
+def _runs(doc: np.ndarray, sides: tuple[_Side, _Side], at: np.ndarray, off: np.ndarray, piece: int) -> list[tuple[int, int, int, int]]:
+    """Runs (doc start, doc end, item start, item end) around the hits of one item that lie in no run yet."""
+    on, back = sides
+    length = len(on.words)
+    spare = _spare(length)
+    most = length + spare
     order = np.lexsort((off, at))
+    first = max(0, int(at.min()) - most)
+    text = doc[first : int(at.max()) + piece + most].tolist()
     found: list[tuple[int, int, int, int]] = []
-    covered: set[tuple[int, int]] = set()
-    for a, o in zip(at[order].tolist(), off[order].tolist()):
-        if any(r[0] <= a < r[1] and abs((a - o) - (r[0] - r[2])) <= 8 + spare and r[2] <= o < r[3] for r in found[-6:]):
-            continue
-        if (a, o) in covered:
+    for a, o in zip((at[order] - first).tolist(), off[order].tolist()):
+        if any(r[0] <= a < r[1] and abs((a - o) - (r[0] - r[2])) <= 8 + spare and r[2] <= o < r[3] for r in found):
             continue
-        start_d, start_p = _grow(doc, item, a - 1, o - 1, -1, spare)
-        end_d, end_p = _grow(doc, item, a, o, 1, spare)
-        run = (start_d + 1, end_d, start_p + 1, end_p)
-        covered.add((a, o))
-        found.append(run)
+        i, j, errors = _reach(on, o + piece, text[a + piece : a + piece + most], spare, piece, 0)
+        p, d, _ = _reach(back, length - o, text[max(0, a - most) : a][::-1], spare, piece + i, errors)
+        found.append((a - d, a + piece + j, o - p, o + piece + i))
     return found
 
 
-def quoted(doc: np.ndarray, item: np.ndarray, at: np.ndarray, off: np.ndarray) -> int:
-    """Words of ``item`` that ``doc`` repeats in order, in runs that follow each other closely.
+def quoted(doc: np.ndarray, sides: tuple[_Side, _Side], at: np.ndarray, off: np.ndarray, piece: int) -> int:
+    """Words of an item that ``doc`` repeats in order, in runs that follow each other closely.
 
-    The changed words of a run count: a run is accepted with at most one in WRONG changed.
+    The changed words of a run count; none has more than one in WRONG.
     """
-    runs = []
-    for d0, d1, p0, p1 in set(_runs(doc, item, at, off)):
+    runs, length = [], len(sides[0].words)
+    for d0, d1, p0, p1 in set(_runs(doc, sides, at, off, piece)):
         size = p1 - p0
-        if size < min(LEAST_RUN, len(item)):
-            continue
-        changed = myers(item[p0:p1], doc[d0:d1])
-        if changed * WRONG <= size:
+        if size >= min(LEAST_RUN, length):
             runs.append((d0, d1, p0, p1, size))
     runs.sort()
     best = 0
@@ -203,7 +258,7 @@ def quoted(doc: np.ndarray, item: np.ndarray, at: np.ndarray, off: np.ndarray) -
         most = size
         for j in range(i - 1, -1, -1):
             e0, e1, _, q1, _ = runs[j]
-            if d0 - e0 > NEAR + 2 * len(item):
+            if d0 - e0 > NEAR + 2 * length:
                 break
             if e1 - 2 <= d0 <= e1 + NEAR and q1 - 2 <= p0:
                 most = max(most, totals[j] + size - max(0, q1 - p0))
@@ -232,17 +287,18 @@ def _scan(batches, items: Items):
         yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "item_id", "share"])
 
 
-def _likely(owner: np.ndarray, place: np.ndarray, off: np.ndarray, need: np.ndarray, lengths: np.ndarray):
+def _likely(owner: np.ndarray, place: np.ndarray, off: np.ndarray, need: np.ndarray, lengths: np.ndarray, pieces: np.ndarray):
     """Slices of the hits, given by owner and place, outside of which ``quoted`` finds no ``need`` words together.
 
-    A run of s words with e changes, e <= s / WRONG, has at least s - e - (PIECE - 1) * (e + 1) whole pieces, so one
-    with h pieces has at most WRONG / (WRONG - PIECE) * (h + PIECE - 1) words. Pieces that follow each other word by
-    word lie in one run, and runs that follow each other share no piece: the pieces and the unbroken rows of them,
-    each counted once, bound the words of any number of runs. Between the hits of one run there are no more words than
-    its spare changes let ``_grow`` pass without a whole piece; between runs there are NEAR words more.
+    A run of s words with e errors, e <= s / WRONG, has at least s - e - (b - 1) * (e + 1) whole pieces of b words, so
+    one with h pieces has at most WRONG / (WRONG - b) * (h + b - 1) words. Pieces that follow each other word by word lie
+    in one run, and runs that follow each other share no piece: the pieces and the unbroken rows of them, each counted
+    once, bound the words of any number of runs. Between the hits of one run there are no more words than its errors
+    let pass without a whole piece; between runs there are NEAR words more.
     """
-    bare = PIECE * _spare(lengths) + PIECE - 1
-    reach = PIECE + 2 * bare + NEAR
+    size_of = pieces[owner]
+    bare = (pieces + 1) * _spare(lengths) + pieces - 1
+    reach = pieces + 2 * bare + NEAR
     begins = np.append(True, (np.diff(owner) != 0) | (np.diff(place) > reach[owner[1:]]))
     group = np.cumsum(begins) - 1
     diagonal = np.lexsort((place, place - off, owner))
@@ -250,11 +306,12 @@ def _likely(owner: np.ndarray, place: np.ndarray, off: np.ndarray, need: np.ndar
     row = np.append(True, (np.diff(o) != 0) | (np.diff(d) != 0) | (np.diff(p) != 1))
     cell = group * 2**32 + off
     size = group[-1] + 1
-    pieces = np.bincount(np.unique(cell) >> 32, minlength=size)
+    whole = np.bincount(np.unique(cell) >> 32, minlength=size)
     rows = np.bincount(np.unique(cell[diagonal][row]) >> 32, minlength=size)
     first = np.flatnonzero(begins)
     last = np.append(first[1:], len(owner))
-    words_most = WRONG * (pieces + (PIECE - 1) * rows) // (WRONG - PIECE)
+    b = size_of[first]
+    words_most = np.where(b < WRONG, WRONG * (whole + (b - 1) * rows) // np.maximum(WRONG - b, 1), lengths[owner[first]])
     for g in np.flatnonzero(words_most >= need[owner[first]]).tolist():
         yield int(owner[first[g]]), slice(first[g], last[g])
 
@@ -262,11 +319,8 @@ def _likely(owner: np.ndarray, place: np.ndarray, off: np.ndarray, need: np.ndar
 def _leaks(doc: np.ndarray, items: Items, need: np.ndarray, lengths: np.ndarray):
     if not len(items.hashes):
         return
-    if items.shortest >= PIECE:
-        h, spots = _hashes(doc, PIECE), None
-    else:  # some items are shorter than a piece
-        each = [_hashes(doc, n) for n in range(items.shortest, PIECE + 1)]
-        h, spots = np.concatenate(each), np.concatenate([np.arange(len(x)) for x in each])
+    each = [_hashes(doc, n) for n in items.kinds]
+    h, spots = np.concatenate(each), np.concatenate([np.arange(len(x)) for x in each])
     if not len(h):
         return
     spot = np.searchsorted(items.hashes, h)
@@ -276,14 +330,14 @@ def _leaks(doc: np.ndarray, items: Items, need: np.ndarray, lengths: np.ndarray)
         return
     first = items.starts[spot[at]]
     many = items.starts[spot[at] + 1] - first
-    place = np.repeat(at if spots is None else spots[at], many)
+    place = np.repeat(spots[at], many)
     index = np.repeat(first - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
     owner, off = items.owners[index], items.offsets[index]
     order = np.lexsort((off, place, owner))
     owner, off, place = owner[order], off[order], place[order]
     best: dict[int, int] = {}
-    for i, part in _likely(owner, place, off, need, lengths):
-        n = quoted(doc, items.texts[i], place[part], off[part])
+    for i, part in _likely(owner, place, off, need, lengths, items.pieces):
+        n = quoted(doc, items.sides(i), place[part], off[part], int(items.pieces[i]))
         if n >= need[i]:
             best[i] = max(n, best.get(i, 0))
     yield from best.items()

@@ -92,7 +92,7 @@ def test_runs_that_keep_few_pieces(spark):
 
 
 def test_only_hopeless_hits_are_passed_over(monkeypatch):
-    def everything(owner, place, off, need, lengths):
+    def everything(owner, place, off, need, lengths, pieces):
         for i in np.unique(owner).tolist():
             yield i, slice(*np.searchsorted(owner, (i, i + 1)))
 
