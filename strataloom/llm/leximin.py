@@ -4,11 +4,10 @@ Leximin: every score becomes a percentile within its query, an item's percentile
 compared by these arrays lexicographically, so a weak score cannot be masked by a strong one and no score counts more
 because its range is larger.
 
-``fair_top`` gives the k items of which each beats every item outside in a majority of the scores. Leximin alone does
-not always put these first (an item may beat all others in two scores and be last in the third). So items are put in
-leximin order and a check follows that keeps, of every block of that order, the items that fail to beat at most k-1
-others in a majority; no other item can belong to the top. Blocks shrink to at most 2k-1 items each, so the check
-combines like an aggregate: on the map side first, then per query.
+``fair_top`` gives the k items of which each beats every item outside in a majority of the scores. Such an item may be
+last in a score that the majority can do without, so here the vectors are compared from the weakest score of the best
+majority on, and what is weaker breaks ties: leximin over a majority. Its first k items are the answer nearly always; an
+exact check of the few items that can belong to the top settles the rest.
 """
 
 from __future__ import annotations
@@ -16,7 +15,7 @@ from __future__ import annotations
 from functools import partial
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,7 +61,9 @@ def _within_tasks(items: DataFrame, count: int) -> DataFrame:
     query = Window.partitionBy("query_id")
     others = F.greatest(F.count("*").over(query) - 1, F.lit(1))
     worse = lambda i: F.rank().over(query.orderBy(F.col(f"s{i}").asc_nulls_first())) - 1
-    return items.select("query_id", "item_id", *[(worse(i) / others).alias(f"p{i}") for i in range(count)])
+    return items.select(
+        "query_id", "item_id", F.count("*").over(query).alias("items"), *[(worse(i) / others).alias(f"p{i}") for i in range(count)]
+    )
 
 
 def _over_tasks(items: DataFrame, count: int) -> DataFrame:
@@ -100,6 +101,7 @@ def _over_tasks(items: DataFrame, count: int) -> DataFrame:
             "score",
             "value",
             ((F.col("worse") + F.col("offset")) / F.greatest(F.col("total") - 1, F.lit(1))).alias("percentile"),
+            "total",
         )
     )
     same = (
@@ -107,14 +109,16 @@ def _over_tasks(items: DataFrame, count: int) -> DataFrame:
         & (long["score"] == ranked["score"])
         & (long["value"].eqNullSafe(ranked["value"]))
     )
-    each = long.join(ranked, same).select(long["query_id"], long["item_id"], long["score"], ranked["percentile"])
+    each = long.join(ranked, same).select(long["query_id"], long["item_id"], long["score"], ranked["percentile"], ranked["total"])
     return each.groupBy("query_id", "item_id").agg(
+        F.max("total").alias("items"),
         *[F.max(F.when(F.col("score") == i, F.col("percentile"))).alias(f"p{i}") for i in range(count)]
     )
 
 
 def leximin(df: DataFrame, query: str, item: str, scores: dict[str, bool]) -> DataFrame:
-    """(query_id, item_id, percentiles, leximin): the percentiles in the order of ``scores`` and the same sorted.
+    """(query_id, item_id, items, percentiles, leximin): how many items the query has, the percentiles in the order of
+    ``scores``, and the same sorted.
 
     ``scores`` maps column names to whether higher is better. Ordering by ``leximin`` descending is the ranking; ties
     are broken by item_id. Repeated rows count once, a null or NaN score has percentile 0 unless all are missing, a
@@ -125,7 +129,7 @@ def leximin(df: DataFrame, query: str, item: str, scores: dict[str, bool]) -> Da
     ranked = _percentiles(_distinct_items(df, query, item, scores), n)
     vector = F.array(*[F.col(f"p{i}") for i in range(n)])
     return ranked.select(
-        "query_id", "item_id", vector.alias("percentiles"), F.array_sort(vector).alias("leximin")
+        "query_id", "item_id", "items", vector.alias("percentiles"), F.array_sort(vector).alias("leximin")
     )
 
 
@@ -141,9 +145,17 @@ def _beats(p: np.ndarray) -> np.ndarray:
     return wins * 2 > p.shape[1]
 
 
+def _order(p: np.ndarray) -> np.ndarray:
+    """Positions in leximin order over a majority: the scores that a majority can do without count last."""
+    v = np.sort(p, axis=1)
+    spare = (p.shape[1] - 1) // 2
+    keys = [*range(spare, p.shape[1]), *range(spare)]
+    return np.lexsort([-v[:, i] for i in reversed(keys)])
+
+
 def _survivors(p: np.ndarray, k: int) -> np.ndarray:
-    """Positions that fail to beat fewer than k others of their block, blocks taken again until one is left."""
-    keep = np.lexsort(np.sort(p, axis=1).T[::-1])[::-1]
+    """Positions that fail to beat fewer than k others of their block, in order, blocks taken again until one is left."""
+    keep = _order(p)
     while True:
         parts = [keep[i : i + BLOCK] for i in range(0, len(keep), BLOCK)]
         left = np.concatenate([b[(~_beats(p[b])).sum(axis=1) - 1 < k] for b in parts]) if parts else keep
@@ -152,22 +164,51 @@ def _survivors(p: np.ndarray, k: int) -> np.ndarray:
         keep = left
 
 
-def _reduce_batches(batches, k: int):
-    for pdf in batches:
-        kept = [g.iloc[_survivors(np.stack(g["percentiles"].to_numpy()), k)] for _, g in pdf.groupby("query_id", dropna=False)]
-        if kept:
-            yield pd.concat(kept)
-
-
-def _final(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k items that each beat every other survivor in a majority; if no such k exist, the first k by leximin."""
-    pdf = pdf.iloc[_survivors(np.stack(pdf["percentiles"].to_numpy()), k)].reset_index(drop=True)
-    p = np.stack(pdf["percentiles"].to_numpy())
-    chosen = _dominant(_beats(p), k) if len(pdf) > k else np.arange(len(pdf))
-    exact = chosen is not None
-    if not exact:
-        chosen = np.arange(len(pdf))[:k]
-    return pdf.iloc[chosen][["query_id", "item_id"]].assign(exact=exact)
+def _chosen(p: np.ndarray, k: int) -> tuple[np.ndarray, bool]:
+    """The k positions that each beat every other in a majority; if there are no such, the first k in order."""
+    if len(p) <= k:
+        return np.arange(len(p)), True
+    left = _survivors(p, k)
+    if len(left) >= k:
+        found = _dominant(_beats(p[left]), k) if len(left) > k else np.arange(k)
+        if found is not None:
+            inside = left[found]
+            outside = np.setdiff1d(np.arange(len(p)), inside)
+            if ((p[inside][:, None, :] > p[outside][None, :, :]).sum(axis=2) * 2 > p.shape[1]).all():
+                return inside, True
+    return _order(p)[:k], False
+
+
+def _pick(batches, k: int, last: bool):
+    """Of every row's list of (item_id, percentiles) the items that may belong to the top; with ``last`` the top itself."""
+    for batch in batches:
+        found = batch.column(1)
+        items, offsets = found.values, found.offsets.to_numpy()
+        names, vectors, could = items.field("item_id"), items.field("percentiles"), items.field("could")
+        able = could.to_numpy(zero_copy_only=False)
+        flat = vectors.values.to_numpy(zero_copy_only=False)
+        starts = vectors.offsets.to_numpy()
+        width = int(starts[1] - starts[0]) if len(vectors) else 1
+        p = flat[starts[0] : starts[-1]].reshape(-1, width) if len(vectors) else np.empty((0, 1))
+        rows, at, exact = [], [], []
+        for i in range(len(found)):
+            a, b = int(offsets[i]), int(offsets[i + 1])
+            if last:
+                kept, sure = _chosen(p[a:b], k)
+                sure = sure and bool(able[kept + a].all())
+            else:
+                kept, sure = np.union1d(_survivors(p[a:b], k), _order(p[a:b])[:k]), False
+            rows.append(np.full(len(kept), i))
+            at.append(kept + a)
+            exact.append(np.full(len(kept), sure))
+        row = pa.array(np.concatenate(rows) if rows else np.empty(0, dtype=np.int64))
+        which = pa.array(np.concatenate(at) if at else np.empty(0, dtype=np.int64))
+        out = [batch.column(0).take(row), names.take(which)]
+        if last:
+            out.append(pa.array(np.concatenate(exact) if exact else np.empty(0, dtype=bool)))
+        else:
+            out += [vectors.take(which), could.take(which)]
+        yield pa.RecordBatch.from_arrays(out, names=["query_id", "item_id", *(["exact"] if last else ["percentiles", "could"])])
 
 
 def _dominant(beats: np.ndarray, k: int) -> np.ndarray | None:
@@ -209,15 +250,35 @@ def fair_top(ranked: DataFrame, k: int) -> DataFrame:
     """(query_id, item_id, exact): of each query the k items that each beat every item outside in most scores.
 
     ``ranked`` is the result of :func:`leximin`. Where no such k items exist ``exact`` is false and the first k in
-    leximin order of those in question are given; queries of at most k items give all of them.
+    leximin order over a majority are given; queries of at most k items give all of them. Members are compared with the
+    items that are looked at: if k such items exist at all, they are these.
+
+    A member beats all but k - 1 others in a majority of m scores, so over all scores it is better than m * (n - k)
+    others, counted once a score; only such items, and the first k in leximin order, are looked at. Their lists are
+    split into parts of bounded size, which leave at most 2k - 1 items each, or 3k - 1 with the first k, and then the
+    parts of a query are put together.
     """
-    slim = ranked.select("query_id", "item_id", "percentiles")
-    kept = slim.mapInPandas(partial(_reduce_batches, k=k), slim.schema)
     kind = dict(ranked.dtypes)
-    schema = f"query_id {kind['query_id']}, item_id {kind['item_id']}, exact boolean"
-    
-
-    def finish(pdf):
-        return _final(pdf, k)
-
-    return kept.groupBy("query_id").applyInPandas(finish, schema)
+    vector = F.col("percentiles")
+    m = F.floor(F.size(vector) / 2) + 1
+    better = F.round(F.aggregate(vector, F.lit(0.0), lambda t, x: t + x) * F.greatest(F.col("items") - 1, F.lit(1)))
+    first = Window.partitionBy("query_id").orderBy(*_majority_order(), F.col("item_id").asc())
+    slim = ranked.withColumn("_first", F.row_number().over(first))
+    slim = slim.withColumn("could", (better >= m * (F.col("items") - k)) | (F.col("items") <= k))
+    slim = slim.where(F.col("could") | (F.col("_first") <= k))
+    part = F.pmod(F.xxhash64("item_id"), F.ceil(F.col("items") / BLOCK).cast("long"))
+    lists = slim.groupBy("query_id", part.alias("part")).agg(F.collect_list(F.struct("item_id", "percentiles", "could")).alias("found"))
+    fields = f"query_id {kind['query_id']}, item_id {kind['item_id']}"
+    kept = lists.select("query_id", "found").mapInArrow(partial(_pick, k=k, last=False), f"{fields}, percentiles array<double>, could boolean")
+    whole = kept.groupBy("query_id").agg(F.collect_list(F.struct("item_id", "percentiles", "could")).alias("found"))
+    return whole.mapInArrow(partial(_pick, k=k, last=True), f"{fields}, exact boolean")
+
+
+def _majority_order() -> list[Column]:
+    """Leximin over a majority: the sorted percentiles, beginning with the least of the best majority of them, the
+    weaker ones, which a majority can do without, last."""
+    v = F.col("leximin")
+    spare = F.floor((F.size(v) - 1) / 2).cast("int")
+    strong = F.slice(v, spare + 1, F.size(v))
+    weak = F.slice(v, F.lit(1), spare)
+    return [strong.desc(), weak.desc()]

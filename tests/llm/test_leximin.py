@@ -96,3 +96,12 @@ def test_edges(spark, monkeypatch, hot):
     odd = spark.createDataFrame([(1, None, 1.0, 1, 1.0, ""), (None, "a", None, None, float("nan"), ""), (1, "b", 1.0, 1, 1.0, ""), (1, "b", None, 2, 1.0, "")], SCHEMA)
     ranked = {(r.query_id, r.item_id): r.percentiles for r in leximin.leximin(odd, "query_id", "item", SCORES).collect()}
     assert ranked == {(1, None): [0.0, 0.0, 0.0], (1, "b"): [0.0, 1.0, 0.0], (None, "a"): [0.0, 0.0, 0.0]}
+
+
+def test_without_a_top_five_the_first_in_order_are_given(spark):
+    rows = [(1, f"{i}", float(-i), 0, 0.0, "") for i in range(9)] + [(2, f"{i}", float(-i), 9 - i, float(i), "") for i in range(700)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = leximin.fair_top(leximin.leximin(df, "query_id", "item", SCORES), 5).collect()
+    assert sorted((r.query_id, r.item_id) for r in got if r.query_id == 2) == [(2, str(i)) for i in range(695, 700)]
+    first = [r for r in got if r.query_id == 1]
+    assert len(first) == 5 and not any(r.exact for r in first) and all(r.exact for r in got if r.query_id == 2)
