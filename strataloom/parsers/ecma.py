@@ -21,6 +21,10 @@ class SyntaxFault(Exception):
         self.position = position
 
 
+class TooDeep(SyntaxFault):
+    """The text is nested deeper than the parser goes; whether it follows the grammar is not known."""
+
+
 @dataclass
 class Definition:
     """A definition in source order. ``kind`` is class, function, method, variable or import.
@@ -2020,8 +2024,8 @@ def _check_regex(body: str, at: int) -> None:
         raise SyntaxFault("unbalanced group", at)
 
 
-#: Nesting that is followed; deeper text is a fault, as it is in other parsers.
-MOST_NESTED = 9_000
+#: Calls within calls that nesting may take, some ten a level; two kilobytes a level are held.
+MOST_NESTED = 2_000_000
 
 
 def parse(text: str, jsx: bool = False, types: bool = False, events: bool = False) -> list[Definition]:
@@ -2034,7 +2038,7 @@ def parse(text: str, jsx: bool = False, types: bool = False, events: bool = Fals
         parser = Parser(text, jsx, types, events=events)
         return parser.program()
     except RecursionError:
-        raise SyntaxFault("nested too deeply", 0) from None
+        raise TooDeep("nested too deeply", 0) from None
     except SyntaxFault as fault:
         # of several readings that failed, the one that came furthest tells best what is wrong
         best = parser.furthest if parser else None
