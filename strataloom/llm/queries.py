@@ -49,14 +49,14 @@ def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return credentials.redact(units, "id", "content").withColumnRenamed("id", "code_unit_id")
 
 
-def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _verdicts(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
     files = table(spark, sf_dir, "source_files")
-    return syntax.check(files, "file_id", "repository_id", "language", "relative_path", "content")
+    return syntax.check(files, "file_id", "repository_id", "language", "relative_path", "content", every)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that do not follow the grammar of their language."""
-    return _verdicts(spark, sf_dir).where(F.col("verdict") != "valid").select("file_id").distinct()
+    return _verdicts(spark, sf_dir).where(F.col("verdict").isin(*syntax.FAULTY)).select("file_id").distinct()
 
 
 def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +64,12 @@ def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syntax.rates(_verdicts(spark, sf_dir))
 
 
+def p3_grammars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of all files held to each grammar how many each grammar accepts."""
+    rows = _verdicts(spark, sf_dir, True).dropDuplicates(["file_id"])
+    return rows.select("grammar", F.explode("accepted").alias("accepted_by")).groupBy("grammar", "accepted_by").agg(F.count("*").alias("files"))
+
+
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = table(spark, sf_dir, "code_units").where(F.col("kind") == "function")
     return docpairs.pairs(units, "id", "symbol_name", "language", "content")
@@ -136,4 +142,4 @@ def p10_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries by name."""
-    return {f.__name__: f for f in (p1_found, p1_leximin, p2_found, p2_redacted, p3_found, p3_rates, p5_found, p5_pairs, p6_found, p6_labels, p6_handwritten_units, p7_found, p8_packed, p9_found, p9_items, p10_split)}
+    return {f.__name__: f for f in (p1_found, p1_leximin, p2_found, p2_redacted, p3_found, p3_rates, p3_grammars, p5_found, p5_pairs, p6_found, p6_labels, p6_handwritten_units, p7_found, p8_packed, p9_found, p9_items, p10_split)}

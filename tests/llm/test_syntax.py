@@ -30,6 +30,35 @@ def test_reasons():
     assert syntax.judge("const a = () => 1\n", "python", "a.py")[3] == "reads as javascript"
 
 
+@pytest.mark.parametrize(("text", "path", "verdict"), [
+    ("x = " + "[" * 3_000 + "]" * 3_000 + ";", "a.js", "valid"), ("(" * 30_000 + "1" + ")" * 30_000, "a.ts", "valid"), ("[" * 30_000 + "1" + "]" * 29_999, "a.js", "corrupt"),
+    ("[" * 60_000 + "]" * 60_000, "a.json", "valid"), ('{"a":' * 60_000 + "1" + "}" * 60_000, "a.json", "valid"), ("[" * 60_000 + "]" * 59_999, "a.json", "corrupt"), ('{"a":' * 60_000 + "}" * 60_000, "a.json", "corrupt"),
+])
+def test_deep_texts(text, path, verdict):
+    assert syntax.judge(text, None, path)[2] == verdict
+
+
+def test_deep_json_is_strict_json():
+    import json
+
+    for text in ('{"a": [1, -2.5e3, "\\u00e9\\n", true, null, {}], "b": []}', "1", '"x"', "[]", " [1] ", "[1,]", '{"a":1,}', "{1:2}", "[01]", "['a']", '["\t"]', "[1 2]", "", " ", "[", "]", '{"a"}', '{"a":}', "NaN", "[1]]", '"\\x"', "{,}", "[,1]", "tru"):
+        def reads(f):
+            try:
+                f(text)
+            except ValueError:
+                return False
+            return True
+
+        assert reads(syntax._deep_json) == reads(lambda t: json.loads(t, parse_constant=syntax._no_constant)), text
+
+
+def test_every_grammar_or_enough_of_them():
+    for text, language, path, verdict in CASES:
+        assert syntax.judge(text, language, path, every=True)[2] == verdict
+    assert syntax.judge("x = 1\n", "python", "a.py", every=True)[1] == ["python", "javascript", "jsx", "typescript"]
+    assert syntax.judge("x = 1\n", "python", "a.py")[1] == ["python"]
+
+
 def test_rates_count_repeated_rows_once(spark):
     schema = "file_id string, repository_id string, language string, relative_path string, content string, verdict int"
     rows = [("a", "r", "python", "a.py", "x = (", 0), ("a", "r", "python", "a.py", "x = (", 0), ("b", "r", "python", "b.py", "x = 1", 0), ("c", "r", "documentation", "c.md", "(", 0), ("d", "s", None, "d.js", "x = 1" + " + 1" * 20_000, 0)]
