@@ -31,6 +31,8 @@ NEAR = 40
 LEAST_RUN = 6
 #: Words that the longest run of a quotation has at least, if it needs so many.
 LONGEST = 12
+#: Rows of hits up to which their order is looked at before they are compared word by word.
+CHAINED = 64
 #: Bytes of items that one pass over the documents searches for; more items take more passes.
 PASS_BYTES = 32 * 2**20
 
@@ -186,40 +188,46 @@ def _reach(side: _Side, skip: int, doc: list[int], spare: int, words_before: int
     """
     item, where = side.words, side.where
     m = min(len(item) - skip, len(doc) + spare)
-    best = (0, 0, 0)
     if m <= 0:
-        return best
-    full, wide = (1 << m) - 1, (1 << (2 * spare + 1)) - 1
+        return 0, 0, 0
+    full, wide, length = (1 << m) - 1, (1 << (2 * spare + 1)) - 1, len(item) - skip
     pv, mv, lost = full, 0, 0
-    for j in range(1, min(len(doc), m + spare) + 1):
-        same = where.get(doc[j - 1], 0) >> skip & full
-        low = max(0, j - 1 - spare)
+    far, at, wrong = 0, 0, 0
+    get = where.get
+    for j, word in enumerate(doc[: m + spare], 1):
+        same = get(word, 0) >> skip & full
+        low = j - 1 - spare if j > spare else 0
         ends = same >> low & wide
         if not ends:
             lost += 1
             if lost > spare:
                 break
-        xv = same | mv
-        xh = (((same & pv) + pv) ^ pv) | same
-        ph = mv | (full & ~(xh | pv))
-        mh = pv & xh
-        ph = (ph << 1 | 1) & full
-        mh = (mh << 1) & full
-        pv = mh | (full & ~(xv | ph))
-        mv = ph & xv
+        if same:
+            xv = same | mv
+            xh = (((same & pv) + pv) ^ pv) | same
+            ph = ((mv | (full & ~(xh | pv))) << 1 | 1) & full
+            mh = ((pv & xh) << 1) & full
+            pv = mh | (full & ~(xv | ph))
+            mv = ph & xv
+        else:  # what is left of the same steps for a word that stands nowhere
+            ph = ((mv | (full ^ pv)) << 1 | 1) & full
+            pv = full ^ (mv | ph)
+            mv &= ph
+            continue
         while ends:
-            i = low + ends.bit_length()  # rows that end in this word, the furthest first
-            ends &= ~(1 << (i - 1 - low))
-            if i <= best[0]:
+            top = ends.bit_length()
+            i = low + top  # rows that end in this word, the furthest first
+            if i <= far:
                 break
-            if i > 1 and skip + i < len(item) and not (j > 1 and item[skip + i - 2] == doc[j - 2]):
+            ends ^= 1 << (top - 1)
+            if i > 1 and i < length and not (j > 1 and item[skip + i - 2] == doc[j - 2]):
                 continue
             above = (1 << i) - 1
             errors = j + (pv & above).bit_count() - (mv & above).bit_count()
             if errors <= spare and (errors + errors_before) * WRONG <= i + words_before:
-                best = (i, j, errors)
+                far, at, wrong = i, j, errors
                 break
-    return best
+    return far, at, wrong
 
 
 def _runs(doc: np.ndarray, sides: tuple[_Side, _Side], at: np.ndarray, off: np.ndarray, piece: int) -> list[tuple[int, int, int, int]]:
@@ -313,7 +321,41 @@ def _likely(owner: np.ndarray, place: np.ndarray, off: np.ndarray, need: np.ndar
     b = size_of[first]
     words_most = np.where(b < WRONG, WRONG * (whole + (b - 1) * rows) // np.maximum(WRONG - b, 1), lengths[owner[first]])
     for g in np.flatnonzero(words_most >= need[owner[first]]).tolist():
-        yield int(owner[first[g]]), slice(first[g], last[g])
+        i, part = int(owner[first[g]]), slice(first[g], last[g])
+        if rows[g] > CHAINED or _chained(place[part].tolist(), off[part].tolist(), int(pieces[i])) >= need[i]:
+            yield i, part
+
+
+def _chained(place: list[int], off: list[int], b: int) -> int:
+    """The most words that rows of hits can stand for which follow each other in the document and in the item.
+
+    Each row is worth what :func:`_likely` counts for it. A run goes past its rows by no more words than its worth, and
+    lies no further from the next than NEAR; runs overlap by two words at most.
+    """
+    if b >= WRONG:
+        return 1 << 30
+    hits = sorted(zip([p - o for p, o in zip(place, off)], place, off))
+    rows: list[list[int]] = []  # place, end of place, offset, end of offset, worth
+    diagonal = None
+    for d, p, o in hits:
+        if d == diagonal and p == rows[-1][1] - b + 1:
+            rows[-1][1] += 1
+            rows[-1][3] += 1
+        elif d != diagonal or p != rows[-1][1] - b:
+            rows.append([p, p + b, o, o + b, 0])
+        diagonal = d
+    rows.sort()
+    best = 0
+    for n, r in enumerate(rows):
+        worth = WRONG * (r[1] - r[0]) // (WRONG - b)  # its pieces and b - 1 more are the words of a row
+        most = worth
+        for q in rows[:n]:
+            if q[1] - 2 <= r[0] <= q[1] + NEAR + worth + q[5] and q[3] - 2 <= r[2]:
+                most = max(most, q[4] + worth)
+        r[4] = most
+        r.append(worth)
+        best = max(best, most)
+    return best
 
 
 def _leaks(doc: np.ndarray, items: Items, need: np.ndarray, lengths: np.ndarray):
@@ -333,6 +375,13 @@ def _leaks(doc: np.ndarray, items: Items, need: np.ndarray, lengths: np.ndarray)
     place = np.repeat(spots[at], many)
     index = np.repeat(first - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
     owner, off = items.owners[index], items.offsets[index]
+    # a hit alone stands for few words: what :func:`_likely` counts for hits that are all rows of their own
+    hits = np.bincount(owner, minlength=len(need))
+    alone = np.where(items.pieces < WRONG, WRONG * items.pieces * hits // np.maximum(WRONG - items.pieces, 1), lengths)
+    enough = (alone >= need)[owner]
+    if not enough.any():
+        return
+    owner, off, place = owner[enough], off[enough], place[enough]
     order = np.lexsort((off, place, owner))
     owner, off, place = owner[order], off[order], place[order]
     best: dict[int, int] = {}
