@@ -49,6 +49,13 @@ def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return credentials.redact(units, "id", "content").withColumnRenamed("id", "code_unit_id")
 
 
+def p2_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters and line ends of every unit after its credentials were starred out: as many as before."""
+    kept = p2_redacted(spark, sf_dir)
+    ends = F.length(F.regexp_replace("content", r"[^\r\n]", ""))
+    return kept.select("code_unit_id", F.length("content").alias("characters"), ends.alias("line_ends"))
+
+
 def _verdicts(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
     files = table(spark, sf_dir, "source_files")
     return syntax.check(files, "file_id", "repository_id", "language", "relative_path", "content", every)
@@ -64,6 +71,11 @@ def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syntax.rates(_verdicts(spark, sf_dir))
 
 
+def p3_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files held to each grammar per repository, the valid ones too."""
+    return p3_rates(spark, sf_dir).select("repository_id", "language", "files")
+
+
 def p3_grammars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of all files held to each grammar how many each grammar accepts."""
     rows = _verdicts(spark, sf_dir, True).dropDuplicates(["file_id"])
@@ -101,6 +113,11 @@ def p6_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _kinds(spark, sf_dir).groupBy("repository_id", "label").agg(F.count("*").alias("files"))
 
 
+def p6_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that got a label per repository: every file once."""
+    return _kinds(spark, sf_dir).groupBy("repository_id").agg(F.count("*").alias("files"))
+
+
 def p6_handwritten_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Code units of the files that remain: those written by hand."""
     kept = _kinds(spark, sf_dir).where(F.col("label") == "handwritten").select("file_id")
@@ -118,6 +135,18 @@ def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), "doc_id", "text", CAPACITY)
 
 
+def p8_placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the pieces of every document follow each other without a gap."""
+    whole = (F.sum("n_tokens") == F.max(F.col("token_start") + F.col("n_tokens"))) & (F.count("*") == F.max("piece_no") + 1)
+    return p8_packed(spark, sf_dir).groupBy("item_id").agg(whole.alias("whole"))
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers above their capacity, and such whose items do not add up to what is said of them."""
+    sums = p8_packed(spark, sf_dir).groupBy("container_id").agg(F.sum("n_tokens").alias("n"), F.max("container_tokens").alias("said"))
+    return sums.agg(F.count_if(F.col("n") > CAPACITY).alias("over_capacity"), F.count_if(F.col("n") != F.col("said")).alias("wrong_totals"))
+
+
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")
     return leaks.leaks(documents, "doc_id", "text", items, "item_id", "passage")
@@ -140,6 +169,16 @@ def p10_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split(table(spark, sf_dir, "documents"), "doc_id", "text", LIMIT, OVERLAP)
 
 
+def p10_tiled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The own parts of the pieces of every document, put together again, and its pieces above the limit."""
+    own = F.struct("piece_no", F.substring(F.col("text"), (F.col("own_start") - F.col("char_start") + 1).cast("int"), F.length("text")).alias("part"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(own)), lambda x: x["part"]), "")
+    tiled = p10_split(spark, sf_dir).groupBy("item_id").agg(F.md5(text.cast("binary")).alias("digest"), F.count_if(F.col("n_tokens") > LIMIT).alias("over_limit"))
+    return tiled
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries by name."""
-    return {f.__name__: f for f in (p1_found, p1_leximin, p2_found, p2_redacted, p3_found, p3_rates, p3_grammars, p5_found, p5_pairs, p6_found, p6_labels, p6_handwritten_units, p7_found, p8_packed, p9_found, p9_items, p10_split)}
+    every = (p1_found, p1_leximin, p2_found, p2_redacted, p2_kept, p3_found, p3_rates, p3_totals, p3_grammars, p5_found, p5_pairs, p6_found, p6_labels, p6_totals,
+             p6_handwritten_units, p7_found, p8_packed, p8_placed, p8_fill, p9_found, p9_items, p10_split, p10_tiled)
+    return {f.__name__: f for f in every}

