@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import spread
-from .trigrams import Index, candidates, search_all, trigrams
+from .trigrams import Index, candidates, search_all, terms
 
 _NAME = (
     r"(?P<l>(?:passw(?:or)?d|passphrase|passcode|pwd|[_.-]pw\b|[_.-]pass\b|secret|token|api[_.-]?key"
@@ -63,7 +63,7 @@ RULES: dict[str, tuple[str, str]] = {
     "upper_id": (LOOSE, r"(?<![\w/+])(?P<v>[A-Z][A-Z0-9]{19})(?![\w/+=])"),
     "bot": (LOOSE, r"(?<=\d{8}):(?P<v>[A-Za-z0-9_-]{26,})"),
     "signed": (LOOSE, r"(?P<v>eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]{8,})"),
-    "private_key": (PLACE, r"(?P<v>-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----(?:(?!-----)[\s\S]){40,20000}(?:-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----)?)"),
+    "private_key": (PLACE, r"(?P<v>-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----(?:(?!-----)[\s\S]){40,}(?:-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----)?)"),
 }
 
 _PLACEHOLDER = re.compile(
@@ -97,6 +97,12 @@ def _mixed(v: str) -> bool:
     return letters >= 2 and digits >= 2 or bool(letters >= 8 and not _WORDS.fullmatch(v))
 
 
+def _random(part: str) -> bool:
+    """Whether a part of a dotted value is no name: long, with digits among its letters or changes of case that names lack."""
+    digits = [i for i, ch in enumerate(part.rstrip("0123456789")) if ch.isdigit()]
+    return len(part) >= 16 and part.isalnum() or len(part) >= 12 and len(digits) >= 2 and any(ch.isupper() for ch in part)
+
+
 def is_credential(value: str, how: str) -> bool:
     """Whether the value of a rule of strictness ``how`` would grant access."""
     v = value.strip()
@@ -108,7 +114,7 @@ def is_credential(value: str, how: str) -> bool:
         return False
     if _WORDS.fullmatch(v):
         return how != LOOSE and v.islower() and _gibberish(v)
-    if how != PLACE and _CODE.fullmatch(v) and not v.startswith(("eyJ", "tmr.")) and not re.search(r"\.[A-Za-z0-9]{16,}$", v):
+    if how != PLACE and _CODE.fullmatch(v) and not v.startswith("eyJ") and not any(map(_random, v.split("."))):
         return False
     if v.replace(".", "").replace("-", "").replace(":", "").isdigit():
         return False
@@ -119,10 +125,24 @@ def is_credential(value: str, how: str) -> bool:
     return _mixed(v) or any(c.isdigit() for c in v) or bool(re.search(r"[^\w.\-/]", v))
 
 
+_PASSWORD = re.compile(r"(?i)(?:passw(?:or)?d|passphrase|passcode|pwd|[_.-]pw|[_.-]pass)$")
+
+
+def is_password(value: str, label: str) -> bool:
+    """Whether what a password's own name is set to is one though it does not look random: six characters or more with
+    letters and digits, or a passphrase of three plain words or more. A single word of a language is none."""
+    v = value.strip()
+    if not _PASSWORD.search(label) or _PLACEHOLDER.match(v) or _HARMLESS.match(v) or _MASK.search(v) or "${" in v or "{{" in v:
+        return False
+    if label.lower().endswith("passphrase") and re.fullmatch(r"[a-z]+(?: [a-z]+){2,}", v):
+        return True
+    return re.fullmatch(r"(?=\D*\d)(?=[^A-Za-z]*[A-Za-z])[\w!#%&*+.?@^-]{6,7}", v) is not None and not _CODE.fullmatch(v)
+
+
 @lru_cache(maxsize=1)
 def _rules():
     found = search_all({name: p for name, (_, p) in RULES.items()})
-    return found, Index(set().union(*(trigrams(k) for _, k in found.values())))
+    return found, Index(set().union(*(terms(k) for _, k in found.values())))
 
 
 _LITERAL = re.compile(_STRING)
@@ -155,7 +175,7 @@ def _spans(name: str, text: str, pattern: re.Pattern) -> Iterator[list[tuple[int
             if head is None:
                 continue
             parts = [(start - len(head.group()), parts[0][1])]
-        value = "".join(text[a:b] for a, b in parts)
+        value, label = "".join(text[a:b] for a, b in parts), ""
         if name in ("named_string", "named_bare"):
             label = _LABEL.search(text[max(0, m.start() - 64) : m.start()]).group() + text[m.start() : m.end("l")]
             if _ABOUT.search(label) or "public" in label.lower():
@@ -166,7 +186,7 @@ def _spans(name: str, text: str, pattern: re.Pattern) -> Iterator[list[tuple[int
             value = value[scheme.end() :]
         if "PRIVATE KEY-----" in value:
             continue
-        if is_credential(value.rstrip(".") if name == "told" else value, how):
+        if is_credential(value.rstrip(".") if name == "told" else value, how) or label and is_password(value, label):
             yield parts
         elif len(parts) > 1 and is_credential(text[slice(*parts[0])], how):
             yield parts[:1]

@@ -13,10 +13,16 @@ from re import _parser
 
 import numpy as np
 
+_FOLD = bytes(ord(chr(b).lower()) if b < 128 else b for b in range(256))
+
 #: Strings a part of a pattern may stand for before it is reduced to a condition.
 MOST_STRINGS = 48
 
-#: True (nothing is required), ("and", (...)), ("or", (...)), or a trigram of three bytes.
+#: Repetitions of one class of characters from which on they are a condition.
+LEAST_RUN = 8
+
+#: True (nothing is required), ("and", (...)), ("or", (...)), a trigram of three bytes, or ("run", bytes, n): somewhere
+#: n bytes of a class follow each other.
 Condition = bool | tuple | bytes
 
 
@@ -78,6 +84,8 @@ def _one(op, arg) -> tuple[set[str] | None, Condition]:
         return None, condition
     if op in (c.MAX_REPEAT, c.MIN_REPEAT, c.POSSESSIVE_REPEAT):
         least, most, part = arg
+        if least >= LEAST_RUN and len(part) == 1 and (known := _class(*part[0])) is not None:
+            return None, ("run", known, least)
         strings, condition = _analyse(part)
         if (least, most) == (0, 1) and strings is not None:
             return strings | {""}, True
@@ -89,31 +97,54 @@ def _one(op, arg) -> tuple[set[str] | None, Condition]:
     return None, True
 
 
+def _class(op, arg) -> bytes | None:
+    """The bytes, letters folded, that the UTF-8 of a character of a class begins or goes on with; None if most do."""
+    if op is c.LITERAL:
+        parts = [(c.LITERAL, arg)]
+    elif op is c.IN:
+        parts = arg
+    else:
+        return None
+    found: set[int] = set()
+    for o, a in parts:
+        if o is c.LITERAL and a < 128:
+            found.add(a)
+        elif o is c.RANGE and a[1] < 128:
+            found.update(range(a[0], a[1] + 1))
+        elif o is c.CATEGORY and a is c.CATEGORY_WORD:
+            found.update(b"abcdefghijklmnopqrstuvwxyz0123456789_", range(128, 256))
+        elif o is c.CATEGORY and a is c.CATEGORY_DIGIT:
+            found.update(b"0123456789", range(128, 256))
+        else:
+            return None
+    return bytes(sorted({_FOLD[x] for x in found}))
+
+
 def required(pattern: str) -> Condition:
     """The condition on the trigrams of a text that every match of ``pattern`` in it fulfils."""
     return _analyse(_parser.parse(pattern))[1]
 
 
-def trigrams(condition: Condition) -> set[bytes]:
-    """All trigrams that a condition names."""
-    if isinstance(condition, tuple):
-        return set().union(*(trigrams(x) for x in condition[1]))
-    return set() if condition is True else {condition}
-
-
-_FOLD = bytes(ord(chr(b).lower()) if b < 128 else b for b in range(256))
+def terms(condition: Condition) -> set:
+    """All trigrams and runs that a condition names."""
+    if condition is True:
+        return set()
+    if isinstance(condition, tuple) and condition[0] != "run":
+        return set().union(*(terms(x) for x in condition[1]))
+    return {condition}
 
 
 class Index:
-    """Postings of the given trigrams over chunks: trigram -> ascending chunk numbers."""
+    """Postings of the given trigrams and runs over chunks: term -> ascending chunk numbers."""
 
-    def __init__(self, wanted: set[bytes]):
-        self.wanted = sorted(wanted)
+    def __init__(self, wanted: set):
+        self.wanted = sorted(x for x in wanted if isinstance(x, bytes))
+        self.runs = [x for x in wanted if isinstance(x, tuple)]
         self.codes = np.array([int.from_bytes(t, "big") for t in self.wanted], dtype=np.int64)
         self.known = np.zeros(1 << 24, dtype=bool)
         self.known[self.codes] = True
 
-    def postings(self, chunks: list[bytes]) -> dict[bytes, np.ndarray]:
+    def postings(self, chunks: list[bytes]) -> dict:
         """Postings of UTF-8 chunks. A null byte parts chunks; trigrams of patterns have none."""
         ends = np.cumsum([len(x) + 1 for x in chunks])
         a = np.frombuffer(b"\0".join(chunks).translate(_FOLD), dtype=np.uint8).astype(np.int32)
@@ -126,14 +157,21 @@ class Index:
         pairs = np.unique(which * len(chunks) + chunk)
         which, chunk = np.divmod(pairs, len(chunks))
         cuts = np.searchsorted(which, np.arange(len(self.wanted) + 1))
-        return {t: chunk[cuts[i] : cuts[i + 1]] for i, t in enumerate(self.wanted) if cuts[i] < cuts[i + 1]}
+        found = {t: chunk[cuts[i] : cuts[i + 1]] for i, t in enumerate(self.wanted) if cuts[i] < cuts[i + 1]}
+        for term in self.runs:
+            inside = np.zeros(256, dtype=bool)
+            inside[list(term[1])] = True
+            edges = np.flatnonzero(np.diff(inside[a], prepend=False, append=False))
+            starts, stops = edges[::2], edges[1::2]
+            found[term] = np.unique(np.searchsorted(ends, starts[stops - starts >= term[2]], side="right"))
+        return found
 
 
-def candidates(condition: Condition, postings: dict[bytes, np.ndarray], chunks: int) -> np.ndarray:
+def candidates(condition: Condition, postings: dict, chunks: int) -> np.ndarray:
     """Chunks that fulfil a condition, by intersecting and uniting postings."""
     if condition is True:
         return np.arange(chunks)
-    if isinstance(condition, bytes):
+    if isinstance(condition, bytes) or condition[0] == "run":
         return postings.get(condition, np.empty(0, dtype=np.int64))
     parts = [candidates(x, postings, chunks) for x in condition[1]]
     if condition[0] == "or":

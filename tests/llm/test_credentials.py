@@ -54,7 +54,7 @@ PARTS = ["abc", "de", "(?:fgh|ij)", "[kl]mn", "op?q", "(?:rs)+t", r"\d{2}", "x*"
 def test_required_trigrams_hold_for_every_match(parts, texts):
     pattern = "".join(p.replace("<n>", f"<n{i}>") for i, p in enumerate(parts))
     condition = trigrams.required(pattern)
-    index = trigrams.Index(trigrams.trigrams(condition))
+    index = trigrams.Index(trigrams.terms(condition))
     kept = set(trigrams.candidates(condition, index.postings([t.encode() for t in texts]), len(texts)).tolist())
     assert {i for i, t in enumerate(texts) if re.search(pattern, t)} <= kept
 
@@ -73,3 +73,14 @@ def test_lines_and_redaction(spark):
     assert out.startswith("a = 1\r\n\r\npasswd = '**********'\nb = 2\rkey = 3\n") and out.endswith('""")\n# end')
     assert not credentials.find_in([out])[0]
     assert credentials.find(df.limit(0), "id", "content").count() == 0
+
+
+def test_passwords_that_do_not_look_random():
+    found = ["db_password: hunter2", 'PASSWORD = "s3cret!"', 'passphrase = "correct horse battery"', "user.pwd='ab12cd'"]
+    clean = ["db_password: hunter", 'password = "changeme"', 'password_field = "pass12"', 'passphrase = "Enter it here"', 'password = "v1.2"', "pwd = 'test'", 'token = "abc12"']
+    assert [bool(f) for f in credentials.find_in(found + clean)] == [True] * len(found) + [False] * len(clean)
+
+
+def test_every_rule_has_a_condition():
+    rules, _ = credentials._rules()
+    assert all(condition is not True for _, condition in rules.values())
