@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 PER_CELL, LEAST_SAMPLE, SAMPLE = 40, 10_000, 65_536
 #: Members one task of a cell should have; cells expected to have more are split.
 CELL_ROWS = 4_096
+#: Rows per task of a shuffle.
+TASK_ROWS = 4_096
 #: Cells that are fitted, at most: their centres are shipped with the tasks (4,096 x 384 floats are 6.3 MB).
 MOST_CELLS = 4_096
 #: Dimensions of a block, entries of its table, and how much a parallel error weighs against one across.
@@ -45,6 +47,7 @@ class Index:
 
     def __init__(self, sample: np.ndarray, cells: int, rows: int, seed: int = 7):
         rng = np.random.default_rng(seed)
+        self.rows = rows
         self.dim = sample.shape[1]
         self.centres = _spherical_kmeans(sample, min(cells, len(sample)), rng)
         nearest = (sample @ self.centres.T).argmax(axis=1)
@@ -361,11 +364,14 @@ def neighbours(df: DataFrame, item: str, vector: str, k: int = 5, probes: int =
         return spark.createDataFrame([], "id string, ids array<string>, distances array<double>")
     blocks = slim.mapInArrow(partial(_route, index=index, probes=probes, k=k), _BLOCKS)
     answer = partial(_answer, index=index, k=k)
-    answers = blocks.groupBy("cell", "split").applyInPandas(lambda pdf: answer(pdf), _ANSWERS)
+    # as many tasks as the rows ask for, so that none grows with the table; the partitionings serve all that follows
+    tasks = max(spark.sparkContext.defaultParallelism, -(-index.rows // TASK_ROWS))
+    cells = blocks.repartition(tasks, "cell", "split").groupBy("cell", "split")
+    answers = cells.applyInPandas(lambda pdf: answer(pdf), _ANSWERS).repartition(tasks, "key")
     # a member lies in one split of one cell, so no neighbour comes twice; a key has at most as many answers as splits
     pairs = F.arrays_zip("distances", "ids")
     merged = answers.groupBy("key").agg(F.array_sort(F.flatten(F.collect_list(pairs))).alias("found"))
-    owners = slim.mapInArrow(_owners, "id string, key binary").distinct()
+    owners = slim.mapInArrow(_owners, "id string, key binary").repartition(tasks, "key").distinct()
     joined = owners.join(merged, "key")
     first = F.filter("found", lambda p: p["ids"] != F.col("id"))
     return joined.select("id", F.slice(first, 1, k).alias("n")).select(
