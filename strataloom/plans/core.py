@@ -6,6 +6,7 @@ repository; the flagship takes all questions, whole.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 
@@ -966,7 +967,29 @@ def _per_question(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.per_question(search.semantic(u, q, 10), _targets(u, q))
 
 
-@query()
+def _modes_sql() -> str:
+    shallow = _hybrid_sql(30, 10)
+    wide = _hybrid_sql(60, 20)[len(f"{LEX}, {SEM}, "):]
+    rerank = _RERANK
+    for name in ("fused", "hybrid", "hyb"):
+        wide = re.sub(rf"\b{name}\b", f"{name}_wide", wide)
+        rerank = re.sub(rf"\b{name}\b", f"{name}_wide", rerank)
+    per_mode = _EVAL[_EVAL.index("hit AS ("):]
+    for old, new in (
+        ("SELECT t.query_id, t.target_no, min", "SELECT r.mode, t.query_id, t.target_no, min"), ("t.want = r.symbol_name) GROUP BY 1, 2)", "t.want = r.symbol_name) GROUP BY 1, 2, 3)"),
+        ("SELECT n.query_id, round", "SELECT n.mode, n.query_id, round"), ("(SELECT query_id, count(*) AS k FROM t GROUP BY 1) n", "(SELECT mode, query_id, count(*) AS k FROM t, (VALUES ('semantic'), ('hybrid'), ('reranked')) m(mode) GROUP BY ALL) n"),
+        ("LEFT JOIN hit h USING (query_id) GROUP BY n.query_id", "LEFT JOIN hit h ON h.query_id = n.query_id AND h.mode = n.mode GROUP BY n.mode, n.query_id"),
+    ):
+        assert old in per_mode
+        per_mode = per_mode.replace(old, new)
+    return f"""WITH {U}, {Q}, {shallow}, {wide}, {rerank}, lexical_best AS (SELECT query_id, code_unit_id, path, symbol_name FROM lex WHERE rank <= 2), {_TARGETS},
+res AS (SELECT 'semantic' AS mode, query_id, path, symbol_name, rank FROM sem WHERE rank <= 10 UNION ALL SELECT 'hybrid', query_id, path, symbol_name, rank FROM hybrid
+  UNION ALL SELECT 'reranked', query_id, path, symbol_name, n FROM rer WHERE n <= 10), {per_mode}
+SELECT mode, count(*) AS questions, round(avg(recall_at_1), 6) AS recall_at_1, round(avg(recall_at_3), 6) AS recall_at_3, round(avg(recall_at_5), 6) AS recall_at_5,
+  round(avg(recall_at_10), 6) AS recall_at_10, round(avg(reciprocal_rank), 6) AS mrr FROM pq GROUP BY mode"""
+
+
+@query(_modes_sql())
 def eval_modes(spark, d):
     """Averages of the three ways to search."""
     u = units(spark, d)
