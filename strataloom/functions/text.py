@@ -47,6 +47,12 @@ def lines(text: Column) -> Column:
     ).otherwise(parts)
 
 
+def whole_lines(text: Column) -> Column:
+    """The lines of a text with their ends: put together they are the text."""
+    inner = LINE_END[LINE_END.index("[") + 1 : -1]
+    return F.regexp_extract_all(text, F.lit(f"([^{inner}]*+(?:{LINE_END})|[^{inner}]++)"), 1)
+
+
 def chunk_starts(text: Column, size: int) -> Column:
     """0-based numbers of the fixed-width chunks of a text; none for a blank text."""
     last = F.floor((F.greatest(F.length(text), F.lit(1)) - 1) / size).cast("int")

@@ -59,21 +59,21 @@ def markdown_sections(df: DataFrame, content: str = "content", carry: list[str]
     """Flat sections of Markdown: (carry..., section_no, symbol_name, start_line, end_line, section).
 
     A section begins at a heading outside fences and ends before the next; what precedes the first heading is a
-    section without a name. Blank sections are dropped. Section texts have line feeds as line ends. The heading of a
-    section names it; an empty heading is null.
+    section without a name. Blank sections are dropped. Section texts are exact slices, with their line ends. The heading
+    of a section names it; an empty heading is null.
     """
     keep = carry or [c for c in df.columns if c != content]
-    rows = df.where(F.col(content).isNotNull()).select(*keep, text.lines(F.col(content)).alias("_l"))
+    rows = df.where(F.col(content).isNotNull()).select(*keep, text.lines(F.col(content)).alias("_l"), text.whole_lines(F.col(content)).alias("_k"))
     rows = rows.where(F.size("_l") > 0).withColumn("_h", _fold(F.col("_l")))
     numbers = F.sequence(F.lit(1), F.greatest(F.size("_l"), F.lit(1)))
     starts = F.array_union(F.array(F.lit(1)), F.filter(numbers, lambda i: F.get(F.col("_h"), i - 1)))
     rows = rows.withColumn("_s", starts).select("*", F.posexplode("_s").alias("section_no", "start_line"))
     end = F.coalesce(F.get(F.col("_s"), F.col("section_no") + 1) - 1, F.size("_l"))
     rows = rows.withColumn("end_line", end)
-    body = F.slice("_l", F.col("start_line"), F.col("end_line") - F.col("start_line") + 1)
+    body = F.slice("_k", F.col("start_line"), F.col("end_line") - F.col("start_line") + 1)
     first = F.get(F.col("_l"), F.col("start_line") - 1)
     name = F.when(F.get(F.col("_h"), F.col("start_line") - 1), text.heading_text(first))
-    rows = rows.withColumn("section", F.array_join(body, "\n")).withColumn("symbol_name", name)
+    rows = rows.withColumn("section", F.array_join(body, "")).withColumn("symbol_name", name)
     return rows.where(text.has_content(F.col("section"))).select(
         *keep, "section_no", "symbol_name", "start_line", "end_line", "section"
     )

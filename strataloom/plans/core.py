@@ -267,6 +267,16 @@ def markdown_sections(spark, d):
     return chunks.markdown_sections(docs.select("file_id", "content"))
 
 
+@query(r"""SELECT file_id, md5(regexp_replace(any_value(content), '[\s\x1C-\x1F\x{85}\pZ]', '', 'g')) AS digest FROM source_files
+WHERE regexp_matches(lower(relative_path), '\.(md|markdown)$') AND regexp_replace(content, '[\s\x1C-\x1F\x{85}\pZ]', '', 'g') <> '' GROUP BY file_id""")
+def markdown_whole(spark, d):
+    """The sections of every Markdown file put together again, white space aside."""
+    docs = distinct_files(spark, d).where(F.lower("relative_path").rlike(r"\.(?:md|markdown)$"))
+    sections = chunks.markdown_sections(docs.select("file_id", "content"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section_no", "section"))), lambda s: s["section"]), "")
+    return sections.groupBy("file_id").agg(F.md5(F.regexp_replace(whole, text.BLANK, "").cast("binary")).alias("digest"))
+
+
 @query(rf"""WITH l AS (SELECT id, regexp_split_to_array(content, {_ENDS})[1] AS line FROM code_units WHERE kind = 'document')
 SELECT id, nullif(trim(regexp_replace(trim(regexp_extract(line, '^ {{0,3}}#{{1,6}}(?:\s+(.*))?$', 1)), '(?:^|[ \t]+)#+$', '')), '') AS heading
 FROM l WHERE regexp_matches(line, '^ {{0,3}}#{{1,6}}(?:\s|$)')""")

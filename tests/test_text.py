@@ -49,6 +49,10 @@ def test_markdown_sections_and_fences(spark):
     doc = "intro\n# One #\ntext\n```py\n# no heading\n```\n## Two C#\n~~~\n# still code\n```\n~~~~\n####### seven\n#\nlast"
     rows = chunks.markdown_sections(spark.createDataFrame([(1, doc)], "id int, content string")).orderBy("section_no").collect()
     assert [(r.symbol_name, r.start_line, r.end_line) for r in rows] == [(None, 1, 1), ("One", 2, 6), ("Two C#", 7, 12), (None, 13, 14)]
+    assert "".join(r.section for r in rows) == doc
+    mixed = "# A\r\nx\r\r\n# B\x0by\u2028\x85z\n\n"
+    rows = chunks.markdown_sections(spark.createDataFrame([(1, mixed)], "id int, content string")).orderBy("section_no").collect()
+    assert [r.section for r in rows] == ["# A\r\nx\r\r\n", "# B\x0by\u2028\x85z\n\n"] and [r.end_line for r in rows] == [3, len(mixed.splitlines())]
     blank = chunks.markdown_sections(spark.createDataFrame([(1, " \n"), (2, ""), (3, None)], "id int, content string"))
     assert blank.count() == 0
 
