@@ -91,6 +91,31 @@ def test_runs_that_keep_few_pieces(spark):
     assert found(spark, docs, [" ".join(item)]) == {(0, 0), (1, 0), (2, 0)}
 
 
+def test_runs_of_a_pattern_with_other_words_do_not_add_up(spark):
+    rng = random.Random(13)
+    other = lambda run: ["other" if i in (3, 8) else w for i, w in enumerate(run)]
+    item = words(rng, 90)
+    parts = [item[a : a + 12] for a in (10, 30, 50)]
+    docs = [sum([other(p) + words(rng, 9) for p in parts], []), sum([p + words(rng, 9) for p in parts], []), other(item[10:22]) + item[22:42]]
+    docs = [" ".join(words(rng, 50) + d + words(rng, 50)) for d in docs]
+    # 36 words of 90, of which 30 and then 36 agree; 32 words in one run
+    assert found(spark, docs, [" ".join(item)]) == {(0, 0), (1, 0), (2, 0)}
+    item = words(rng, 93)
+    parts = [item[a : a + 12] for a in (10, 30, 50)]
+    docs = [sum([other(p) + words(rng, 9) for p in parts], []), sum([p + words(rng, 9) for p in parts], []), other(item[10:22]) + item[22:42]]
+    docs = [" ".join(words(rng, 50) + d + words(rng, 50)) for d in docs]
+    # 31 are needed
+    assert found(spark, docs, [" ".join(item)]) == {(1, 0), (2, 0)}
+
+
+def test_words_that_agree():
+    side = leaks._Side([5, 1, 2, 3, 4, 1, 9])
+    assert leaks._agreeing(side, 1, 6, [1, 2, 7, 4, 1]) == 4
+    assert leaks._agreeing(side, 1, 6, [1, 7, 2, 3, 4, 1]) == 5
+    assert leaks._agreeing(side, 1, 6, [4, 3, 2]) == 1
+    assert leaks._agreeing(side, 1, 6, [5, 9]) == 0
+
+
 def test_only_hopeless_hits_are_passed_over(monkeypatch):
     def everything(owner, place, off, need, lengths, pieces):
         for i in np.unique(owner).tolist():
