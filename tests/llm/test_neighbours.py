@@ -68,3 +68,28 @@ def test_copies_ties_and_unusable_rows(spark):
     assert all(a < b for a, b in pairs) and ("c00", "near") in pairs
     assert neighbours.neighbours(df.limit(0), "id", "v").count() == 0
     assert neighbours.neighbours(df.where("id = 'null'"), "id", "v").count() == 0
+
+
+def test_recall_where_clusters_outnumber_the_drivers_sample(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "SAMPLE", 512)
+    monkeypatch.setattr(neighbours, "LEAST_SAMPLE", 512)
+    monkeypatch.setattr(neighbours, "CELL_VECTORS", 16, raising=False)
+    rng = np.random.default_rng(6)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    x = unit(np.repeat(unit(rng.normal(size=(400, 128))), 10, axis=0) + 0.6 * unit(rng.normal(size=(4000, 128)))).astype(np.float32)
+    ids = [f"id{i:05d}" for i in range(len(x))]
+    df = spark.createDataFrame([(n, v.tolist(), 0) for n, v in zip(ids, x)], SCHEMA).repartition(3)
+    got = {r.id: list(r.ids) for r in neighbours.neighbours(df, "id", "v", 5).collect()}
+    want = slow(ids, x.astype(np.float64), 5)
+    recall = np.mean([len(set(got[n]) & set(want[n])) / 5 for n in ids])
+    assert set(got) == set(ids) and recall >= 0.93
+
+
+@pytest.mark.parametrize("probes", [1, 3, 7])
+def test_nearest_centres_are_found_in_blocks(monkeypatch, probes):
+    monkeypatch.setattr(neighbours, "CENTRES", 4)
+    monkeypatch.setattr(neighbours, "VECTORS", 7)
+    rng = np.random.default_rng(8)
+    x, centres = rng.normal(size=(30, 6)).astype(np.float32), rng.normal(size=(23, 6)).astype(np.float16)
+    want = np.argsort(-(x @ centres.astype(np.float32).T), axis=1, kind="stable")[:, :probes]
+    assert (neighbours._nearest(x, centres, probes) == want).all()
